@@ -12,8 +12,10 @@ from proofmill.llm.decontaminate import contaminated
 from proofmill.llm.language_model import score_texts
 from proofmill.llm.license_scan import license_scan
 from proofmill.llm.mixing import mixing_weights
+from proofmill.llm.near_duplicates import near_duplicates
 from proofmill.llm.quality import fit_quality
 from proofmill.llm.repetition import repetition_rules
+from proofmill.llm.substring_dedup import remove_repeats
 from proofmill.llm.token_counts import token_counts
 from proofmill.llm.url_filter import judge_urls, rule_table
 
@@ -34,6 +36,15 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_weights(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_id", "n_copies", "n_links", "kept")
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), normalize=True)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
@@ -57,7 +68,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_class_language_model, op2_url_filter, op3_source_mixing, op6_token_counts, op7_repetition_rules, op8_license_scan, op9_quality_classifier, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_class_language_model, op2_url_filter, op3_source_mixing, op4_ngram_jaccard_join, op5_substring_dedup, op6_token_counts, op7_repetition_rules, op8_license_scan, op9_quality_classifier, op10_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": r"""
