@@ -122,7 +122,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy(id_col, "_row", "n_words", "template", "label", "base", "t_words", "t_k", "span")
         .agg(F.min("diagonal").alias("start"), F.max("diagonal").alias("last"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
         .withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("t_k") - 1))))))
-        .withColumn("cover", F.when(F.col("template").isNotNull(), F.col("covered") / F.col("t_words")))
+        .withColumn("cover", F.when(F.col("template").isNotNull(), F.col("covered") / (F.col("t_words") + F.col("last") - F.col("start"))))
         .withColumn("good", F.coalesce(F.when(F.col("base"), F.col("covered") == F.col("t_words")).otherwise(F.col("cover") >= LEAST_COVER), F.lit(False)))
     )
     base = F.col("good") & F.col("base")
