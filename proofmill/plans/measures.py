@@ -211,3 +211,114 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_mktsegment, sha256(string_agg(c, chr(10) ORDER BY c)) AS print FROM (SELECT DISTINCT c_mktsegment, CAST(c_nationkey AS VARCHAR) AS c FROM customer) GROUP BY 1")
 def set_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(T.fingerprint(F.collect_set(F.col("c_nationkey").cast("string"))).alias("print"))
+
+
+@query("""SELECT l_returnflag, coalesce(n, 0) AS n, total FROM (VALUES ('A'), ('N'), ('R'), ('X')) d(l_returnflag) LEFT JOIN (SELECT l_returnflag, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem GROUP BY 1) USING (l_returnflag)""")
+def fixed_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.fixed_domain(table(spark, sf_dir, "lineitem"), "l_returnflag", ["A", "N", "R", "X"], {"n": F.count("*"), "total": F.sum(F.col("l_quantity").cast("long"))})
+    return found.withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '#([\p{L}\p{N}_]+)', 1), lambda x: lower(x)))), ',') AS tags, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?:^|\s)@([A-Za-z0-9_.]+)', 1), lambda x: lower(x)))), ',') AS names FROM (SELECT doc_id, regexp_replace(regexp_replace(text, ' th', ' #Th', 'g'), ' re', ' @Re', 'g') AS t FROM documents)")
+def hashtags_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.regexp_replace(F.regexp_replace("text", " th", " #Th"), " re", " @Re")
+    docs = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    flat = lambda c: F.array_join(F.array_sort(c), ",")
+    return docs.select("doc_id", flat(T.hashtags(F.col("t"))).alias("tags"), flat(T.mentions(F.col("t"))).alias("names"))
+
+
+@query("SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 8, '0') || '.json' AS file, CASE WHEN p_size > 25 THEN true ELSE false END AS newer, printf('%d.%d.%d', p_size // 10, p_size % 10, 0) AS v FROM part")
+def versions_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    v = F.concat_ws(".", F.floor(size / 10).cast("string"), (size % 10).cast("string"), F.lit("0"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.sequence_name(F.col("p_partkey")).alias("file"), (T.version(v) > T.version(F.lit("2.5.0"))).alias("newer"), v.alias("v"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'OTHER' ELSE 'CODE_' || CAST(doc_id % 7 AS VARCHAR) END AS code FROM documents")
+def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    message = F.when(k % 4 == 0, F.concat(F.lit("plain text "), k.cast("string"))).otherwise(F.concat(F.lit("CODE_"), (k % 7).cast("string"), F.lit(": what happened")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.error_code(message).alias("code"))
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'absolute' WHEN 1 THEN 'parent' WHEN 2 THEN 'device' WHEN 3 THEN 'character' WHEN 4 THEN 'trailing' END AS broken FROM pages""")
+def portable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("page_id") % 6
+    name = F.when(m == 0, "/etc/x").when(m == 1, "a/../b").when(m == 2, "dir/NUL.txt").when(m == 3, "a?b").when(m == 4, "dir./file").otherwise("dir/file.txt")
+    return table(spark, sf_dir, "pages").select("page_id", T.portable_name(name).alias("broken"))
+
+
+@query("SELECT page_id, n_links, n_forms FROM (SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a[^>]*\\shref=[\"'']([^\"'']*)[\"'']', 1))) AS n_links, len(regexp_extract_all(html, '<p')) AS n_forms FROM pages)")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofmill.sources.readers import page_links as links
+
+    return table(spark, sf_dir, "pages").select("page_id", F.size(links(F.col("html"))).cast("long").alias("n_links"), F.regexp_count("html", F.lit("<p")).cast("long").alias("n_forms"))
+
+
+@query("SELECT user_id, count(*) AS frames, count(*) FILTER (WHERE event_id % 9 = 0) AS bad_frames, CAST(sum(CASE WHEN event_id % 9 <> 0 THEN event_id % 3 ELSE 0 END) AS BIGINT) AS n_items, bool_or(event_id % 9 <> 0 AND event_id % 5 = 0) AS final FROM events GROUP BY 1")
+def framed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofmill.sources.readers import framed_responses as parse
+
+    k = F.col("event_id")
+    items = F.when(k % 3 == 0, "[]").when(k % 3 == 1, "[1]").otherwise("[1,2]")
+    good = F.concat(F.lit('for (;;);{"data":{"items":'), items, F.lit(',"next":"c'), k.cast("string"), F.lit('"},"is_final":'), F.when(k % 5 == 0, "true").otherwise("false"), F.lit("}"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(k % 9 == 0, "{broken").otherwise(good).alias("frame"))
+    bodies = events.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "frame"))), lambda x: x["frame"]), "\n").alias("body"))
+    found = parse(bodies, "user_id", "body", "$.data.items", "$.data.next", "$.is_final")
+    return found.select("user_id", (F.col("frames") + F.col("bad_frames")).alias("frames"), "bad_frames", "n_items", "final")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_name END AS bio, coalesce(nullif(CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END, ''), p_brand) AS label FROM part")
+def placeholders_and_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    bio = F.when(k % 3 == 0, " N/A ").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.without_placeholder(bio).alias("bio"), V.first_present(F.when(k % 4 == 0, "").otherwise(F.col("p_type")), F.col("p_brand")).alias("label"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey AS BIGINT) * 1000 WHEN 1 THEN 90000 WHEN 2 THEN 0 END AS wait FROM orders")
+def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, now = F.col("o_orderkey"), F.lit("2024-01-01T00:00:00Z").cast("timestamp")
+    raw = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, "2024-01-01T00:01:30Z").when(k % 4 == 2, "2023-12-31T00:00:00Z").otherwise("soon")
+    wait = F.when(k % 4 != 3, V.retry_after_ms(raw, now))
+    return table(spark, sf_dir, "orders").select("o_orderkey", wait.alias("wait"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN true ELSE false END AS agrees FROM supplier")
+def epoch_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    raw = F.date_format(F.timestamp_seconds(k * 3600), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", V.epoch_agrees(raw, k * 3600.0 + F.when(k % 3 == 0, 0.0005).otherwise(0.01)).alias("agrees"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN true ELSE false END AS paid FROM customer")
+def paid_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    said = F.when(k % 2 == 0, F.concat(F.lit("Paid partnership with "), F.col("c_mktsegment"), F.lit(" today"))).when(k % 3 == 0, F.concat(F.lit("this is not sponsored by "), F.col("c_mktsegment"))).otherwise("sponsored by others")
+    return table(spark, sf_dir, "customer").select("c_custkey", T.paid_disclosure(said, F.col("c_mktsegment")).alias("paid"))
+
+
+@query("SELECT doc_id, text IS NOT NULL AND length(trim(text)) >= 0 AS equal, length(text) > 60 AS cut FROM documents")
+def caption_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    return docs.select("doc_id", T.caption_matches(text, text).alias("equal"), T.caption_matches(F.concat(F.substring(T.collapse_space(text), 1, 40), F.lit("…")), F.when(F.length(text) > 60, text).otherwise("x")).alias("cut"))
+
+
+@query("SELECT event_id, CASE WHEN n >= 1 AND n < 3 THEN CAST(10000 * pow(2, n - 1) AS BIGINT) END AS wait FROM (SELECT event_id, event_id % 5 AS n FROM events)")
+def back_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofmill.streaming.state import back_off_ms
+
+    return table(spark, sf_dir, "events").select("event_id", back_off_ms(F.col("event_id") % 5).alias("wait"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 0 THEN round((l_tax + l_discount) / l_quantity, 8) END AS rate FROM lineitem")
+def interaction_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(V.interaction_rate(F.col("l_tax"), F.col("l_discount"), F.col("l_quantity")), 8).alias("rate"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'b' ELSE '' END AS missing, CASE WHEN n_nationkey % 3 = 0 THEN 'z' ELSE '' END AS unknown FROM nation")
+def exact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, one = F.col("n_nationkey"), F.lit(1)
+    m = F.map_concat(F.create_map(F.lit("a"), one), F.when(k % 2 != 0, F.create_map(F.lit("b"), one)).otherwise(F.create_map().cast("map<string,int>")), F.when(k % 3 == 0, F.create_map(F.lit("z"), one)).otherwise(F.create_map().cast("map<string,int>")))
+    keys = V.exact_keys(m, ["a", "b"])
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(keys["missing"], ",").alias("missing"), F.array_join(keys["unknown"], ",").alias("unknown"))

@@ -97,11 +97,26 @@ def optional(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Path below the folder, bytes and SHA-256 of every file."""
+    """Path below the folder, bytes and SHA-256 of every file.
+
+    The file reader passes over empty files; their names come from a listing.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    empty = spark.createDataFrame([(n, 0, bytearray()) for n in _empty_files(spark, path)], "path string, length bigint, content binary")
     root = F.regexp_replace(F.lit(path), "^file:/*", "/")
     name = F.regexp_replace("path", "^file:/*", "/")
-    return files.select(F.substring(name, F.length(root) + 2, F.length(name)).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", "length", "content").union(empty).select(F.substring(name, F.length(root) + 2, F.length(name)).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    names = []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            names.append(f.getPath().toString())
+    return names
 
 
 def checked_batches(spark: SparkSession, path: str) -> DataFrame:
