@@ -285,7 +285,8 @@ def repeated_windows(packed: DataFrame, window: int = WINDOW, prefix: int = PREF
         suffixes.repartitionByRange("h", "_o", "_k").sortWithinPartitions("h", "_o", "_k").mapInArrow(_walk, "kind tinyint, _k bigint, place bigint, mask bigint, node bigint, _o bigint")
     )
     settled = walked.filter("kind = 0").select("_k", "place", "mask")
-    earlier = walked.filter("kind = 2").groupBy("node").agg(F.min("_o").alias("least"))
+    # Written, so that both sides of the join are plain shuffles, which Spark can split where a text repeats one window.
+    earlier = written(walked.filter("kind = 2").groupBy("node").agg(F.min("_o").alias("least")))
     late = walked.filter("kind = 1").join(earlier, "node").filter("_o > least").select("_k", "place", "mask")
     return settled.unionByName(late)
 
