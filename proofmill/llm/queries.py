@@ -13,6 +13,7 @@ from proofmill.llm.language_model import score_texts
 from proofmill.llm.license_scan import license_scan
 from proofmill.llm.mixing import mixing_weights
 from proofmill.llm.near_duplicates import near_duplicates
+from proofmill.llm.oracles import ORACLES  # noqa: F401
 from proofmill.llm.quality import fit_quality
 from proofmill.llm.repetition import repetition_rules
 from proofmill.llm.substring_dedup import remove_repeats
@@ -69,24 +70,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_class_language_model, op2_url_filter, op3_source_mixing, op4_ngram_jaccard_join, op5_substring_dedup, op6_token_counts, op7_repetition_rules, op8_license_scan, op9_quality_classifier, op10_decontamination)}
-
-ORACLES: dict[str, str] = {
-    "op2_url_filter": r"""
-WITH parts AS (
-  SELECT page_id,
-         coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest
-  FROM pages),
-hp AS (
-  SELECT page_id,
-         translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path
-  FROM parts),
-rules(rule_host, rule_path, verdict) AS (
-  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
-best AS (
-  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
-  FROM hp JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-  GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hp LEFT JOIN best USING (page_id)
-""",
-}
