@@ -49,16 +49,27 @@ def orphans(children: DataFrame, parent_ref: str, parents: DataFrame, parent_id:
     return missing.groupBy(parent_ref).agg(F.count("*").alias("children"))
 
 
-def overlaps(rows: DataFrame, entity: str, group: str) -> DataFrame:
-    """For each pair of groups how many entities have both; pairs without one count zero.
+#: Most groups for which pairs without a common entity are listed with zero.
+ZERO_PAIR_GROUPS = 2_000
+
+
+def overlaps(rows: DataFrame, entity: str, group: str, zeros: bool = True) -> DataFrame:
+    """For each pair of groups how many entities have both; with `zeros`, pairs without one count zero.
 
     Pairs are made inside the short list of groups of one entity, never of rows.
+    Zero pairs are a report on a short domain: more than ZERO_PAIR_GROUPS groups are refused.
     """
     lists = rows.select(entity, group).distinct().groupBy(entity).agg(F.array_sort(F.collect_set(group)).alias("_g"))
     pairs = F.flatten(F.transform("_g", lambda a: F.transform(F.filter("_g", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     found = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("common"))
-    names = rows.select(group).distinct()
-    grid = names.select(F.col(group).alias("a")).join(names.select(F.col(group).alias("b")), F.col("a") < F.col("b"))
+    if not zeros:
+        return found
+    names = sorted(r[0] for r in rows.select(group).distinct().filter(F.col(group).isNotNull()).limit(ZERO_PAIR_GROUPS + 1).collect())
+    if len(names) > ZERO_PAIR_GROUPS:
+        raise ValueError(f"more than {ZERO_PAIR_GROUPS} groups; ask for zeros=False")
+    # Each name is paired with the later ones of one short list: rows grow with pairs of the report, not of the data.
+    later = F.filter(F.array(*[F.lit(n) for n in names]), lambda b: b > F.col("a"))
+    grid = rows.sparkSession.createDataFrame([(n,) for n in names], f"a {rows.schema[group].dataType.simpleString()}").select("a", F.explode(later).alias("b")) if names else found.select("a", "b")
     return grid.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("common", F.lit(0)).alias("common"))
 
 

@@ -61,9 +61,11 @@ def route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FIRST + """ SELECT (SELECT count(*) FROM first) = (SELECT count(DISTINCT user_id) FROM cand) AS one_row_each, (SELECT count(*) FROM first WHERE user_id % 10 = 0) = 0 AS none_frozen,
 (SELECT count(*) FROM first WHERE event_type = 'error') = 0 AS none_invalid""")
 def qa_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, users = _first(spark, sf_dir), _candidates(spark, sf_dir).agg(F.count_distinct("user_id").alias("u"))
-    facts = first.agg(F.count("*").alias("n"), F.count_if(F.col("user_id") % 10 == 0).alias("f"), F.count_if(F.col("event_type") == "error").alias("e"))
-    return facts.join(users).select((F.col("n") == F.col("u")).alias("one_row_each"), (F.col("f") == 0).alias("none_frozen"), (F.col("e") == 0).alias("none_invalid"))
+    rows = _candidates(spark, sf_dir).select("user_id", F.lit(0).alias("is_first"), "event_type").unionByName(_first(spark, sf_dir).select("user_id", F.lit(1).alias("is_first"), "event_type"))
+    first = F.col("is_first") == 1
+    return rows.agg(
+        (F.count_if(first) == F.count_distinct("user_id")).alias("one_row_each"), (F.count_if(first & (F.col("user_id") % 10 == 0)) == 0).alias("none_frozen"), (F.count_if(first & (F.col("event_type") == "error")) == 0).alias("none_invalid")
+    )
 
 
 @query("""WITH p AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 7 = 0), n AS (SELECT DISTINCT event_type FROM p)
