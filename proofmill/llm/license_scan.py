@@ -103,9 +103,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     hashed = map_slices(docs, text_col, [id_col], hash_grams, f"{id_col} {kind}, n_words bigint, hits array<struct<k:int,hash:bigint,pos:bigint,gram:string>>")
     grams = spark.createDataFrame(table, "k int, hash bigint, gram string, template int, t_pos int")
-    about = F.broadcast(spark.createDataFrame([(n, t.label, t.base, len(t.words), t.k) for n, t in enumerate(items)], "template int, label string, base boolean, t_words int, t_k int"))
+    about = spark.createDataFrame([(n, t.label, t.base, len(t.words), t.k) for n, t in enumerate(items)], "template int, label string, base boolean, t_words int, t_k int")
     if len(table) <= BROADCAST_GRAMS:
-        grams = F.broadcast(grams)
+        grams, about = F.broadcast(grams), F.broadcast(about)
     # A row id keeps repeated rows apart; it travels with the row from here on and is never recomputed for a lookup.
     rows = hashed.withColumn("_row", F.monotonically_increasing_id())
     hits = rows.select(id_col, "_row", "n_words", F.explode_outer("hits").alias("h")).select(id_col, "_row", "n_words", "h.*")

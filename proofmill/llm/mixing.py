@@ -57,8 +57,9 @@ def _cells(docs: DataFrame, dims: dict[str, Column], text_col: str) -> DataFrame
 def tempered_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     """Target tokens of each value of a margin; they add up to all tokens."""
     margin = cells.groupBy(f"_{dim}").agg(F.sum("mass").alias("m"))
-    total = margin.agg(F.sum("m").alias("all"), F.sum(F.when(F.col("m") > 0, F.pow("m", F.lit(power))).otherwise(0.0)).alias("powers"))
-    return margin.join(F.broadcast(total)).select(f"_{dim}", F.when(F.col("m") > 0, F.col("all") * F.pow("m", F.lit(power)) / F.col("powers")).otherwise(0.0).alias("target"))
+    powered = F.when(F.col("m") > 0, F.pow("m", F.lit(power))).otherwise(0.0)
+    sums = margin.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("all"), F.coalesce(F.sum(powered), F.lit(0.0)).alias("powers")).first()
+    return margin.select(f"_{dim}", (powered * (sums["all"] / (sums["powers"] or 1.0))).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
