@@ -1,16 +1,15 @@
-"""Small helpers the operators share: Arrow mapping, identifiers, the shared folder."""
+"""Small helpers the operators share: Arrow mapping, identifiers, folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.folders import shared_folder, written  # noqa: F401  the operators take them from here
 from proofmill.llm import textgrid as tg
 
 
@@ -52,21 +51,3 @@ def signed(a: np.ndarray) -> pa.Array:
 def fold_of(id_column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir (a temporary one only where that is unset, as in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="proofmill-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/proofmill/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends, nothing is computed twice."""
-    spark = df.sparkSession
-    at = shared_folder(spark)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
