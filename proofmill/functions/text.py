@@ -146,13 +146,13 @@ def caption_matches(shown: Column, full: Column, least: int = 24) -> Column:
     return (a == b) | F.contains(b, a) | ((F.length(cut) >= least) & (cut != a) & F.startswith(b, cut))
 
 
-def redact(c: Column, most: int = 300) -> Column:
-    """urls, bearer tokens, mail addresses and secrets given as key=value, hidden; at most `most` characters."""
+def redact(c: Column, most: int | None = 300) -> Column:
+    """urls, bearer tokens, mail addresses and secrets given as key=value, hidden; at most `most` characters of a message, None for whole texts."""
     out = F.regexp_replace(c, r"https?://[^ \n\t]+", "[url]")
     out = F.regexp_replace(out, r"Bearer +[A-Za-z0-9._-]+", "Bearer [secret]")
     out = F.regexp_replace(out, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[mail]")
     out = F.regexp_replace(out, r"(token|password|secret|api_key|cookie)=[^ \n\t&]+", "$1=[secret]")
-    return F.substring(out, 1, most)
+    return out if most is None else F.substring(out, 1, most)
 
 
 #: Named patterns of text that must not leave a machine.

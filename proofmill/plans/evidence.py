@@ -52,14 +52,14 @@ def work_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"median_rate": F.round("median_rate", 8), "per_week": F.round("per_week", 6)})
 
 
-@query("""SELECT o_orderkey, trim(CASE WHEN c_custkey IS NULL THEN 'unknown_reference ' ELSE '' END || CASE WHEN n > 1 THEN 'several_reviews ' ELSE '' END || CASE WHEN c_custkey IS NOT NULL AND o_orderkey % 5 = 0 THEN 'unknown_work ' ELSE '' END
-|| CASE WHEN c_custkey IS NOT NULL AND o_orderkey % 5 <> 0 AND NOT contains(lower(c_name), lower('#00000' || substr(CAST(10000 + o_custkey % 97 AS VARCHAR), 2))) THEN 'quote_not_found' ELSE '' END) AS faults
-FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderkey % 10 < 2 OR o_orderkey % 5 = 0) o LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0""")
+@query("""SELECT o_orderkey, trim(CASE WHEN c_custkey IS NULL THEN 'unknown_reference ' ELSE '' END || CASE WHEN n > 1 THEN 'several_reviews ' ELSE '' END || CASE WHEN c_custkey IS NOT NULL AND o_orderstatus = 'P' THEN 'unknown_work ' ELSE '' END
+|| CASE WHEN c_custkey IS NOT NULL AND o_orderstatus <> 'P' AND NOT contains(lower(c_name), lower('#00000' || substr(CAST(10000 + o_custkey % 97 AS VARCHAR), 2))) THEN 'quote_not_found' ELSE '' END) AS faults
+FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) o LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0""")
 def review_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("reference_id"), F.lit("w").alias("work_id"), F.col("c_name").alias("caption"), F.lit(1).alias("window_start"), F.lit(2).alias("window_end"))
     quote = F.concat(F.lit("#00000"), F.substring((10000 + F.col("o_custkey") % 97).cast("string"), 2, 4))
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 10 < 2 OR o_orderkey % 5 = 0")
-    reviews = orders.select(F.col("o_orderkey").alias("review_id"), F.col("o_custkey").alias("reference_id"), F.when(F.col("o_orderkey") % 5 == 0, "none").otherwise("w").alias("work_id"), F.lit(1).alias("window_start"), F.lit(2).alias("window_end"), quote.alias("quote"))
+    orders = table(spark, sf_dir, "orders")
+    reviews = orders.select(F.col("o_orderkey").alias("review_id"), F.col("o_custkey").alias("reference_id"), F.when(F.col("o_orderstatus") == "P", "none").otherwise("w").alias("work_id"), F.lit(1).alias("window_start"), F.lit(2).alias("window_end"), quote.alias("quote"))
     found = E.review_faults(reviews, works)
     # A quote can't be looked up without its work, which is a fault of its own.
     return found.select(F.col("review_id").alias("o_orderkey"), F.array_join("faults", " ").alias("faults"))
@@ -72,9 +72,9 @@ def tag_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.label_tags(lists, "l_orderkey", "tags", labels)[0].select("label", "entities")
 
 
-@query("SELECT c_custkey, coalesce(o_orderstatus, c_mktsegment) AS status FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) ON o_custkey = c_custkey")
+@query("SELECT c_custkey, coalesce(o_orderstatus, c_mktsegment) AS status FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON o_custkey = c_custkey")
 def first_valid_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"))
+    last = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"))
     own = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("status"))
     facts = E.first_facts([last, own], "c_custkey", ["status"])
     return facts.join(own.select("c_custkey"), "c_custkey", "left_semi")
@@ -100,10 +100,10 @@ def effective_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.effective_attempts(rows, "started", "status").select("event_id")
 
 
-@query("SELECT p_partkey AS key, CASE WHEN p_size > 40 THEN 'changed' WHEN p_size < 5 THEN 'left_only' ELSE 'right_only' END AS status FROM part WHERE p_size > 40 OR p_size < 5 OR p_partkey % 50 = 0")
+@query("SELECT p_partkey AS key, CASE WHEN p_size > 40 THEN 'changed' WHEN p_size < 5 THEN 'left_only' ELSE 'right_only' END AS status FROM part WHERE p_size > 40 OR p_size < 5 OR p_size = 7")
 def ledger_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sequence"), F.col("p_name").alias("record"), "p_size")
-    lost = F.col("sequence") % 50 == 0
+    lost = F.col("p_size") == 7
     ledger = parts.filter(~lost | (F.col("p_size") > 40) | (F.col("p_size") < 5)).select("sequence", F.sha2(F.when(F.col("p_size") > 40, "other").otherwise(F.col("record")), 256).alias("sha256"))
     return E.same_batches(ledger, parts.filter("p_size >= 5")).select(F.col("sequence").alias("key"), "status")
 

@@ -56,9 +56,9 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.rule_matches(lines, "line", T.LEAK_PATTERNS).groupBy("rule").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query(r"""SELECT doc_id, md5(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \n\t]+', '[url]', 'g'), 'Bearer +[A-Za-z0-9._-]+', 'Bearer [secret]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '(token|password|secret|api_key|cookie)=[^ \n\t&]+', '\1=[secret]', 'g'), 1, 100000)) AS clean FROM documents""")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \n\t]+', '[url]', 'g'), 'Bearer +[A-Za-z0-9._-]+', 'Bearer [secret]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '(token|password|secret|api_key|cookie)=[^ \n\t&]+', '\1=[secret]', 'g')) AS clean FROM documents""")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact(F.col("text"), 100_000)).alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact(F.col("text"), None)).alias("clean"))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^([^?#]*)', 1) AS base,

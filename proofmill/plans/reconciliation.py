@@ -11,23 +11,23 @@ from proofmill.operators import joins as J
 from proofmill.operators import windows as W
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id FROM events WHERE event_id % 3 = 0 AND user_id % 4 <> 1)
+@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 60), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 70)
 SELECT (SELECT count(*) FROM a JOIN b USING (user_id)) AS retained, (SELECT count(*) FROM a ANTI JOIN b USING (user_id)) AS missing, (SELECT count(*) FROM b ANTI JOIN a USING (user_id)) AS new""")
 def baseline_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return J.compare_sets(events.filter("event_id % 2 = 0"), events.filter("event_id % 3 = 0 AND user_id % 4 <> 1"), ["user_id"])
+    return J.compare_sets(events.filter("event_type = 'purchase' AND value > 60"), events.filter("event_type = 'click' AND value > 70"), ["user_id"])
 
 
-_SNAP = """WITH j AS (SELECT l_orderkey AS k, count(*) AS n, max(l_linenumber) AS top FROM lineitem WHERE l_orderkey % 11 <> 3 GROUP BY 1),
-s AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS n, CASE WHEN l_orderkey % 9 = 0 THEN max(l_linenumber) + 1 ELSE max(l_linenumber) END AS top FROM lineitem WHERE l_orderkey % 13 <> 5 GROUP BY l_orderkey),
+_SNAP = """WITH j AS (SELECT l_orderkey AS k, count(*) AS n, max(l_linenumber) AS top FROM lineitem WHERE l_tax > 0 GROUP BY 1),
+s AS (SELECT l_orderkey AS k, count(DISTINCT l_linenumber) AS n, max(l_linenumber) AS top FROM lineitem WHERE l_discount > 0 GROUP BY l_orderkey),
 r AS (SELECT k, CASE WHEN s.k IS NULL THEN 'left_only' WHEN j.k IS NULL THEN 'right_only' WHEN s.n = j.n AND s.top = j.top THEN 'same' ELSE 'changed' END AS status,
 CASE WHEN s.k IS NULL OR j.k IS NULL THEN '' ELSE concat_ws(',', CASE WHEN s.n <> j.n THEN 'n' END, CASE WHEN s.top <> j.top THEN 'top' END) END AS differs FROM j FULL JOIN s USING (k))"""
 
 
 def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "k")
-    journal = lines.filter("k % 11 <> 3").groupBy("k").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("top"))
-    snapshot = lines.filter("k % 13 <> 5").groupBy("k").agg(F.count_distinct("l_linenumber").alias("n"), F.max("l_linenumber").alias("top")).withColumn("top", F.when(F.col("k") % 9 == 0, F.col("top") + 1).otherwise(F.col("top")))
+    journal = lines.filter("l_tax > 0").groupBy("k").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("top"))
+    snapshot = lines.filter("l_discount > 0").groupBy("k").agg(F.count_distinct("l_linenumber").alias("n"), F.max("l_linenumber").alias("top"))
     return J.reconcile(journal, snapshot, ["k"], ["n", "top"])
 
 
@@ -41,17 +41,17 @@ def reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.tally(_reconciled(spark, sf_dir), "status")
 
 
-@query("SELECT p_partkey, CASE WHEN l_partkey IS NULL THEN 'left_only' WHEN p_partkey IS NULL THEN 'right_only' ELSE 'same' END AS status FROM part FULL JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 5 = 0) ON p_partkey = l_partkey WHERE p_partkey IS NOT NULL")
+@query("SELECT p_partkey, CASE WHEN l_partkey IS NULL THEN 'left_only' WHEN p_partkey IS NULL THEN 'right_only' ELSE 'same' END AS status FROM part FULL JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40) ON p_partkey = l_partkey WHERE p_partkey IS NOT NULL")
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "part").select("p_partkey", F.lit(1).alias("there"))
-    used = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").select(F.col("l_partkey").alias("p_partkey"), F.lit(1).alias("there")).distinct()
+    used = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"), F.lit(1).alias("there")).distinct()
     return J.reconcile(listed, used, ["p_partkey"], ["there"]).filter("status <> 'right_only'").select("p_partkey", "status")
 
 
-@query("""WITH o AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n, min(l_suppkey) AS s FROM lineitem WHERE l_orderkey % 17 = 0 GROUP BY 1)
+@query("""WITH o AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n, min(l_suppkey) AS s FROM lineitem WHERE l_quantity >= 49 GROUP BY 1)
 SELECT p_partkey, coalesce(n, 0) AS owners, CASE WHEN coalesce(n, 0) = 0 THEN 'pending' WHEN n = 1 THEN 'resolved' ELSE 'conflict' END AS state, CASE WHEN n = 1 THEN s END AS owner FROM part LEFT JOIN o ON p_partkey = l_partkey""")
 def identity_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owners = table(spark, sf_dir, "lineitem").filter("l_orderkey % 17 = 0").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey")
+    owners = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey")
     return J.resolve_owners(table(spark, sf_dir, "part"), owners, "p_partkey", "l_suppkey")
 
 
@@ -66,12 +66,12 @@ def orphan_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.orphans(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").filter("c_acctbal >= 0"), "c_custkey")
 
 
-@query("""WITH r AS (SELECT o_custkey, unnest([o_orderkey, o_orderkey + 1, o_orderkey * 3]) AS id FROM orders WHERE o_orderkey % 10 = 0)
+@query("""WITH r AS (SELECT o_custkey, unnest([o_orderkey, o_orderkey + 1, o_orderkey * 3]) AS id FROM orders)
 SELECT o_custkey, count(DISTINCT id) AS asked, count(DISTINCT o.o_orderkey) AS linked, epoch_us(max(o_orderdate)) AS latest FROM r LEFT JOIN (SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F') o ON id = o.o_orderkey GROUP BY 1""")
 def evidence_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    reviews = orders.filter("o_orderkey % 10 = 0").select("o_custkey", F.array(k, k + 1, k * 3).alias("ids"))
+    reviews = orders.select("o_custkey", F.array(k, k + 1, k * 3).alias("ids"))
     linked = J.link_evidence(reviews, orders.filter("o_orderstatus = 'F'"), ["o_custkey"], "ids", "o_orderkey", "o_orderdate")
     return linked.withColumn("latest", F.unix_micros("latest"))
 
@@ -142,19 +142,19 @@ def names_and_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.names_and_aliases(parts, "p_brand", "label", "p_partkey").select("p_brand", "name", F.size("aliases").alias("n_aliases"))
 
 
-@query("SELECT 'kept' AS side, count(*) AS n FROM (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 INTERSECT SELECT user_id, event_type FROM events WHERE event_id % 2 = 1) UNION ALL SELECT 'lost', count(*) FROM (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 EXCEPT SELECT user_id, event_type FROM events WHERE event_id % 2 = 1)")
+@query("SELECT 'kept' AS side, count(*) AS n FROM (SELECT user_id, event_type FROM events WHERE value < 5 INTERSECT SELECT user_id, event_type FROM events WHERE value >= 5) UNION ALL SELECT 'lost', count(*) FROM (SELECT user_id, event_type FROM events WHERE value < 5 EXCEPT SELECT user_id, event_type FROM events WHERE value >= 5)")
 def set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    even, odd = (events.filter(f"event_id % 2 = {i}").select("user_id", "event_type") for i in (0, 1))
+    even, odd = (events.filter(cond).select("user_id", "event_type") for cond in ("value < 5", "value >= 5"))
     count = lambda df, side: df.agg(F.lit(side).alias("side"), F.count("*").alias("n"))
     return count(even.intersect(odd), "kept").union(count(even.subtract(odd), "lost"))
 
 
-@query("SELECT * FROM (SELECT 0 AS input, user_id FROM events WHERE event_id % 50 = 0 UNION ALL SELECT 1, user_id FROM events WHERE event_id % 70 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0))")
+@query("SELECT * FROM (SELECT 0 AS input, user_id FROM events WHERE event_type = 'error' AND value > 50 UNION ALL SELECT 1, user_id FROM events WHERE event_type <> 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 50))")
 def incremental_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_id", "user_id")
-    prior = events.filter("event_id % 50 = 0").select(F.lit(0).alias("input"), "user_id")
-    fresh = J.without(events.filter("event_id % 70 = 0").select(F.lit(1).alias("input"), "user_id"), prior, ["user_id"])
+    events = table(spark, sf_dir, "events").select("event_type", "value", "user_id")
+    prior = events.filter("event_type = 'error' AND value > 50").select(F.lit(0).alias("input"), "user_id")
+    fresh = J.without(events.filter("event_type <> 'error'").select(F.lit(1).alias("input"), "user_id"), prior, ["user_id"])
     return prior.unionByName(fresh)
 
 
