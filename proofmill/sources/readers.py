@@ -34,14 +34,15 @@ def journal_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("text")
     )
+    # Lines are numbered inside their block of the file; a short table of blocks gives each the lines before it.
+    blocks = rows.groupBy("file", "_block", "_size").agg(F.count("*").alias("_rows"), F.sum(F.octet_length("text") + 1).alias("_b"))
     whole = Window.partitionBy("file")
-    order = whole.orderBy("_block", "_at")
-    marked = rows.withColumns({
-        "line": F.row_number().over(order), "_n": F.count("*").over(whole),
-        "_bytes": F.sum(F.octet_length("text") + 1).over(whole),
-    })
-    ends = F.col("_bytes").isin(F.col("_size"), F.col("_size") - 3)
-    return marked.select("file", "line", "text", (ends | (F.col("line") < F.col("_n"))).alias("committed"), F.is_valid_utf8("text").alias("valid_utf8"))
+    before = F.coalesce(F.sum("_rows").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = F.sum("_b").over(whole).isin(F.col("_size"), F.col("_size") - 3)
+    placed = blocks.select("file", "_block", before.alias("_before"), F.sum("_rows").over(whole).alias("_n"), ends.alias("_ends"))
+    inside = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_at"))
+    marked = rows.withColumn("_in", inside).join(placed, ["file", "_block"]).withColumn("line", (F.col("_in") + F.col("_before")).cast("int"))
+    return marked.select("file", "line", "text", (F.col("_ends") | (F.col("line") < F.col("_n"))).alias("committed"), F.is_valid_utf8("text").alias("valid_utf8"))
 
 
 def committed_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:

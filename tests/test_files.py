@@ -116,3 +116,17 @@ def test_long_texts_split_and_join_again(spark):
     parts = S.split_long(df, "k", "t", 3).orderBy("k", "part").collect()
     assert [(r.k, r.part, r.t) for r in parts] == [(1, 0, "abc"), (1, 1, "def"), (1, 2, "g"), (2, 0, "")]
     assert "| k | t |" in S.write_markdown(df, "x")
+
+
+def test_large_journal_in_many_blocks(spark, tmp_path):
+    text = "".join(f'{{"n": {i}, "pad": "{"x" * 50}"}}\n' for i in range(5000))
+    (tmp_path / "a.jsonl").write_text(text + '{"n": 5000}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = R.committed_jsonl(spark, f"{tmp_path}/a.jsonl", "n int").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted((r.line, r.n) for r in rows) == [(i + 1, i) for i in range(5000)]
