@@ -93,8 +93,9 @@ def _dims(columns: dict[str, Column] | None) -> dict[str, Column]:
 
 
 def _draw(id_col: str, text_col: str, seed: int) -> Column:
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(F.xxhash64(F.col(id_col), F.lit(seed)))
-    return F.pmod(key, F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number from 0 to 1 that depends on the seed and the id alone (on the text where there is no id): 48 bits of an MD5."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
 def mixing_weights(docs: DataFrame, dims: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, seed: int = 1) -> DataFrame:

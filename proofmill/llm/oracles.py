@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from proofmill.llm.decontaminate import LEAST_SHARE, LEAST_WORDS, MASKS, REACH, SPAN
+from proofmill.llm.license_scan import LEAST_COVER, NEAR_DIAGONALS, templates
+from proofmill.llm.mixing import SWEEPS, TEMPER, TOLERANCE
 from proofmill.llm.near_duplicates import SHINGLE, THRESHOLD
 from proofmill.llm.repetition import GRAM_LIMITS, LINE_LIMIT
 from proofmill.llm.substring_dedup import WINDOW
@@ -95,10 +97,62 @@ SELECT *, NOT base_failed AND line_share <= {LINE_LIMIT} AND {limits} AS kept FR
 """
 
 
+def license_scan() -> str:
+    rows = ", ".join(f"({n}, '{t.label}', {t.base}, {t.words}, {t.k})" for n, t in enumerate(templates()))
+    gap = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    grams = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, pos, array_to_string(list_slice(ws, pos + 1, pos + {k}), ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {k - 1})) AS pos FROM d)" for k in sorted({t.k for t in templates()}))
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{gap}') AS ws FROM documents),
+t(template, label, base, words, k) AS (VALUES {rows}),
+tg AS (SELECT template, k, p, array_to_string(list_slice(words, p + 1, p + k), ' ') AS gram FROM (SELECT *, unnest(range(0, len(words) - k + 1)) AS p FROM t)),
+dg AS ({grams}),
+vote AS (SELECT DISTINCT doc_id, template, k, pos - p AS diagonal, p FROM dg JOIN tg USING (k, gram)),
+diag AS (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS step FROM (SELECT DISTINCT doc_id, template, diagonal FROM vote)),
+span AS (SELECT doc_id, template, diagonal, sum(CASE WHEN base OR step IS NULL OR step > {NEAR_DIAGONALS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM diag JOIN t USING (template)),
+word AS (SELECT doc_id, template, span, count(DISTINCT w) AS covered FROM (SELECT doc_id, template, span, unnest(range(p, p + k)) AS w FROM vote JOIN span USING (doc_id, template, diagonal)) GROUP BY ALL),
+ends AS (SELECT doc_id, template, span, min(diagonal) AS start, max(diagonal) AS last FROM span GROUP BY ALL),
+judged AS (SELECT *, covered / (len(words) + last - start) AS cover, CASE WHEN base THEN covered = len(words) ELSE covered / (len(words) + last - start) >= {LEAST_COVER} END AS good FROM ends JOIN word USING (doc_id, template, span) JOIN t USING (template)),
+one AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word, list_sort(list_distinct(list(label) FILTER (WHERE base))) AS base_labels, list_sort(list_distinct(list(label))) AS labels, max(least(1.0, cover)) AS score FROM judged WHERE good GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels, coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN one USING (doc_id)
+"""
+
+
+def mixing() -> str:
+    dims = list(TEMPER)
+    space = r"[\x09-\x0D\x20]+"
+    names = ", ".join(dims)
+    stages = []
+    for i, dim in enumerate(dims):
+        stages.append(f"s{i} AS (SELECT *, CASE WHEN sum(mass * w) OVER (PARTITION BY {dim}) > 0 THEN goal_{dim} / sum(mass * w) OVER (PARTITION BY {dim}) ELSE 1.0 END AS f_{dim} FROM {'r0' if i == 0 else f'(SELECT * REPLACE (w * f_{dims[i - 1]} AS w) FROM s{i - 1})'})")
+    last = len(dims) - 1
+    off = ", ".join(f"abs(f_{d} - 1) * (CASE WHEN w * f_{dims[last]} > 0 THEN 1 ELSE 0 END)" for d in dims)
+    goals = ", ".join(f"sum(mass) OVER () * (CASE WHEN sum(mass) OVER (PARTITION BY {d}) > 0 THEN pow(sum(mass) OVER (PARTITION BY {d}), {TEMPER[d]}) ELSE 0 END) / (SELECT sum(pow(m, {TEMPER[d]})) FROM (SELECT sum(mass) AS m FROM c0 GROUP BY {d}) WHERE m > 0) AS goal_{d}" for d in dims)
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+  CASE WHEN length(t) = 0 THEN 'empty' WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, 'License') OR contains(t, 'license') THEN 'legal' WHEN contains(t, '!!') OR contains(t, '$$$') THEN 'noise' WHEN length(t) < 1000 THEN 'short' WHEN length(t) < 6000 THEN 'medium' ELSE 'long' END AS topic,
+  len(list_filter(string_split_regex(t, '{space}'), lambda x: x <> '')) AS n_tokens,
+  CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), t)), 1, 12) AS BIGINT) / 281474976710656.0 AS draw
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
+c0 AS (SELECT {names}, CAST(sum(n_tokens) AS DOUBLE) AS mass FROM d GROUP BY ALL),
+c AS (SELECT *, {goals} FROM c0),
+walk AS (
+  SELECT 0 AS sweep, *, CAST(1.0 AS DOUBLE) AS w, CAST(1.0 AS DOUBLE) AS worst FROM c
+  UNION ALL
+  (WITH r0 AS (SELECT * FROM walk WHERE sweep < {SWEEPS} AND worst > {TOLERANCE}),
+  {', '.join(stages)}
+  SELECT sweep + 1, {names}, mass, {', '.join(f'goal_{x}' for x in dims)}, w * f_{dims[last]}, max(greatest({off})) OVER () FROM s{last})),
+final AS (SELECT {names}, w FROM walk WHERE sweep = (SELECT max(sweep) FROM walk))
+SELECT doc_id, {names}, n_tokens, round(w, 6) AS weight, round(w / (SELECT max(w) FROM final), 6) AS probability, draw < w / (SELECT max(w) FROM final) AS sampled FROM d JOIN final USING ({names})
+"""
+
+
 ORACLES = {
     "op2_url_filter": URL_FILTER,
+    "op3_source_mixing": mixing(),
     "op4_ngram_jaccard_join": NEAR_DUPLICATES,
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op7_repetition_rules": repetition(),
+    "op8_license_scan": license_scan(),
     "op10_decontamination": decontamination(),
 }

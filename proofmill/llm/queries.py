@@ -34,7 +34,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_weights(_table(spark, sf_dir, "documents"))
+    found = mixing_weights(_table(spark, sf_dir, "documents"))
+    return found.withColumns({"weight": F.round("weight", 6), "probability": F.round("probability", 6)})
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
