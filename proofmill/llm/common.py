@@ -6,13 +6,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.folders import shared_folder, written  # noqa: F401  the operators take them from here
 from proofmill.llm import textgrid as tg
 
 
+#: Bytes of whole texts that one Arrow batch holds; one longer text is a batch of its own.
+BATCH_BYTES = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep batches of texts small on both sides of the Arrow transfer, unless the session says how large they are.
+
+    By default a batch holds 10,000 rows: tens of megabytes of texts, several
+    times over in an executor and its Python workers.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def map_slices(
     df: DataFrame,
     text: str,
@@ -26,6 +41,7 @@ def map_slices(
     each slice, so its memory follows the slice and not the table.
     """
     names = [c.split()[0] for c in schema.split(", ")]
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm import textgrid as tg
-from proofmill.llm.common import map_slices, written
+from proofmill.llm.common import bounded_batches, map_slices, written
 
 FEATURES = 256
 WIDTH = 4.0
@@ -127,6 +127,7 @@ class QualityModel:
 
     def keep(self, docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
         """The rows of docs, all columns as they are, whose score is least or more."""
+        bounded_batches(docs.sparkSession)
         at = docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofmill.llm import textgrid as tg
-from proofmill.llm.common import longs, signed, written
+from proofmill.llm.common import bounded_batches, longs, signed, written
 
 WINDOW = 13
 PREFIX = 5
@@ -299,6 +299,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not prefix < window <= prefix + 60:
         raise ValueError("a window must be longer than its prefix, by 60 words at most")
+    bounded_batches(docs.sparkSession)
     packed = _packed(docs, id_col, text_col)
     places = repeated_windows(packed.select("_k", "_o", "_blob"), window, prefix)
     rest = docs.select(*[c for c in docs.columns if c != text_col]).schema

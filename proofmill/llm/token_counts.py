@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.llm.common import bounded_batches
+
 MEMO_ENTRIES = 1 << 19
 
 
@@ -135,6 +137,7 @@ def token_counts(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_bytes", "n_tokens", "over_limit"]
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = importlib.import_module(path_module).path(tokenizer) if path_module else tokenizer
