@@ -1,15 +1,23 @@
 """LM scoring: a Brown class-based bigram model with exchange clustering (operator 1).
 
-Units of clustering are the most frequent training words, one each, and
-buckets of all other words by spelling (their last bytes), so every word of an
-unbounded vocabulary has a class.  Unit bigrams are counted over all training
-texts (at most units squared, summed within tasks before the shuffle);
-exchange clustering moves units between classes while the class-bigram
-likelihood rises.  A text's probability is the product of class transitions
-and word emissions; both are smoothed and sum to one.
-
-Counts of the frequent words travel as a table of bounded size (TABLE_WORDS);
-every rarer word is joined to its count by a shuffle on its hash, and no rare
+Every word seen at least FLOOR times is a unit of clustering of its own,
+however many there are; words seen less often, or never, go by SPELLING_UNITS
+buckets of their last bytes, so every word has a class.  The number of classes
+rises with the vocabulary (`class_count`).
+
+The clustering starts on the driver from a matrix of fixed size: the HEAD_UNITS
+most frequent words and, for the start only, buckets of all others (`exchange`).
+Then come exchange rounds on Spark over sparse bigram counts of all units: the
+counts of each unit with the classes around it are summed by groupBy, and each
+unit takes its best class by the classes-squared table of the round, which is
+broadcast.  Each round is written.  Frequent units and all others move in turn,
+each task seeing only its own moves, so the likelihood is summed anew after each
+round; a round that lowers it is taken back, and the next turn of its kind moves
+half as many units.  A text's probability is the product of class transitions and word
+emissions; both are smoothed and sum to one.
+
+Frequent words travel as a table of bounded size (TABLE_WORDS); every rarer
+word is joined to its count and its class by a shuffle on its hash, and no rare
 word can be hot.  Words are compared by 64-bit hashes.
 
 Defined cases: null and empty texts hold only the end token; a null id counts
@@ -24,31 +32,39 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm import textgrid as tg
-from proofmill.llm.common import longs, map_slices, written
+from proofmill.llm.common import bounded_batches, longs, map_slices, written
 
 #: Most words that get a row of their own in the broadcast table of frequent words.
 TABLE_WORDS = 65_536
-#: Units that are clustered: the most frequent words, then spelling buckets, then the text boundary.
+#: Units of the driver's start: the most frequent words, then spelling buckets, then the text boundary.
 HEAD_UNITS = 767
 SPELLING_UNITS = 256
+#: Times a word must be seen to be a unit of its own in the rounds.
+FLOOR = 2
+#: Least number of classes.
 CLASSES = 48
 SWEEPS = 4
+#: Exchange rounds on Spark; frequent words and all others move in turn.
+ROUNDS = 4
 #: Weight of the class unigram in the class transitions, in tokens.
 BACK_OFF = 50.0
 
 
 @dataclass
 class FrequentWords:
-    """Hashes in ascending order with their training counts and units; some 1.5 MB at most."""
+    """Hashes in ascending order with their training counts, units of the start and ranks; some 2 MB at most."""
 
     hashes: np.ndarray
     counts: np.ndarray
     units: np.ndarray
+    ranks: np.ndarray
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of each hash and whether it is there."""
@@ -82,6 +98,16 @@ def _units(table: FrequentWords, data: np.ndarray, w: tg.Words, hashes: np.ndarr
 EDGE = HEAD_UNITS + SPELLING_UNITS
 UNITS = EDGE + 1
 
+#: Ids of units in the rounds: buckets, the text boundary, buckets of words never seen, frequent words by rank; other words by hash.
+BOUNDARY = SPELLING_UNITS
+UNSEEN = BOUNDARY + 1
+RANKED = UNSEEN + SPELLING_UNITS
+
+
+def class_count(n_units: int) -> int:
+    """Classes for so many units: 94 for 186,000, 638 for 30 million."""
+    return max(CLASSES, int(np.ceil(n_units**0.375)))
+
 
 def _with_edges(units: np.ndarray, w: tg.Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Previous and next unit of every transition: each text starts after and ends with the edge."""
@@ -149,6 +175,193 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return of
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column in a row and the length of each list; null counts as empty."""
+    return column.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _as_lists(values: pa.Array, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
+
+
+def _places(k: np.ndarray, lengths: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where the k-th words of texts lie when texts of n words stand in a row."""
+    return k.astype(np.int64) + np.repeat(np.cumsum(n) - n, lengths)
+
+
+def _transitions(units: np.ndarray, n: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Previous and next unit of every transition of texts of n units, and the text of each."""
+    row = np.repeat(np.arange(len(n)), n)
+    full = np.full(len(units) + len(n), edge, np.int64)
+    full[np.arange(len(units)) + row] = units
+    return np.concatenate([[edge], full[:-1]]), full, np.repeat(np.arange(len(n)), n + 1)
+
+
+def _found(df: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """df with lists fk and fv: the places of its words of lists ks and hs that `values` has, and their value."""
+    each = df.select("_row", F.explode(F.arrays_zip("ks", "hs")).alias("w")).select("_row", F.col("w.ks").alias("k"), F.col("w.hs").alias("h"))
+    met = each.join(values.select("h", value), "h").groupBy("_row").agg(F.collect_list(F.struct("k", value)).alias("f"))
+    return df.join(met.select("_row", F.col("f.k").alias("fk"), F.col(f"f.{value}").alias("fv")), "_row", "left")
+
+
+def _encoded(rows: DataFrame, text_col: str, id_col: str, shared, tail: DataFrame) -> DataFrame:
+    """Each row's words as unit ids; words with a hash for an id stand in the lists ks and hs.  `own` and `plus` sum the logarithms of counts."""
+    kind = rows.schema[id_col].dataType.simpleString()
+    lists = "ids array<int>, ks array<int>, hs array<bigint>"
+
+    def by_table(s: tg.Slice, kept: pa.RecordBatch) -> list[pa.Array]:
+        t = shared.value
+        s = _lowered(s)
+        w = tg.words(s)
+        hashes = tg.segment_hash(s.data, w.starts, w.ends)
+        at, known = t.find(hashes)
+        ids = UNSEEN + _spelling(s.data, w)
+        ids[known] -= UNSEEN
+        c = t.counts[at[known]] if len(t.counts) else np.zeros(0, np.int64)
+        own = np.flatnonzero(known)[c >= FLOOR]
+        if len(own):
+            ids[own] = RANKED + t.ranks[at[own]]
+        add = lambda x: np.bincount(w.row[known], x, s.rows)
+        rest, n = np.flatnonzero(~known), np.diff(w.bounds)
+        times = np.bincount(w.row[rest], minlength=s.rows)
+        return [
+            *kept.columns, longs(np.bincount(w.row[known], minlength=s.rows)), pa.array(add(np.log10(c))), pa.array(add(np.log10(c + 1))),
+            _as_lists(pa.array(ids.astype(np.int32)), n), _as_lists(pa.array((rest - w.bounds[w.row[rest]]).astype(np.int32)), times), _as_lists(pa.array(hashes[rest].view(np.int64)), times),
+        ]
+
+    def by_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n = _lists(b.column("ids"))
+            (ks, times), (hs, _), (fk, found), (c, _) = (_lists(b.column(x)) for x in ("ks", "hs", "fk", "fv"))
+            ids, at, rows_ = ids.astype(np.int32), _places(fk, found, n), len(n)
+            hash_of = np.zeros(len(ids), np.int64)
+            hash_of[_places(ks, times, n)] = hs
+            ids[at] -= UNSEEN
+            row = np.repeat(np.arange(rows_), found)
+            many = c >= FLOOR
+            plus = lambda name, x: pa.array(b.column(name).to_numpy() + np.bincount(row, x, rows_))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("_row"), b.column(id_col), b.column("_held"), longs(n + 1), longs(b.column("n_known").to_numpy() + found), plus("own", np.log10(c)), plus("plus", np.log10(c + 1)),
+                    _as_lists(pa.array(ids), n), _as_lists(pa.array(fk[many].astype(np.int32)), np.bincount(row[many], minlength=rows_)), _as_lists(pa.array(hash_of[at[many]]), np.bincount(row[many], minlength=rows_)),
+                ],
+                names=["_row", id_col, "_held", "n_tokens", "n_known", "own", "plus", "ids", "ks", "hs"],
+            )
+
+    first = map_slices(rows, text_col, [id_col, "_held"], by_table, f"{id_col} {kind}, _held boolean, n_known bigint, own double, plus double, {lists}")
+    # Once written, a row's number is fixed; it keeps repeated rows apart.
+    first = written(first.withColumn("_row", F.monotonically_increasing_id()))
+    return written(_found(first, tail, "c").mapInArrow(by_count, f"_row bigint, {id_col} {kind}, _held boolean, n_tokens bigint, n_known bigint, own double, plus double, {lists}"))
+
+
+def _pairs(texts: DataFrame) -> DataFrame:
+    """Sparse bigrams of all units of encoded texts: a, b, c."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = _lists(batch.column(0))
+            (ks, times), (hs, _) = _lists(batch.column(1)), _lists(batch.column(2))
+            units = ids.astype(np.int64)
+            units[_places(ks, times, n)] = hs
+            before, after, _ = _transitions(units, n, BOUNDARY)
+            order = np.lexsort((after, before))
+            before, after = before[order], after[order]
+            first = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (after[1:] != after[:-1])])[: len(before)])
+            yield pa.RecordBatch.from_arrays([pa.array(before[first]), pa.array(after[first]), longs(np.diff(np.append(first, len(before))))], names=["a", "b", "c"])
+
+    return texts.select("ids", "ks", "hs").mapInArrow(count, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
+def best_classes(cls: np.ndarray, n: np.ndarray, ctx: np.ndarray, c: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Each unit's best class but the last, given n[u] counts `c` of unit u with the classes `ctx` after it and, k higher, before it.
+
+    `sides` holds the class bigrams twice, each row the counts of one ctx with
+    every class.  Best is the highest rise of the likelihood when the unit is
+    taken from its old class and put there, all other units held; where no class
+    is better, the old one stays.  `sides` then follows the moves.
+    """
+    k, row, unit = sides.shape[1], np.repeat(np.arange(len(cls)), n), np.arange(len(cls))
+    h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+    own, now = cls[row], sides[ctx]
+    gain = h(now + c[:, None]) - h(now)
+    mine = now[np.arange(len(c)), own]
+    gain[np.arange(len(c)), own] = h(mine) - h(mine - c)
+    score = np.add.reduceat(gain, np.cumsum(n) - n, axis=0)
+    for side in (0, 1):
+        whole = sides[side * k : side * k + k].sum(0)
+        m = np.bincount(row, c * ((ctx >= k) == side), len(cls))
+        put = h(whole + m[:, None]) - h(whole)
+        put[unit, cls] = h(whole[cls]) - h(whole[cls] - m)
+        score -= put
+    old = score[unit, cls]
+    score[:, -1] = -np.inf
+    new = score.argmax(1)
+    new = np.where(score[unit, new] > old + 1e-9, new, cls)
+    went = (new != cls)[row]
+    np.subtract.at(sides, (ctx[went], own[went]), c[went])
+    np.add.at(sides, (ctx[went], new[row[went]]), c[went])
+    return new
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Class-bigram log-likelihood, without the part that no class changes."""
+    h = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    return h(table) - h(table.sum(0)) - h(table.sum(1))
+
+
+def exchange_rounds(pairs: DataFrame, small: np.ndarray, rare: DataFrame, classes: int) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """Classes of all units after the best round: of small ids as an array, of hashes as (h, cls), and the class bigrams.
+
+    `small` and `rare` are the start; each round is written.
+    """
+    spark = pairs.sparkSession
+    best, share = None, [1.0, 1.0]
+    for done in range(ROUNDS + 1):
+        near = F.broadcast(spark.createDataFrame(pd.DataFrame({"unit": np.arange(len(small), dtype=np.int64), "cls": small.astype(np.int32)})))
+        is_small = lambda c: F.col(c).between(0, len(small) - 1)  # noqa: E731, B023
+
+        def with_class(unit: str, of: str, shift: int, near=near, rare=rare, is_small=is_small) -> DataFrame:
+            rows = pairs.select(F.col(unit).alias("u"), F.col(of).alias("unit"), "c")
+            both = rows.filter(is_small("unit")).join(near, "unit").select("u", "cls", "c").unionByName(rows.filter(~is_small("unit")).join(rare.withColumnRenamed("h", "unit"), "unit").select("u", "cls", "c"))
+            return both.select("u", (F.col("cls") + shift).alias("ctx"), "c")
+
+        around = with_class("a", "b", 0).unionByName(with_class("b", "a", classes)).groupBy("u", "ctx").agg(F.sum("c").alias("c"))
+        lists = around.groupBy(F.col("u").alias("unit")).agg(F.collect_list(F.struct("ctx", "c")).alias("f")).select("unit", F.col("f.ctx").alias("ctx"), F.col("f.c").alias("n"))
+        lists = written(lists.filter(is_small("unit")).join(near, "unit").unionByName(lists.filter(~is_small("unit")).join(rare.withColumnRenamed("h", "unit"), "unit")))
+        sums = lists.select("cls", F.explode(F.arrays_zip("ctx", "n")).alias("w")).filter(F.col("w.ctx") < classes).groupBy("cls", F.col("w.ctx").alias("ctx")).agg(F.sum("w.n").alias("c")).toPandas()
+        table = np.zeros((classes, classes))
+        table[sums.cls.to_numpy(np.int64), sums.ctx.to_numpy(np.int64)] = sums.c.to_numpy(np.float64)
+        reached = likelihood(table)
+        if best is None or reached > best[0]:
+            best = (reached, small, rare, table, lists)
+        else:
+            share[(done - 1) % 2] /= 2
+        if done == ROUNDS:
+            break
+        _, small, rare, table, lists = best
+        shared = spark.sparkContext.broadcast(table)
+        own_turn = is_small("unit") if done % 2 == 0 else ~is_small("unit")
+        moves = own_turn & (F.col("unit") != BOUNDARY) & (F.pmod(F.xxhash64("unit", F.lit(done)), F.lit(1024)) < share[done % 2] * 1024)
+
+        def move(batches: Iterator[pa.RecordBatch], shared=shared, step=(1, 32)[done % 2]) -> Iterator[pa.RecordBatch]:
+            sides = np.concatenate([shared.value.T, shared.value])
+            for whole in batches:
+                # Few units at a time, frequent ones singly: each move in a task sees those before it.
+                for lo in range(0, len(whole), step):
+                    b = whole.slice(lo, step)
+                    (ctx, n), (c, _) = _lists(b.column("ctx")), _lists(b.column("n"))
+                    new = best_classes(b.column("cls").to_numpy(), n, ctx, c.astype(np.float64), sides)
+                    yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(new.astype(np.int32))], names=["h", "cls"])
+
+        moved = lists.filter(moves).select("unit", "cls", "ctx", "n").mapInArrow(move, "h bigint, cls int")
+        moved = written(moved.unionByName(lists.filter(~moves).select(F.col("unit").alias("h"), "cls")))
+        small, rare = small.copy(), moved.filter(~F.col("h").between(0, len(small) - 1))
+        for r in moved.filter(F.col("h").between(0, len(small) - 1)).collect():  # at most TABLE_WORDS and the buckets
+            small[r.h] = r.cls
+        small[UNSEEN:RANKED] = small[:SPELLING_UNITS]
+    return best[1], best[2], best[3]
+
+
 def score_texts(
     docs: DataFrame,
     learn: Column,
@@ -186,7 +399,7 @@ def score_texts(
     top = counts.filter(level >= cut).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     order = np.argsort(top.h.to_numpy(np.int64).view(np.uint64), kind="stable")
     rank = np.arange(len(top))[order]
-    table = FrequentWords(top.h.to_numpy(np.int64).view(np.uint64)[order], top.c.to_numpy(np.int64)[order], np.where(rank < HEAD_UNITS, rank, -1))
+    table = FrequentWords(top.h.to_numpy(np.int64).view(np.uint64)[order], top.c.to_numpy(np.int64)[order], np.where(rank < HEAD_UNITS, rank, -1), rank)
     shared = spark.sparkContext.broadcast(table)
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,78 +421,53 @@ def score_texts(
     bigrams = np.zeros(UNITS * UNITS)
     bigrams[pairs.pair.to_numpy(np.int64)] = pairs.c.to_numpy(np.float64)
     bigrams = bigrams.reshape(UNITS, UNITS)
-    class_of = exchange(bigrams)
-    member = np.zeros((UNITS, CLASSES))
-    member[np.arange(UNITS), class_of] = 1
-    between = member.T @ bigrams @ member
-    once = (between.sum(0) + 1) / (between.sum() + CLASSES)
+    tail = counts.filter(level < cut)
+    n_units = int(counts.filter(F.col("c") >= FLOOR).count())
+    classes = class_count(n_units)
+    start = exchange(bigrams, classes)
+    small = np.zeros(RANKED + len(top), np.int32)
+    small[:SPELLING_UNITS] = small[UNSEEN:RANKED] = start[HEAD_UNITS:EDGE]
+    small[BOUNDARY] = start[EDGE]
+    # Words beyond the start are dealt over the classes: words that begin in one class could never part from it.
+    place = np.arange(len(top))
+    small[RANKED:] = np.where(place < HEAD_UNITS, start[np.minimum(place, HEAD_UNITS - 1)], place % (classes - 1))
+    rare = tail.filter(F.col("c") >= FLOOR).select("h", F.pmod("h", F.lit(classes - 1)).cast("int").alias("cls"))
+    texts = _encoded(rows, text_col, id_col, shared, tail)
+    bounded_batches(spark)
+    small, rare, between = exchange_rounds(written(_pairs(texts.filter(~F.col("_held")))), small, rare, classes)
+    once = (between.sum(0) + 1) / (between.sum() + classes)
     transition = np.log10((between + BACK_OFF * once) / (between.sum(1, keepdims=True) + BACK_OFF))
-    once_seen = np.zeros(UNITS)
-    for r in counts.filter("c = 1").groupBy("spelling").count().collect():  # at most SPELLING_UNITS rows
-        once_seen[HEAD_UNITS + r.spelling] = r["count"]
-    head = top.head(HEAD_UNITS)
-    single = head.c.to_numpy() == 1
-    once_seen[: len(head)] = single
-    np.subtract.at(once_seen, HEAD_UNITS + head.spelling.to_numpy(np.int64)[single], 1)
     #: A class gives words never seen the mass of its words seen once, and one more.
-    unseen = member.T @ once_seen + 1
+    unseen = np.ones(classes)
+    for r in counts.filter("c = 1").groupBy("spelling").count().collect():  # at most SPELLING_UNITS rows
+        unseen[small[r.spelling]] += r["count"]
     whole = np.log10(between.sum(0) + unseen)
-    whole[class_of[EDGE]] = 0.0
-
-    def score_locally(s: tg.Slice, kept: pa.RecordBatch) -> list[pa.Array]:
-        """Transitions, frequent words and class sizes of each text; its rarer words as hashes with class and times."""
-        t = shared.value
-        s = _lowered(s)
-        w = tg.words(s)
-        hashes = tg.segment_hash(s.data, w.starts, w.ends)
-        units, at, known = _units(t, s.data, w, hashes)
-        before, after = _with_edges(units, w, s.rows)
-        row_of = np.empty(len(after), np.int64)
-        row_of[np.arange(len(units)) + w.row] = w.row
-        row_of[w.bounds[1:] + np.arange(s.rows)] = np.arange(s.rows)
-        moves = np.bincount(row_of, transition[class_of[before], class_of[after]], s.rows)
-        c = t.counts[at[known]].astype(float) if len(t.counts) else np.zeros(0)
-        add = lambda where, x: np.bincount(where, x, s.rows)
-        rest = np.flatnonzero(~known)
-        code = tg.mix(np.arange(1, s.rows + 1, dtype=np.uint64))
-        _, first, times = np.unique(hashes[rest] ^ code[w.row[rest]], return_index=True, return_counts=True)
-        rest = rest[first]
-        back = np.argsort(w.row[rest], kind="stable")
-        rest, times = rest[back], times[back]
-        bounds = pa.array(np.searchsorted(w.row[rest], np.arange(s.rows + 1)).astype(np.int32))
-        listed = lambda x: pa.ListArray.from_arrays(bounds, x)
-        return [
-            *kept.columns, longs(np.diff(w.bounds) + 1), longs(np.bincount(w.row[known], minlength=s.rows)),
-            pa.array(moves - add(w.row, whole[class_of[units]]) + add(w.row[known], np.log10(c))), pa.array(add(w.row[known], np.log10(c + 1))),
-            listed(pa.array(hashes[rest].view(np.int64))), listed(pa.array(class_of[units[rest]].astype(np.int32))), listed(pa.array(times.astype(np.int32))),
-        ]
-
-    local = map_slices(rows, text_col, [id_col, "_held"], score_locally, f"{id_col} {kind}, _held boolean, n_tokens bigint, n_known bigint, own double, plus double, hs array<bigint>, cs array<int>, ts array<int>")
-    # Once written, a row's number is fixed; it keeps repeated rows apart.
-    local = written(local.withColumn("_row", F.monotonically_increasing_id()))
-    rare = local.select("_row", F.explode(F.arrays_zip("hs", "cs", "ts")).alias("w")).select("_row", F.col("w.hs").alias("h"), F.col("w.cs").alias("cls"), F.col("w.ts").alias("t"))
-    tail = counts.filter(level < cut).select("h", "c")
-    mass = F.array(*[F.lit(float(x)) for x in np.log10(unseen)])
-    seen = F.col("c").isNotNull()
-    per_row = (
-        rare.join(tail, "h", "left")
-        .groupBy("_row")
-        .agg(
-            F.sum(F.when(seen, F.col("t")).otherwise(0)).alias("r_known"),
-            F.sum(F.when(seen, F.col("t") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("r_plus"),
-            F.sum(F.col("t") * F.when(seen, F.log10("c")).otherwise(F.element_at(mass, F.col("cls") + 1))).alias("r_own"),
-        )
-    )
-    or_0 = lambda c: F.coalesce(F.col(c), F.lit(0))
+    whole[small[BOUNDARY]] = 0.0
+    missing, edge = np.log10(unseen), int(small[BOUNDARY])
+    class_of = spark.sparkContext.broadcast(small)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n = _lists(b.column("ids"))
+            (fk, found), (fv, _) = _lists(b.column("fk")), _lists(b.column("fv"))
+            cls = class_of.value[ids].astype(np.int64)
+            cls[_places(fk, found, n)] = fv
+            before, after, row = _transitions(cls, n, edge)
+            never = (ids >= UNSEEN) & (ids < RANKED)
+            words = np.repeat(np.arange(len(n)), n)
+            total = np.bincount(row, transition[before, after] - whole[after], len(n)) + np.bincount(words[never], missing[cls[never]], len(n))
+            keep = [id_col, "_held", "n_tokens", "n_known", "plus"]
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in keep], pa.array(b.column("own").to_numpy() + total)], names=[*keep, "score"])
+
+    scored = _found(texts, rare, "cls").mapInArrow(score, f"{id_col} {kind}, _held boolean, n_tokens bigint, n_known bigint, plus double, score double")
     log_n = float(np.log10(n + v + 1))
-    score = F.col("own") + or_0("r_own")
-    return local.join(per_row, "_row", "left").select(
+    return scored.select(
         id_col,
         F.col("_held").alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + or_0("r_known") + int(ends > 0)).cast("long").alias("n_known"),
+        (F.col("n_known") + int(ends > 0)).cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("plus") + or_0("r_plus") + float(np.log10(ends + 1)) - F.col("n_tokens") * log_n).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        (F.col("plus") + float(np.log10(ends + 1)) - F.col("n_tokens") * log_n).alias("base_score"),
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -176,6 +176,38 @@ def test_exchange_raises_likelihood():
     assert likelihood(found, 5) > likelihood(start, 5) and found[-1] == 4 and (found[:-1] != 4).all() and CLASSES > 5
 
 
+def test_exchange_rounds_class_words_beyond_the_head(spark, monkeypatch):
+    """Words that share one spelling bucket and lie beyond the table get classes of their own, and the rounds raise the likelihood."""
+    import proofmill.llm.language_model as lm
+
+    rnd = random.Random(3)
+    kinds = [[f"{''.join(rnd.choice('bcdfg') for _ in range(6))}ing" for _ in range(60)] for _ in range(2)]
+    rows = [(i, " ".join(x for _ in range(12) for x in (("the", rnd.choice(kinds[0])) if rnd.random() < 0.5 else ("of", rnd.choice(kinds[1]))))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, rounds = [], lm.exchange_rounds
+    monkeypatch.setattr(lm, "exchange_rounds", lambda *a: kept.append((a, rounds(*a))) or kept[-1][1])
+    score_texts(docs, F.lit(True), table_words=10).count()
+    (pairs, small, rare, classes), (small_after, after, table) = kept[0]
+    assert rare.count() == after.count() >= 100
+    sparse = [(r.a, r.b, r.c) for r in pairs.collect()]
+
+    def class_bigrams(small, rare):
+        cls, found = dict(enumerate(small)) | {r.h: r.cls for r in rare.collect()}, np.zeros((classes, classes))
+        for a, b, c in sparse:
+            found[cls[a], cls[b]] += c
+        return found
+
+    assert (class_bigrams(small_after, after) == table).all()
+    assert lm.likelihood(table) > lm.likelihood(class_bigrams(small, rare))
+    assert len({r.cls for r in after.collect()}) > 1
+
+
+def test_class_count_rises_with_the_vocabulary():
+    from proofmill.llm.language_model import class_count
+
+    assert class_count(0) == CLASSES and CLASSES < class_count(10**6) < class_count(10**7)
+
+
 def brute_url(url, rules):
     url = url or ""
     host = path = ""
