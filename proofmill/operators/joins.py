@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.folders import written
+
 
 def attach_last(rows: DataFrame, actions: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
     """Each row with the fields of the last action of its key; the row's own values come first."""
@@ -119,15 +121,39 @@ def upsert_checked(rows: DataFrame, key: str, owner: str, order: list[Column]) -
     return first, conflicts
 
 
-def walk_chain(spark, rows: DataFrame, key: str, cursor: str, following: str, head: str, most: int = 1000) -> DataFrame:
-    """How far the chain from `head` reaches in each key and whether a cursor repeats (a recursive query)."""
-    rows.createOrReplaceTempView("_chain_rows")
-    return spark.sql(f"""
-        WITH RECURSIVE walk MAX RECURSION LEVEL {most + 1} AS (
-          SELECT {key}, {cursor} AS at, {following} AS next, 1 AS depth FROM _chain_rows WHERE {cursor} = '{head}'
-          UNION ALL
-          SELECT r.{key}, r.{cursor}, r.{following}, w.depth + 1 FROM walk w JOIN _chain_rows r ON r.{key} = w.{key} AND r.{cursor} = w.next WHERE w.depth < {most})
-        SELECT {key}, max(depth) AS depth, max_by(next, depth) IS NULL AS complete FROM walk GROUP BY {key}""")
+def walk_chain(rows: DataFrame, key: str, cursor: str, following: str, head: str) -> DataFrame:
+    """How many cursors the chain from `head` reaches in each key and whether it comes to an end.
+
+    Pointers are doubled in written rounds until no new cursor is reached, so
+    rounds follow the logarithm of the longest chain and a cycle ends by itself.
+    A chain is incomplete where a cursor is absent, in a cycle, or where a
+    cursor that is reached repeats with another following one (the least is
+    followed).  Keys without `head` have no row.
+    """
+    node = rows.groupBy(F.col(key).alias("_k"), F.col(cursor).alias("at")).agg(F.min(following).alias("next"), F.bool_or(F.col(following).isNull()).alias("_ends"), F.count_distinct(following).alias("_n"))
+    nodes = written(node.select("_k", "at", "next", ((F.col("_n") > 1) | F.col("_ends") & (F.col("_n") > 0)).alias("_repeats")))
+
+    def met(of: DataFrame, at: str) -> tuple[DataFrame, Column]:
+        """`of` under other names, and the condition that its cursor is `at`."""
+        return of.select(F.col("_k").alias("_j"), F.col("at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in of.columns[2:]]), F.col("_k").eqNullSafe(F.col("_j")) & (F.col(at) == F.col("_at"))
+
+    jump = written(nodes.filter(F.col("next").isNotNull()).select("_k", "at", F.col("next").alias("to")))
+    reached = written(nodes.filter(F.col("at") == head).select("_k", "at"))
+    known = nodes.select("_k", "at")
+    size = reached.count()
+    while True:
+        further, on = met(jump, "at")
+        ahead = reached.join(further, on).select("_k", F.col("_to").alias("at"))
+        there, on = met(known, "at")
+        reached = written(reached.unionByName(ahead.join(there, on, "left_semi")).distinct())
+        before, size = size, reached.count()
+        if size == before:
+            break
+        twice, on = met(jump, "to")
+        jump = written(jump.join(twice, on).select("_k", "at", F.col("_to").alias("to")))
+    of_node, on = met(nodes, "at")
+    walked = reached.join(of_node, on).groupBy(F.col("_k").alias(key))
+    return walked.agg(F.count("*").alias("depth"), (F.bool_or(F.col("_next").isNull()) & ~F.bool_or("__repeats")).alias("complete"))
 
 
 def rule_matches(lines: DataFrame, text: str, rules: dict[str, str], guard: str | None = None) -> DataFrame:

@@ -123,10 +123,24 @@ def pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, CAST(max(turn) + 1 AS INTEGER) AS depth, true AS complete FROM conversations GROUP BY 1 HAVING count(DISTINCT turn) = max(turn) + 1")
 def thread_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("turn")).alias("t"))
-    rows = turns.filter(F.size("t") == F.array_max("t") + 1).select("conv_id", F.explode("t").alias("turn"), F.array_max("t").alias("top"))
-    chain = rows.select("conv_id", F.col("turn").cast("string").alias("cursor"), F.when(F.col("turn") < F.col("top"), (F.col("turn") + 1).cast("string")).alias("following"))
-    return J.walk_chain(spark, chain, "conv_id", "cursor", "following", "0").select("conv_id", F.col("depth").cast("int").alias("depth"), "complete")
+    return _threads(table(spark, sf_dir, "conversations")).filter("complete")
+
+
+@query("""WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM (SELECT DISTINCT conv_id, turn FROM conversations))
+SELECT conv_id, CAST(count(*) FILTER (WHERE turn = place) AS INTEGER) AS depth, false AS complete FROM n GROUP BY 1 HAVING count(*) FILTER (WHERE turn = place) < max(turn) + 1""")
+def thread_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _threads(table(spark, sf_dir, "conversations")).filter("not complete")
+
+
+def _threads(conversations: DataFrame) -> DataFrame:
+    """Each conversation with the turns that follow one another from the first, and whether these are all."""
+    turns = conversations.select("conv_id", "turn").distinct()
+    last = conversations.groupBy(F.col("conv_id").alias("_c")).agg(F.max("turn").alias("top"))
+    ends = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("turn") == F.col("top"))
+    chain = turns.join(last, ends, "left").select("conv_id", F.col("turn").cast("string").alias("cursor"), F.when(F.col("top").isNull(), (F.col("turn") + 1).cast("string")).alias("following"))
+    walked = J.walk_chain(chain, "conv_id", "cursor", "following", "0").withColumnRenamed("conv_id", "_w")
+    every = last.join(walked, F.col("_c").eqNullSafe(F.col("_w")), "left")
+    return every.select(F.col("_c").alias("conv_id"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), F.coalesce("complete", F.lit(False)).alias("complete"))
 
 
 @query("WITH f AS (SELECT l_partkey, arg_min(l_suppkey, l_orderkey * 100 + l_linenumber) AS s FROM lineitem GROUP BY 1) SELECT l_partkey, count(*) AS conflicts FROM lineitem JOIN f USING (l_partkey) WHERE l_suppkey <> s GROUP BY 1")
