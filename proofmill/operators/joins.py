@@ -58,12 +58,12 @@ ZERO_PAIR_GROUPS = 2_000
 def overlaps(rows: DataFrame, entity: str, group: str, zeros: bool = True) -> DataFrame:
     """For each pair of groups how many entities have both; with `zeros`, pairs without one count zero.
 
-    Pairs are made inside the short list of groups of one entity, never of rows.
+    Pairs are made inside the list of groups of one entity, each a row of its own.
     Zero pairs are a report on a short domain: more than ZERO_PAIR_GROUPS groups are refused.
     """
     lists = rows.select(entity, group).distinct().groupBy(entity).agg(F.array_sort(F.collect_set(group)).alias("_g"))
-    pairs = F.flatten(F.transform("_g", lambda a: F.transform(F.filter("_g", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    found = lists.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("common"))
+    each = lists.select("_g", F.posexplode("_g").alias("i", "a")).select("a", F.explode(F.slice("_g", F.col("i") + 2, F.size("_g"))).alias("b"))
+    found = each.groupBy("a", "b").agg(F.count("*").alias("common"))
     if not zeros:
         return found
     names = sorted(r[0] for r in rows.select(group).distinct().filter(F.col(group).isNotNull()).limit(ZERO_PAIR_GROUPS + 1).collect())

@@ -109,6 +109,15 @@ def hashtag_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.overlaps(tags, "doc_id", "tag")
 
 
+@query()
+def tag_frequencies_and_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A09 of all tags of whole texts (those of hashtags_mentions): texts with tag a, and where b is given with both."""
+    t = F.regexp_replace(F.regexp_replace("text", " th", " #Th"), " re", " @Re")
+    tags = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.hashtags(t)).alias("tag"))
+    alone = tags.distinct().groupBy(F.col("tag").alias("a")).agg(F.count("*").alias("texts"))
+    return alone.select("a", F.lit(None).cast("string").alias("b"), "texts").unionByName(J.overlaps(tags, "doc_id", "tag", zeros=False).withColumnRenamed("common", "texts"))
+
+
 @query("SELECT l_suppkey, count(*) FILTER (WHERE l_discount > 0) AS used, count(*) FILTER (WHERE l_discount <= 0) AS excluded, round(median(l_quantity) FILTER (WHERE l_discount > 0), 6) AS middle FROM lineitem GROUP BY 1")
 def median_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = F.col("l_discount") > 0
