@@ -1,29 +1,37 @@
 """LM scoring: a Brown class-based bigram model with exchange clustering (operator 1).
 
-Every word seen at least FLOOR times is a unit of clustering of its own,
-however many there are; words seen less often, or never, go by SPELLING_UNITS
-buckets of their last bytes, so every word has a class.  The number of classes
-rises with the vocabulary (`class_count`).
-
-The clustering starts on the driver from a matrix of fixed size: the HEAD_UNITS
-most frequent words and, for the start only, buckets of all others (`exchange`).
-Then come exchange rounds on Spark over sparse bigram counts of all units: the
-counts of each unit with the classes around it are summed by groupBy, and each
-unit takes its best class by the classes-squared table of the round, which is
-broadcast.  Each round is written.  Frequent units and all others move in turn,
-each task seeing only its own moves, so the likelihood is summed anew after each
-round; a round that lowers it is taken back, and the next turn of its kind moves
-half as many units.  A text's probability is the product of class transitions and word
-emissions; both are smoothed and sum to one.
-
-Frequent words travel as a table of bounded size (TABLE_WORDS); every rarer
-word is joined to its count and its class by a shuffle on its hash, and no rare
-word can be hot.  Words are compared by 64-bit hashes.
+Units of the clustering are the most frequent words (TABLE_WORDS at most, in a
+broadcast table), SPELLING_UNITS buckets of the last bytes of all other words,
+and the text boundary.  One pass over the training texts gathers each unit's
+sparse counts of the units before and after it (`contexts`), merged by a shuffle
+on the unit; the exchange rounds then only read that table:
+
+1. the HEAD_UNITS most frequent units are clustered on the driver from their own
+   bigrams, a matrix of fixed size (`exchange`);
+2. every other unit enters the class where the likelihood rises most;
+3. in ROUNDS rounds half of the units in turn move to their best class by the
+   class bigrams of the round.  A task sees its own moves only, so the
+   likelihood is summed anew after each round, and a round that lowers it is
+   taken back and the next moves fewer units.
+
+Words beyond the table have contexts of their own in the same pass.  Each that
+was seen FLOOR times or more takes its best class by them, however many there
+are; words seen less often, or never, take the class of their spelling bucket.
+The number of classes rises with the vocabulary (`class_count`).
+
+P(word | before) = P(class | history class) x P(word | class).  The history
+class of a word is its class, and that of its spelling bucket for a word beyond
+the table.  Transitions are interpolated with the class unigram.  A class keeps
+mass for words never seen: that of its words seen once and one more, shared out
+over an estimate of the number of such words, so emissions sum to one.
+
+Words beyond the table are joined to their count and class by a shuffle on
+their hash; none of them can be hot.  Words are compared by 64-bit hashes.
 
 Defined cases: null and empty texts hold only the end token; a null id counts
 as the empty text for the fold and stays null; repeated rows are learned from
 and scored each; other columns are ignored; an empty table gives an empty
-result, and without training rows scores are 0 where nothing is known.
+result; without training rows every word is unknown.
 """
 
 from __future__ import annotations
@@ -32,38 +40,38 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.llm import textgrid as tg
-from proofmill.llm.common import bounded_batches, longs, map_slices, written
+from proofmill.llm.common import bounded_batches, longs, map_slices, shared_folder, written
 
-#: Most words that get a row of their own in the broadcast table of frequent words.
-TABLE_WORDS = 65_536
-#: Units of the driver's start: the most frequent words, then spelling buckets, then the text boundary.
-HEAD_UNITS = 767
+#: Most words of the broadcast table: 16 bytes each, 4 MB.
+TABLE_WORDS = 262_144
+#: Units that the driver clusters at the start.
+HEAD_UNITS = 1023
 SPELLING_UNITS = 256
-#: Times a word must be seen to be a unit of its own in the rounds.
+#: Times a word beyond the table must be seen to have a class by its own contexts.
 FLOOR = 2
 #: Least number of classes.
-CLASSES = 48
+CLASSES = 8
 SWEEPS = 4
-#: Exchange rounds on Spark; frequent words and all others move in turn.
 ROUNDS = 4
 #: Weight of the class unigram in the class transitions, in tokens.
 BACK_OFF = 50.0
+#: Bigrams that a task holds before it sends them.
+BUFFER = 1 << 22
+ROWS = 1 << 14
 
 
 @dataclass
 class FrequentWords:
-    """Hashes in ascending order with their training counts, units of the start and ranks; some 2 MB at most."""
+    """Hashes in ascending order with their training counts and ranks by count."""
 
     hashes: np.ndarray
     counts: np.ndarray
-    units: np.ndarray
     ranks: np.ndarray
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +82,11 @@ class FrequentWords:
         return at, self.hashes[at] == hashes
 
 
+def class_count(n_words: int) -> int:
+    """Classes for so many words: 57 for 186,000, 311 for 30 million."""
+    return max(CLASSES, int(np.ceil(np.cbrt(n_words))))
+
+
 def _lowered(s: tg.Slice) -> tg.Slice:
     return tg.Slice(s.lo, s.hi, tg.LOWER[s.data], s.offsets)
 
@@ -86,40 +99,13 @@ def _spelling(data: np.ndarray, w: tg.Words) -> np.ndarray:
     return (tg.mix(last | before << np.uint64(8) | long_ << np.uint64(16)) % np.uint64(SPELLING_UNITS)).astype(np.int64)
 
 
-def _units(table: FrequentWords, data: np.ndarray, w: tg.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit of each word, its place in the table, and whether it is there."""
-    at, known = table.find(hashes)
-    units = HEAD_UNITS + _spelling(data, w)
-    own = known & (table.units[at] >= 0) if len(table.units) else known
-    units[own] = table.units[at[own]]
-    return units, at, known
-
-
-EDGE = HEAD_UNITS + SPELLING_UNITS
-UNITS = EDGE + 1
+def _h(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
-#: Ids of units in the rounds: buckets, the text boundary, buckets of words never seen, frequent words by rank; other words by hash.
-BOUNDARY = SPELLING_UNITS
-UNSEEN = BOUNDARY + 1
-RANKED = UNSEEN + SPELLING_UNITS
 
-
-def class_count(n_units: int) -> int:
-    """Classes for so many units: 94 for 186,000, 638 for 30 million."""
-    return max(CLASSES, int(np.ceil(n_units**0.375)))
-
-
-def _with_edges(units: np.ndarray, w: tg.Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Previous and next unit of every transition: each text starts after and ends with the edge."""
-    n = np.diff(w.bounds)
-    full = np.full(len(units) + rows, EDGE, np.int64)
-    place = np.arange(len(units)) + w.row
-    full[place] = units
-    before = np.empty(len(full), np.int64)
-    before[0:1] = EDGE
-    before[1:] = full[:-1]
-    assert len(full) == int(n.sum()) + rows
-    return before, full
+def likelihood(table: np.ndarray) -> float:
+    """Class-bigram log-likelihood, without the part that no class changes."""
+    return float(_h(table).sum() - _h(table.sum(0)).sum() - _h(table.sum(1)).sum())
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -137,7 +123,6 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     member[np.arange(n_units), of] = 1
     right, left = bigrams @ member, member.T @ bigrams
     table = member.T @ right
-    h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
     for _ in range(sweeps):
         moved = 0
         for u in np.argsort(-weight[:-1], kind="stable"):
@@ -152,10 +137,10 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             table[old, old] += self_
             rows, cols = table.sum(1), table.sum(0)
             # Gain of adding the unit to each class g, the rest unchanged.
-            gain = (h(table + r) - h(table)).sum(1) + (h(table + c[:, None]) - h(table)).sum(0)
+            gain = (_h(table + r) - _h(table)).sum(1) + (_h(table + c[:, None]) - _h(table)).sum(0)
             d = np.diagonal(table)
-            gain += h(d + r + c + self_) - h(d + r) - h(d + c) + h(d)
-            gain -= h(rows + r.sum() + self_) - h(rows) + h(cols + c.sum() + self_) - h(cols)
+            gain += _h(d + r + c + self_) - _h(d + r) - _h(d + c) + _h(d)
+            gain -= _h(rows + r.sum() + self_) - _h(rows) + _h(cols + c.sum() + self_) - _h(cols)
             gain[classes - 1] = -np.inf
             new = int(np.argmax(gain))
             if gain[new] <= gain[old] + 1e-9:
@@ -180,203 +165,288 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _as_lists(values: pa.Array, lengths: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
+def _as_lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 
 
-def _places(k: np.ndarray, lengths: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Where the k-th words of texts lie when texts of n words stand in a row."""
-    return k.astype(np.int64) + np.repeat(np.cumsum(n) - n, lengths)
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
 
 
-def _transitions(units: np.ndarray, n: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Previous and next unit of every transition of texts of n units, and the text of each."""
-    row = np.repeat(np.arange(len(n)), n)
-    full = np.full(len(units) + len(n), edge, np.int64)
-    full[np.arange(len(units)) + row] = units
-    return np.concatenate([[edge], full[:-1]]), full, np.repeat(np.arange(len(n)), n + 1)
+def _with_edges(codes: np.ndarray, w: tg.Words, rows: int, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Previous and next code of every transition (each text starts after and ends with the edge); where each word's own is."""
+    full = np.full(len(codes) + rows, edge, np.int64)
+    place = np.arange(len(codes)) + w.row
+    full[place] = codes
+    return np.concatenate([[edge], full[:-1]])[: len(full)], full, place
 
 
-def _found(df: DataFrame, values: DataFrame, value: str) -> DataFrame:
-    """df with lists fk and fv: the places of its words of lists ks and hs that `values` has, and their value."""
-    each = df.select("_row", F.explode(F.arrays_zip("ks", "hs")).alias("w")).select("_row", F.col("w.ks").alias("k"), F.col("w.hs").alias("h"))
-    met = each.join(values.select("h", value), "h").groupBy("_row").agg(F.collect_list(F.struct("k", value)).alias("f"))
-    return df.join(met.select("_row", F.col("f.k").alias("fk"), F.col(f"f.{value}").alias("fv")), "_row", "left")
+def _codes(t: FrequentWords, s: tg.Slice) -> tuple[tg.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a lower-cased slice: hashes, spelling, unit of each, place in the table, whether it is there."""
+    w = tg.words(s)
+    hashes, spelling = tg.segment_hash(s.data, w.starts, w.ends), _spelling(s.data, w)
+    at, known = t.find(hashes)
+    units = len(t.hashes) + spelling
+    units[known] = t.ranks[at[known]]
+    return w, hashes, spelling, units, at, known
 
 
-def _encoded(rows: DataFrame, text_col: str, id_col: str, shared, tail: DataFrame) -> DataFrame:
-    """Each row's words as unit ids; words with a hash for an id stand in the lists ks and hs.  `own` and `plus` sum the logarithms of counts."""
-    kind = rows.schema[id_col].dataType.simpleString()
-    lists = "ids array<int>, ks array<int>, hs array<bigint>"
+CONTEXTS = "rare boolean, u bigint, spelling int, ctx array<int>, n array<int>"
 
-    def by_table(s: tg.Slice, kept: pa.RecordBatch) -> list[pa.Array]:
-        t = shared.value
-        s = _lowered(s)
-        w = tg.words(s)
-        hashes = tg.segment_hash(s.data, w.starts, w.ends)
-        at, known = t.find(hashes)
-        ids = UNSEEN + _spelling(s.data, w)
-        ids[known] -= UNSEEN
-        c = t.counts[at[known]] if len(t.counts) else np.zeros(0, np.int64)
-        own = np.flatnonzero(known)[c >= FLOOR]
-        if len(own):
-            ids[own] = RANKED + t.ranks[at[own]]
-        add = lambda x: np.bincount(w.row[known], x, s.rows)
-        rest, n = np.flatnonzero(~known), np.diff(w.bounds)
-        times = np.bincount(w.row[rest], minlength=s.rows)
-        return [
-            *kept.columns, longs(np.bincount(w.row[known], minlength=s.rows)), pa.array(add(np.log10(c))), pa.array(add(np.log10(c + 1))),
-            _as_lists(pa.array(ids.astype(np.int32)), n), _as_lists(pa.array((rest - w.bounds[w.row[rest]]).astype(np.int32)), times), _as_lists(pa.array(hashes[rest].view(np.int64)), times),
-        ]
 
-    def by_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, n = _lists(b.column("ids"))
-            (ks, times), (hs, _), (fk, found), (c, _) = (_lists(b.column(x)) for x in ("ks", "hs", "fk", "fv"))
-            ids, at, rows_ = ids.astype(np.int32), _places(fk, found, n), len(n)
-            hash_of = np.zeros(len(ids), np.int64)
-            hash_of[_places(ks, times, n)] = hs
-            ids[at] -= UNSEEN
-            row = np.repeat(np.arange(rows_), found)
-            many = c >= FLOOR
-            plus = lambda name, x: pa.array(b.column(name).to_numpy() + np.bincount(row, x, rows_))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("_row"), b.column(id_col), b.column("_held"), longs(n + 1), longs(b.column("n_known").to_numpy() + found), plus("own", np.log10(c)), plus("plus", np.log10(c + 1)),
-                    _as_lists(pa.array(ids), n), _as_lists(pa.array(fk[many].astype(np.int32)), np.bincount(row[many], minlength=rows_)), _as_lists(pa.array(hash_of[at[many]]), np.bincount(row[many], minlength=rows_)),
-                ],
-                names=["_row", id_col, "_held", "n_tokens", "n_known", "own", "plus", "ids", "ks", "hs"],
-            )
-
-    first = map_slices(rows, text_col, [id_col, "_held"], by_table, f"{id_col} {kind}, _held boolean, n_known bigint, own double, plus double, {lists}")
-    # Once written, a row's number is fixed; it keeps repeated rows apart.
-    first = written(first.withColumn("_row", F.monotonically_increasing_id()))
-    return written(_found(first, tail, "c").mapInArrow(by_count, f"_row bigint, {id_col} {kind}, _held boolean, n_tokens bigint, n_known bigint, own double, plus double, {lists}"))
+def _context_rows(rare: bool, u: np.ndarray, spelling: np.ndarray | None, ctx: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of CONTEXTS from entries sorted by u."""
+    start = _runs(u)
+    ends = np.append(start[1:], len(u))
+    for lo in range(0, len(start), ROWS):
+        a, z = start[lo : lo + ROWS], ends[lo : lo + ROWS]
+        part = slice(a[0], z[-1])
+        own = np.zeros(len(a), np.int32) if spelling is None else spelling[a].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rare)), longs(u[a]), pa.array(own), _as_lists(ctx[part].astype(np.int32), z - a), _as_lists(n[part].astype(np.int32), z - a)], names=["rare", "u", "spelling", "ctx", "n"])
 
 
-def _pairs(texts: DataFrame) -> DataFrame:
-    """Sparse bigrams of all units of encoded texts: a, b, c."""
+def contexts(train: DataFrame, text_col: str, shared, units: int) -> DataFrame:
+    """For each unit, and each word beyond the table by its hash (`rare`): the units before it (ctx) and after it (ctx - units) with counts n."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, others, held = [], [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            both, times = np.unique(np.concatenate(pairs), return_counts=True)
+            a, b = both // units, both % units
+            yield from _context_rows(False, a, None, b + units, times)
+            order = np.argsort(b, kind="stable")
+            yield from _context_rows(False, b[order], None, a[order], times[order])
+            h, spelling, before, after = (np.concatenate(x) for x in zip(*others, strict=True))
+            order = np.repeat(np.argsort(h, kind="stable"), 2)
+            ctx = np.where(np.arange(len(order)) % 2 == 0, before[order], after[order] + units)
+            yield from _context_rows(True, h[order], spelling[order], ctx, np.ones(len(ctx), np.int32))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n = _lists(batch.column(0))
-            (ks, times), (hs, _) = _lists(batch.column(1)), _lists(batch.column(2))
-            units = ids.astype(np.int64)
-            units[_places(ks, times, n)] = hs
-            before, after, _ = _transitions(units, n, BOUNDARY)
-            order = np.lexsort((after, before))
-            before, after = before[order], after[order]
-            first = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (after[1:] != after[:-1])])[: len(before)])
-            yield pa.RecordBatch.from_arrays([pa.array(before[first]), pa.array(after[first]), longs(np.diff(np.append(first, len(before))))], names=["a", "b", "c"])
-
-    return texts.select("ids", "ks", "hs").mapInArrow(count, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.sum("c").alias("c"))
-
-
-def best_classes(cls: np.ndarray, n: np.ndarray, ctx: np.ndarray, c: np.ndarray, sides: np.ndarray) -> np.ndarray:
-    """Each unit's best class but the last, given n[u] counts `c` of unit u with the classes `ctx` after it and, k higher, before it.
-
-    `sides` holds the class bigrams twice, each row the counts of one ctx with
-    every class.  Best is the highest rise of the likelihood when the unit is
-    taken from its old class and put there, all other units held; where no class
-    is better, the old one stays.  `sides` then follows the moves.
+            for s in tg.text_slices(batch.column(0)):
+                w, hashes, spelling, code, _, known = _codes(shared.value, _lowered(s))
+                before, after, place = _with_edges(code, w, s.rows, units - 1)
+                pairs.append(before * units + after)
+                rest = np.flatnonzero(~known)
+                at = place[rest]
+                others.append((hashes[rest].view(np.int64), spelling[rest], before[at], after[at + 1]))
+                held += len(after)
+                if held > BUFFER:
+                    yield from sent()
+                    pairs, others, held = [], [], 0
+        if pairs:
+            yield from sent()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by word: entries of one word are added up; the last word waits for the next batch."""
+        waiting: tuple[np.ndarray, ...] | None = None
+
+        def added(rare: np.ndarray, u: np.ndarray, spelling: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+            group = np.cumsum(np.concatenate([[0], (u[1:] != u[:-1]) | (rare[1:] != rare[:-1])])[: len(u)])
+            key = group * (2 * units) + ctx
+            order = np.argsort(key, kind="stable")
+            start = _runs(key[order])
+            first = order[start]
+            return rare[first], u[first], spelling[first], ctx[first], np.add.reduceat(n[order], start)
+
+        def out(rare: np.ndarray, u: np.ndarray, spelling: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for kind in (False, True):
+                of = rare == kind
+                if of.any():
+                    yield from _context_rows(kind, u[of], spelling[of], ctx[of], n[of])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            (ctx, length), (n, _) = _lists(b.column(3)), _lists(b.column(4))
+            row = np.repeat(np.arange(len(length)), length)
+            now = (b.column(0).to_numpy(zero_copy_only=False)[row], b.column(1).to_numpy()[row], b.column(2).to_numpy()[row], ctx.astype(np.int64), n.astype(np.int64))
+            if waiting is not None:
+                now = tuple(np.concatenate([x, y]) for x, y in zip(waiting, now, strict=True))
+            done = added(*now)
+            last = (done[1] == done[1][-1]) & (done[0] == done[0][-1])
+            waiting = tuple(x[last] for x in done)
+            if not last.all():
+                yield from out(*(x[~last] for x in done))
+        if waiting is not None:
+            yield from out(*waiting)
+
+    spark = train.sparkSession
+    bounded_batches(spark)
+    met = train.select(text_col).mapInArrow(gather, CONTEXTS).repartition("rare", "u").sortWithinPartitions("rare", "u").mapInArrow(merge, CONTEXTS)
+    at = shared_folder(spark)
+    met.write.partitionBy("rare").parquet(at)
+    return spark.read.schema(CONTEXTS).parquet(at)
+
+
+def by_class(ctx: np.ndarray, length: np.ndarray, n: np.ndarray, of: np.ndarray, units: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries added up by row and class of the unit: row, class (of a unit after the word: `classes` higher), count; units without a class are left out."""
+    row, cls = np.repeat(np.arange(len(length)), length), of[ctx % units]
+    have = cls >= 0
+    key = row[have] * (2 * classes) + cls[have] + (ctx[have] >= units) * classes
+    order = np.argsort(key, kind="stable")
+    start = _runs(key[order])
+    key = key[order[start]]
+    return key // (2 * classes), key % (2 * classes), np.add.reduceat(n[have][order], start).astype(np.float64) if len(start) else np.zeros(0)
+
+
+def best_classes(cls: np.ndarray, row: np.ndarray, ctx: np.ndarray, c: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Each word's best class but the last, given its counts c with classes ctx (`by_class`, sorted by row).
+
+    `sides` holds, for each class before and then each class after, its counts
+    with every class.  Best is the highest rise of the likelihood when the word
+    is taken from its old class (-1: it has none) and put there, all others
+    held; where no class is better, the old one stays.  `sides` follows the moves.
     """
-    k, row, unit = sides.shape[1], np.repeat(np.arange(len(cls)), n), np.arange(len(cls))
-    h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-    own, now = cls[row], sides[ctx]
-    gain = h(now + c[:, None]) - h(now)
-    mine = now[np.arange(len(c)), own]
-    gain[np.arange(len(c)), own] = h(mine) - h(mine - c)
-    score = np.add.reduceat(gain, np.cumsum(n) - n, axis=0)
+    k, old = sides.shape[1], cls[row]
+    now = sides[ctx]
+    gain = _h(now + c[:, None]) - _h(now)
+    mine = np.flatnonzero(old >= 0)
+    have = now[mine, old[mine]]
+    gain[mine, old[mine]] = _h(have) - _h(have - c[mine])
+    score = np.zeros((len(cls), k))
+    start = _runs(row)
+    if len(start):
+        score[row[start]] = np.add.reduceat(gain, start, axis=0)
+    unit = np.flatnonzero(cls >= 0)
     for side in (0, 1):
         whole = sides[side * k : side * k + k].sum(0)
         m = np.bincount(row, c * ((ctx >= k) == side), len(cls))
-        put = h(whole + m[:, None]) - h(whole)
-        put[unit, cls] = h(whole[cls]) - h(whole[cls] - m)
+        put = _h(whole + m[:, None]) - _h(whole)
+        put[unit, cls[unit]] = _h(whole[cls[unit]]) - _h(np.maximum(whole[cls[unit]] - m[unit], 0))
         score -= put
-    old = score[unit, cls]
     score[:, -1] = -np.inf
     new = score.argmax(1)
-    new = np.where(score[unit, new] > old + 1e-9, new, cls)
+    stay = unit[score[unit, new[unit]] <= score[unit, cls[unit]] + 1e-9]
+    new[stay] = cls[stay]
     went = (new != cls)[row]
-    np.subtract.at(sides, (ctx[went], own[went]), c[went])
+    left = went & (old >= 0)
+    np.subtract.at(sides, (ctx[left], old[left]), c[left])
     np.add.at(sides, (ctx[went], new[row[went]]), c[went])
     return new
 
 
-def likelihood(table: np.ndarray) -> float:
-    """Class-bigram log-likelihood, without the part that no class changes."""
-    h = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
-    return h(table) - h(table.sum(0)) - h(table.sum(1))
+def _sides(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, table.T])
 
 
-def exchange_rounds(pairs: DataFrame, small: np.ndarray, rare: DataFrame, classes: int) -> tuple[np.ndarray, DataFrame, np.ndarray]:
-    """Classes of all units after the best round: of small ids as an array, of hashes as (h, cls), and the class bigrams.
+def _class_bigrams(rows: DataFrame, fn, classes: int) -> np.ndarray:
+    """Class bigrams of rows; fn gives a batch's own classes, and (row, class before, count)."""
 
-    `small` and `rare` are the start; each round is written.
-    """
-    spark = pairs.sparkSession
-    best, share = None, [1.0, 1.0]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes)
+        for b in batches:
+            own, row, before, c = fn(b)
+            good = own[row] >= 0
+            total += np.bincount(before[good] * classes + own[row[good]], c[good], classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([longs(at), longs(total[at])], names=["pair", "c"])
+
+    sums = rows.mapInArrow(count, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()  # classes squared at most
+    table = np.zeros(classes * classes)
+    table[sums.pair.to_numpy(np.int64)] = sums.c.to_numpy(np.float64)
+    return table.reshape(classes, classes)
+
+
+def exchange_rounds(near: DataFrame, units: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit after the best round, and the class bigrams of units alone."""
+    spark, edge = near.sparkSession, units - 1
+    near = near.select("u", "ctx", "n")
+    n_head = min(HEAD_UNITS, edge)
+    ids = np.append(np.arange(n_head), edge)
+    is_head = lambda c: (c < n_head) | (c == edge)
+    after = F.filter(F.arrays_zip("ctx", "n"), lambda e: (e["ctx"] >= units) & is_head(e["ctx"] - units))
+    found = near.filter(is_head(F.col("u"))).select("u", F.explode(after).alias("e")).select("u", F.col("e.ctx").alias("v"), F.col("e.n").alias("c")).toPandas()  # HEAD_UNITS squared at most
+    start = np.zeros((n_head + 1, n_head + 1))
+    start[np.minimum(found.u.to_numpy(np.int64), n_head), np.minimum(found.v.to_numpy(np.int64) - units, n_head)] = found.c.to_numpy(np.float64)
+    of = np.full(units, -1, np.int64)
+    of[ids] = exchange(start, classes)
+
+    def table_of(of: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(of)
+
+        def sums(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            (ctx, length), (n, _) = _lists(b.column(1)), _lists(b.column(2))
+            row, ctx_cls, c = by_class(ctx.astype(np.int64), length, n, shared.value, units, classes)
+            left = ctx_cls < classes
+            return shared.value[b.column(0).to_numpy()], row[left], ctx_cls[left], c[left]
+
+        return _class_bigrams(near, sums, classes)
+
+    def moved(of: np.ndarray, table: np.ndarray, chosen: Column) -> np.ndarray:
+        shared = spark.sparkContext.broadcast((of, table))
+
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, table = shared.value
+            sides = _sides(table)
+            for whole in batches:
+                # Few units at a time: each move in a task sees those before it.
+                for lo in range(0, len(whole), 64):
+                    b = whole.slice(lo, 64)
+                    u = b.column(0).to_numpy()
+                    (ctx, length), (n, _) = _lists(b.column(1)), _lists(b.column(2))
+                    new = best_classes(of[u], *by_class(ctx.astype(np.int64), length, n, of, units, classes), sides)
+                    yield pa.RecordBatch.from_arrays([b.column(0), longs(new)], names=["u", "cls"])
+
+        got = near.filter((F.col("u") != edge) & chosen).mapInArrow(move, "u bigint, cls bigint").toPandas()  # a row for each unit at most
+        out = of.copy()
+        out[got.u.to_numpy(np.int64)] = got.cls.to_numpy(np.int64)
+        return out
+
+    of = moved(of, table_of(of), F.col("u") >= n_head)
+    best, share = None, 0.5
     for done in range(ROUNDS + 1):
-        near = F.broadcast(spark.createDataFrame(pd.DataFrame({"unit": np.arange(len(small), dtype=np.int64), "cls": small.astype(np.int32)})))
-        is_small = lambda c: F.col(c).between(0, len(small) - 1)  # noqa: E731, B023
-
-        def with_class(unit: str, of: str, shift: int, near=near, rare=rare, is_small=is_small) -> DataFrame:
-            rows = pairs.select(F.col(unit).alias("u"), F.col(of).alias("unit"), "c")
-            both = rows.filter(is_small("unit")).join(near, "unit").select("u", "cls", "c").unionByName(rows.filter(~is_small("unit")).join(rare.withColumnRenamed("h", "unit"), "unit").select("u", "cls", "c"))
-            return both.select("u", (F.col("cls") + shift).alias("ctx"), "c")
-
-        around = with_class("a", "b", 0).unionByName(with_class("b", "a", classes)).groupBy("u", "ctx").agg(F.sum("c").alias("c"))
-        lists = around.groupBy(F.col("u").alias("unit")).agg(F.collect_list(F.struct("ctx", "c")).alias("f")).select("unit", F.col("f.ctx").alias("ctx"), F.col("f.c").alias("n"))
-        lists = written(lists.filter(is_small("unit")).join(near, "unit").unionByName(lists.filter(~is_small("unit")).join(rare.withColumnRenamed("h", "unit"), "unit")))
-        sums = lists.select("cls", F.explode(F.arrays_zip("ctx", "n")).alias("w")).filter(F.col("w.ctx") < classes).groupBy("cls", F.col("w.ctx").alias("ctx")).agg(F.sum("w.n").alias("c")).toPandas()
-        table = np.zeros((classes, classes))
-        table[sums.cls.to_numpy(np.int64), sums.ctx.to_numpy(np.int64)] = sums.c.to_numpy(np.float64)
+        table = table_of(of)
         reached = likelihood(table)
         if best is None or reached > best[0]:
-            best = (reached, small, rare, table, lists)
+            best = (reached, of, table)
         else:
-            share[(done - 1) % 2] /= 2
-        if done == ROUNDS:
-            break
-        _, small, rare, table, lists = best
-        shared = spark.sparkContext.broadcast(table)
-        own_turn = is_small("unit") if done % 2 == 0 else ~is_small("unit")
-        moves = own_turn & (F.col("unit") != BOUNDARY) & (F.pmod(F.xxhash64("unit", F.lit(done)), F.lit(1024)) < share[done % 2] * 1024)
+            share /= 2
+        if done < ROUNDS:
+            turn = F.pmod(F.xxhash64("u") + F.lit(done * 512), F.lit(1024))
+            of = moved(best[1], best[2], turn < int(share * 1024))
+    of = best[1].copy()
+    of[of < 0] = 0  # units without training tokens: their spelling buckets may still be asked for
+    return of, best[2]
 
-        def move(batches: Iterator[pa.RecordBatch], shared=shared, step=(1, 32)[done % 2]) -> Iterator[pa.RecordBatch]:
-            sides = np.concatenate([shared.value.T, shared.value])
-            for whole in batches:
-                # Few units at a time, frequent ones singly: each move in a task sees those before it.
-                for lo in range(0, len(whole), step):
-                    b = whole.slice(lo, step)
-                    (ctx, n), (c, _) = _lists(b.column("ctx")), _lists(b.column("n"))
-                    new = best_classes(b.column("cls").to_numpy(), n, ctx, c.astype(np.float64), sides)
-                    yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array(new.astype(np.int32))], names=["h", "cls"])
-
-        moved = lists.filter(moves).select("unit", "cls", "ctx", "n").mapInArrow(move, "h bigint, cls int")
-        moved = written(moved.unionByName(lists.filter(~moves).select(F.col("unit").alias("h"), "cls")))
-        small, rare = small.copy(), moved.filter(~F.col("h").between(0, len(small) - 1))
-        for r in moved.filter(F.col("h").between(0, len(small) - 1)).collect():  # at most TABLE_WORDS and the buckets
-            small[r.h] = r.cls
-        small[UNSEEN:RANKED] = small[:SPELLING_UNITS]
-    return best[1], best[2], best[3]
-
-
-def score_texts(
-    docs: DataFrame,
-    learn: Column,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    table_words: int = TABLE_WORDS,
-) -> DataFrame:
-    """Every row's score under a model of the rows for which `learn` holds.
 
-    Columns: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one
-    unigram), score (the class model), perplexity.
-    """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col), (~learn).alias("_held"))
+@dataclass
+class ClassModel:
+    """A fitted model: arrays bounded by the table and the classes squared, and (h, c, cls) of the words beyond the table."""
+
+    table: FrequentWords
+    classes_of: np.ndarray
+    rare: DataFrame
+    bigrams: np.ndarray
+    words: int
+    tokens: int
+    texts: int
+    once: np.ndarray
+    twice: int
+
+    @property
+    def units(self) -> int:
+        return len(self.table.hashes) + SPELLING_UNITS + 1
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """log10 of the transitions, of each class's emission denominator, and of the mass of one word never seen."""
+        k, n = len(self.bigrams), self.bigrams
+        prior = (n.sum(0) + 1) / (n.sum() + k)
+        transition = np.log10((n + BACK_OFF * prior) / (n.sum(1, keepdims=True) + BACK_OFF))
+        unseen = np.bincount(self.classes_of[len(self.table.hashes) : -1], self.once, k) + 1.0
+        # The number of words never seen, by those seen once and twice; a class has its part of them.
+        once = self.once.sum()
+        hidden = max(1.0, once * (once - 1) / (2 * (self.twice + 1)))
+        each = unseen.sum() / max(hidden, unseen.sum() / unseen.min())
+        whole = np.log10(n.sum(0) + unseen)
+        whole[-1] = 0.0  # the boundary's class holds nothing else
+        return transition, whole, float(np.log10(each))
+
+
+def fit_classes(rows: DataFrame, text_col: str = "text", table_words: int = TABLE_WORDS) -> ClassModel:
+    """The model of the texts of rows."""
+    spark = rows.sparkSession
 
     def count_words(s: tg.Slice, _: pa.RecordBatch) -> list[pa.Array]:
         s = _lowered(s)
@@ -384,90 +454,117 @@ def score_texts(
         hashes, first, counts = np.unique(tg.segment_hash(s.data, w.starts, w.ends), return_index=True, return_counts=True)
         return [pa.array(hashes.view(np.int64)), longs(_spelling(s.data, w)[first]), longs(counts)]
 
-    train = rows.filter(~F.col("_held"))
-    counts = written(map_slices(train, text_col, [], count_words, "h bigint, spelling bigint, c bigint").groupBy("h", "spelling").agg(F.sum("c").alias("c")))
-    sums = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    ends = train.count()
-    v, n = sums.v + (ends > 0), sums.n + ends
+    counts = written(map_slices(rows, text_col, [], count_words, "h bigint, spelling bigint, c bigint").groupBy("h", "spelling").agg(F.sum("c").alias("c")))
+    sums = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") == 2).alias("twice"), F.count_if(F.col("c") >= FLOOR).alias("units")).first()
+    once = np.zeros(SPELLING_UNITS)
+    for r in counts.filter("c = 1").groupBy("spelling").count().collect():  # at most SPELLING_UNITS rows
+        once[r.spelling] = r["count"]
     # The frequent words are those above a count that a histogram of log counts (some thousand rows at most) gives,
     # so no task sends more words than the table may hold in all.
     level = F.floor(F.log2("c") * 64).cast("int")
     sizes = sorted(((r.level, r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
-    full = np.cumsum([c for _, c in sizes]) if sizes else np.zeros(0)
-    fits = int(np.searchsorted(full, table_words, side="right"))
+    fits = int(np.searchsorted(np.cumsum([c for _, c in sizes]), table_words, side="right")) if sizes else 0
     cut = sizes[fits - 1][0] if fits else 1 << 30
     top = counts.filter(level >= cut).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
-    order = np.argsort(top.h.to_numpy(np.int64).view(np.uint64), kind="stable")
-    rank = np.arange(len(top))[order]
-    table = FrequentWords(top.h.to_numpy(np.int64).view(np.uint64)[order], top.c.to_numpy(np.int64)[order], np.where(rank < HEAD_UNITS, rank, -1), rank)
-    shared = spark.sparkContext.broadcast(table)
-
-    def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(UNITS * UNITS, np.int64)
-        # UNITS is a constant: the counts of a task have one fixed size.
-        for batch in batches:
-            for s in tg.text_slices(batch.column(0)):
-                s = _lowered(s)
-                w = tg.words(s)
-                units, _, _ = _units(shared.value, s.data, w, tg.segment_hash(s.data, w.starts, w.ends))
-                before, after = _with_edges(units, w, s.rows)
-                total += np.bincount(before * UNITS + after, minlength=UNITS * UNITS)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "c"])
-
-    pairs = train.select(text_col).mapInArrow(count_bigrams, "pair bigint, c bigint").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
-    bigrams = np.zeros(UNITS * UNITS)
-    bigrams[pairs.pair.to_numpy(np.int64)] = pairs.c.to_numpy(np.float64)
-    bigrams = bigrams.reshape(UNITS, UNITS)
-    tail = counts.filter(level < cut)
-    n_units = int(counts.filter(F.col("c") >= FLOOR).count())
-    classes = class_count(n_units)
-    start = exchange(bigrams, classes)
-    small = np.zeros(RANKED + len(top), np.int32)
-    small[:SPELLING_UNITS] = small[UNSEEN:RANKED] = start[HEAD_UNITS:EDGE]
-    small[BOUNDARY] = start[EDGE]
-    # Words beyond the start are dealt over the classes: words that begin in one class could never part from it.
-    place = np.arange(len(top))
-    small[RANKED:] = np.where(place < HEAD_UNITS, start[np.minimum(place, HEAD_UNITS - 1)], place % (classes - 1))
-    rare = tail.filter(F.col("c") >= FLOOR).select("h", F.pmod("h", F.lit(classes - 1)).cast("int").alias("cls"))
-    texts = _encoded(rows, text_col, id_col, shared, tail)
-    bounded_batches(spark)
-    small, rare, between = exchange_rounds(written(_pairs(texts.filter(~F.col("_held")))), small, rare, classes)
-    once = (between.sum(0) + 1) / (between.sum() + classes)
-    transition = np.log10((between + BACK_OFF * once) / (between.sum(1, keepdims=True) + BACK_OFF))
-    #: A class gives words never seen the mass of its words seen once, and one more.
-    unseen = np.ones(classes)
-    for r in counts.filter("c = 1").groupBy("spelling").count().collect():  # at most SPELLING_UNITS rows
-        unseen[small[r.spelling]] += r["count"]
-    whole = np.log10(between.sum(0) + unseen)
-    whole[small[BOUNDARY]] = 0.0
-    missing, edge = np.log10(unseen), int(small[BOUNDARY])
-    class_of = spark.sparkContext.broadcast(small)
+    hashes = top.h.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    table = FrequentWords(hashes[order], top.c.to_numpy(np.int64)[order], np.arange(len(top))[order])
+    units, classes = len(top) + SPELLING_UNITS + 1, class_count(int(sums.units))
+    met = contexts(rows, text_col, spark.sparkContext.broadcast(table), units)
+    of, bigrams = exchange_rounds(met.filter("not rare"), units, classes)
+    shared = spark.sparkContext.broadcast((of, bigrams))
+    n_top = len(top)
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, bigrams = shared.value
+        sides = _sides(bigrams)
+        for whole in batches:
+            for lo in range(0, len(whole), 1024):
+                b = whole.slice(lo, 1024)
+                (ctx, length), (n, _) = _lists(b.column(2)), _lists(b.column(3))
+                row, cls, c = by_class(ctx.astype(np.int64), length, n, of, units, classes)
+                left = cls < classes
+                times = np.bincount(row[left], c[left], len(b)).astype(np.int64)
+                new = np.where(times >= FLOOR, best_classes(np.full(len(b), -1), row, cls, c, sides.copy()), of[n_top + b.column(1).to_numpy()])
+                yield pa.RecordBatch.from_arrays([b.column(0), longs(times), pa.array(new.astype(np.int32)), _as_lists(cls[left].astype(np.int32), np.bincount(row[left], minlength=len(b))), _as_lists(c[left].astype(np.int64), np.bincount(row[left], minlength=len(b)))], names=["h", "c", "cls", "before", "n"])
+
+    rare = written(met.filter("rare").select(F.col("u").alias("h"), "spelling", "ctx", "n").mapInArrow(classed, "h bigint, c bigint, cls int, before array<int>, n array<bigint>"))
+
+    def sums_of(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        (before, length), (n, _) = _lists(b.column(1)), _lists(b.column(2))
+        return b.column(0).to_numpy().astype(np.int64), np.repeat(np.arange(len(length)), length), before.astype(np.int64), n.astype(np.float64)
+
+    # The words beyond the table leave their spelling buckets: as what is predicted each counts for its own class.
+    parts = [_class_bigrams(rare.select("cls", "before", "n"), sums_of, classes)]
+    shared_of = spark.sparkContext.broadcast(of)
+
+    def own_of(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        (ctx, length), (n, _) = _lists(b.column(1)), _lists(b.column(2))
+        row, cls, c = by_class(ctx.astype(np.int64), length, n, shared_of.value, units, classes)
+        left = cls < classes
+        return shared_of.value[b.column(0).to_numpy()], row[left], cls[left], c[left]
+
+    own = met.filter("not rare").filter((F.col("u") < n_top) | (F.col("u") == units - 1)).select("u", "ctx", "n")
+    parts.append(_class_bigrams(own, own_of, classes))
+    return ClassModel(table, of, rare.select("h", "c", "cls"), sum(parts), int(sums.v), int(sums.n), rows.count(), once, int(sums.twice))
+
+
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
+    """Every row's score under a model of the rows for which `learn` holds.
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Columns: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one
+    unigram), score (the class model), perplexity.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (~learn).alias("_held"))
+    return score_with(fit_classes(rows.filter(~F.col("_held")), "_text", table_words), rows).withColumnRenamed("_id", id_col)
+
+
+def score_with(model: ClassModel, rows: DataFrame) -> DataFrame:
+    """Scores of rows (_id, _text, _held)."""
+    spark, units = rows.sparkSession, model.units
+    kind, n_top, edge = rows.schema["_id"].dataType.simpleString(), len(model.table.hashes), units - 1
+    transition, whole, missing = model.weights()
+    shared = spark.sparkContext.broadcast((model.table, model.classes_of, transition, whole))
+    lists = "hs array<bigint>, history array<int>, own array<int>"
+
+    def by_table(s: tg.Slice, kept: pa.RecordBatch) -> list[pa.Array]:
+        t, of, transition, whole = shared.value
+        w, hashes, _, code, at, known = _codes(t, _lowered(s))
+        before, after, place = _with_edges(of[code], w, s.rows, of[edge])
+        step = transition[before, after] - whole[after]
+        c = t.counts[at[known]] if n_top else np.zeros(0, np.int64)
+        rest = np.flatnonzero(~known)
+        step[place[rest]] = 0
+        row = np.repeat(np.arange(s.rows), np.diff(w.bounds) + 1)
+        times = np.bincount(w.row[rest], minlength=s.rows)
+        add = lambda x: np.bincount(w.row[known], x, s.rows).astype(np.float64)
+        return [
+            *kept.columns, longs(np.diff(w.bounds) + 1), longs(add(None)), pa.array(add(np.log10(c + 1))), pa.array(add(np.log10(np.maximum(c, 1))) + np.bincount(row, step, s.rows)),
+            _as_lists(hashes[rest].view(np.int64), times), _as_lists(before[place[rest]].astype(np.int32), times), _as_lists(of[code[rest]].astype(np.int32), times),
+        ]
+
+    def by_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, transition, whole = shared.value
         for b in batches:
-            ids, n = _lists(b.column("ids"))
-            (fk, found), (fv, _) = _lists(b.column("fk")), _lists(b.column("fv"))
-            cls = class_of.value[ids].astype(np.int64)
-            cls[_places(fk, found, n)] = fv
-            before, after, row = _transitions(cls, n, edge)
-            never = (ids >= UNSEEN) & (ids < RANKED)
-            words = np.repeat(np.arange(len(n)), n)
-            total = np.bincount(row, transition[before, after] - whole[after], len(n)) + np.bincount(words[never], missing[cls[never]], len(n))
-            keep = [id_col, "_held", "n_tokens", "n_known", "plus"]
-            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in keep], pa.array(b.column("own").to_numpy() + total)], names=[*keep, "score"])
-
-    scored = _found(texts, rare, "cls").mapInArrow(score, f"{id_col} {kind}, _held boolean, n_tokens bigint, n_known bigint, plus double, score double")
-    log_n = float(np.log10(n + v + 1))
-    return scored.select(
-        id_col,
-        F.col("_held").alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + int(ends > 0)).cast("long").alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("plus") + float(np.log10(ends + 1)) - F.col("n_tokens") * log_n).alias("base_score"),
-        "score",
-        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
-    )
+            history, own = (b.column(i).to_numpy() for i in (1, 2))
+            c, cls = b.column(3).fill_null(0).to_numpy(), b.column(4).fill_null(-1).to_numpy()
+            cls = np.where(cls < 0, own, cls)
+            mass = np.where(c > 0, np.log10(np.maximum(c, 1)), missing)
+            yield pa.RecordBatch.from_arrays([b.column(0), longs(c > 0), pa.array(np.log10(c + 1)), pa.array(transition[history, cls] - whole[cls] + mass)], names=["_r", "known", "plus", "score"])
+
+    first = map_slices(rows, "_text", ["_id", "_held"], by_table, f"_id {kind}, _held boolean, n_tokens bigint, n_known bigint, plus double, score double, {lists}")
+    # Once written, a row's number is fixed; it keeps repeated rows apart.
+    first = written(first.withColumn("_row", F.monotonically_increasing_id()))
+    each = first.select(F.col("_row").alias("_r"), F.explode(F.arrays_zip("hs", "history", "own")).alias("w")).select("_r", F.col("w.hs").alias("_h"), "w.history", "w.own")
+    met = each.join(model.rare, F.col("_h") == F.col("h"), "left").select("_r", "history", "own", "c", "cls").mapInArrow(by_count, "_r bigint, known bigint, plus double, score double")
+    sums = met.groupBy("_r").agg(F.sum("known").alias("_known"), F.sum("plus").alias("_plus"), F.sum("score").alias("_score"))
+    n, v, ends = model.tokens + model.texts, model.words + (model.texts > 0), model.texts
+    added = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    out = first.drop("hs", "history", "own").join(sums, F.col("_row") == F.col("_r"), "left").select(
+        "_id", F.col("_held").alias("held_out"), "n_tokens",
+        (added("n_known", "_known") + int(ends > 0)).cast("long").alias("n_known"),
+        F.lit(n).cast("long").alias("train_tokens"),
+        (added("plus", "_plus") + float(np.log10(ends + 1)) - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"),
+        added("score", "_score").alias("score"),
+    )
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -1,10 +1,8 @@
 """Operators that compare texts with each other or with the corpus, against brute force."""
 
 import hashlib
-import math
 import random
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,10 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import proofmill.llm.near_duplicates as nd
-from proofmill.llm.common import fold_of
 from proofmill.llm.components import connected_components
 from proofmill.llm.decontaminate import MASKS, SPAN, contaminated, drop_contaminated
-from proofmill.llm.language_model import CLASSES, exchange, score_texts
 from proofmill.llm.mixing import mixing_weights, sample_mix
 from proofmill.llm.near_duplicates import drop_near_duplicates, matched_depth, near_duplicates
 from proofmill.llm.substring_dedup import remove_repeats
@@ -134,80 +130,6 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[301] == 300 and {got[v] for v in got if 100 <= v < 200} == {100} and 400 not in got
 
 
-def test_class_language_model(docs, corpus, no_docs):
-    got = {r.doc_id: r for r in score_texts(docs, fold_of("doc_id", 7) != 2).collect()}
-    tokens = {i: [*WORD.findall(ascii_lower(t or "")), None] for i, t in corpus}
-    counts = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    for i, ws in tokens.items():
-        r = got[i]
-        assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(counts[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
-        assert r.score < 0 and math.isfinite(r.score)
-    known = [r for r in got.values() if not r.held_out]
-    assert sum(r.score for r in known) > sum(r.base_score for r in known)
-    assert score_texts(no_docs, F.lit(True)).count() == 0
-
-
-def test_language_model_rare_words_join(docs):
-    small = {r.doc_id: r for r in score_texts(docs, fold_of("doc_id", 7) != 2, table_words=20).collect()}
-    full = {r.doc_id: r for r in score_texts(docs, fold_of("doc_id", 7) != 2).collect()}
-    for i, r in full.items():
-        assert small[i].base_score == pytest.approx(r.base_score) and small[i].n_known == r.n_known
-
-
-def test_exchange_raises_likelihood():
-    rng = np.random.default_rng(1)
-    of = np.arange(81) % 4
-    bigrams = rng.poisson(np.where(of[:, None] == (of[None, :] + 1) % 4, 20, 1)).astype(float)
-
-    def likelihood(c, k):
-        m = np.zeros((81, k))
-        m[np.arange(81), c] = 1
-        t = m.T @ bigrams @ m
-        h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1e-9)), 0).sum()
-        return h(t) - h(t.sum(0)) - h(t.sum(1))
-
-    found = exchange(bigrams, classes=5)
-    start = np.empty(81, int)
-    start[np.argsort(-(bigrams.sum(0) + bigrams.sum(1))[:-1], kind="stable")] = np.arange(80) % 4
-    start[-1] = 4
-    assert likelihood(found, 5) > likelihood(start, 5) and found[-1] == 4 and (found[:-1] != 4).all() and CLASSES > 5
-
-
-def test_exchange_rounds_class_words_beyond_the_head(spark, monkeypatch):
-    """Words that share one spelling bucket and lie beyond the table get classes of their own, and the rounds raise the likelihood."""
-    import proofmill.llm.language_model as lm
-
-    rnd = random.Random(3)
-    kinds = [[f"{''.join(rnd.choice('bcdfg') for _ in range(6))}ing" for _ in range(60)] for _ in range(2)]
-    rows = [(i, " ".join(x for _ in range(12) for x in (("the", rnd.choice(kinds[0])) if rnd.random() < 0.5 else ("of", rnd.choice(kinds[1]))))) for i in range(400)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept, rounds = [], lm.exchange_rounds
-    monkeypatch.setattr(lm, "exchange_rounds", lambda *a: kept.append((a, rounds(*a))) or kept[-1][1])
-    score_texts(docs, F.lit(True), table_words=10).count()
-    (pairs, small, rare, classes), (small_after, after, table) = kept[0]
-    assert rare.count() == after.count() >= 100
-    sparse = [(r.a, r.b, r.c) for r in pairs.collect()]
-
-    def class_bigrams(small, rare):
-        cls, found = dict(enumerate(small)) | {r.h: r.cls for r in rare.collect()}, np.zeros((classes, classes))
-        for a, b, c in sparse:
-            found[cls[a], cls[b]] += c
-        return found
-
-    assert (class_bigrams(small_after, after) == table).all()
-    assert lm.likelihood(table) > lm.likelihood(class_bigrams(small, rare))
-    assert len({r.cls for r in after.collect()}) > 1
-
-
-def test_class_count_rises_with_the_vocabulary():
-    from proofmill.llm.language_model import class_count
-
-    assert class_count(0) == CLASSES and CLASSES < class_count(10**6) < class_count(10**7)
-
-
 def brute_url(url, rules):
     url = url or ""
     host = path = ""
