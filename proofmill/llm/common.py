@@ -55,6 +55,11 @@ def map_slices(
     return df.select(F.col(text).alias("_text"), *[F.col(c) for c in keep]).mapInArrow(run, schema)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct: beside it an operator's own names clash with none of them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def longs(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.int64, copy=False))
 

@@ -1,19 +1,28 @@
 """Benchmark decontamination by spaced-seed hashing (operator 10, DataFrame only).
 
-Masks fix which words of a window of SPAN words are hashed; the others may
-differ.  Seeds of all windows of the test items meet the seeds of all windows
-of all documents in one hash join, and each hit is verified: of the words up
-to REACH before and after the window, aligned without gaps, at least
-LEAST_SHARE must be equal, over LEAST_WORDS words or the whole item.
-
-Seeds of the test set are broadcast only while they are at most
-BROADCAST_SEEDS; a larger set is joined by a shuffle of hashes, and the words
-of documents with hits are fetched again for the verification.
-
-Defined cases: null and empty texts have no words; texts and items of fewer
-than SPAN words have no seeds and never match; repeated rows give one result
-for each pair of ids; null ids are grouped as one; columns other than the named
-ones are ignored; empty tables give an empty result.
+A document and a test item overlap where WINDOW consecutive words of both,
+aligned without gaps, have at least LEAST_EQUAL equal words: two of thirteen may
+be replaced.  An item of fewer words overlaps where a document has all its words
+in a row; items below LEAST_ITEM words say nothing and match nothing.
+
+Fixed masks pick the words of a place that are hashed; the others may differ.
+MASKS are complete: wherever two words of a window are replaced, one of the
+masks lies in the window on equal words (a test tries all placements).  So every
+overlap is met by an equal hash, and each hash hit is verified on the words of
+the windows around it.
+
+Hashes of all places of the items meet those of all documents in one join.
+Seeds are (hash, item number, place), never texts: they are broadcast while they
+are at most BROADCAST_SEEDS, some 30 bytes each, and the words around a hit go
+along; more seeds are joined by a shuffle of hashes, and the words of the texts
+that were hit are fetched by the digest of the text.  Both ways find the same
+hits.  The items' words are joined by number afterwards.
+
+Defined cases: null and empty texts have no words and never match; rows that
+repeat an id and a text give one result; items that share an id, with whatever
+texts, are one item in the result, null ids included; columns other than the
+named ones are ignored, and `drop_contaminated` keeps them as they are, whatever
+their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,13 +30,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofmill.llm.common import whole_row, written
+
+WINDOW = 13
+LEAST_EQUAL = 11
+LEAST_ITEM = 5
 #: Fixed masks: 1 hashes the word, 0 ignores it.
-MASKS = ("1101100101", "1010011011")
-SPAN = 10
-REACH = 3
-LEAST_WORDS = 13
-LEAST_SHARE = 0.8
-BROADCAST_SEEDS = 200_000
+MASKS = ("11101011", "1011000111")
+BROADCAST_SEEDS = 500_000
 
 
 def word_list(text: Column) -> Column:
@@ -35,50 +45,72 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(df: DataFrame, words: str, at: str) -> DataFrame:
-    """A row for each window and mask: the window's place and its hash `seed`."""
-    placed = df.filter(F.size(words) >= SPAN).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(words) - SPAN)))
-    hashes = [F.xxhash64(F.lit(m), *[F.col(words)[F.col(at) + i] for i, bit in enumerate(mask) if bit == "1"]) for m, mask in enumerate(MASKS)]
-    return placed.withColumn("seed", F.explode(F.array(*hashes)))
-
-
-def _verified(hits: DataFrame) -> DataFrame:
-    """Hits with the equal words around them, those kept that are overlaps."""
-    lo = F.greatest(F.col("j") - REACH, F.lit(0), F.col("j") - F.col("i"))
-    hi = F.least(F.col("j") + SPAN + REACH, F.size("item_words"), F.col("j") - F.col("i") + F.size("words"))
-    shift = F.col("i") - F.col("j")
-    # Only the words around a hit leave the join.  Masks that hit one place meet in one row before it is verified;
-    # verified below the join instead, the rows of a whole text with all its words would wait in memory.
-    around = hits.select(
-        "_id", "_key", "item", lo.alias("lo"), (lo + shift).alias("first"), F.least(F.lit(LEAST_WORDS), F.size("item_words")).alias("enough"),
-        F.slice("words", lo + shift + 1, hi - lo).alias("mine"), F.slice("item_words", lo + 1, hi - lo).alias("theirs"),
-    )
-    places = around.groupBy("_id", "_key", "item", "lo", "first", "enough").agg(F.first("mine").alias("mine"), F.first("theirs").alias("theirs"))
-    n = F.size("theirs")
-    return (
-        places.withColumn("equal", F.size(F.filter(F.zip_with("mine", "theirs", lambda a, b: a == b), lambda x: x)))
-        .filter((n >= F.col("enough")) & (F.col("equal") >= LEAST_SHARE * n))
-        .select("_id", "_key", "item", "equal", "first", (F.col("first") + n).alias("end"), "lo", (F.col("lo") + n).alias("hi"))
-    )
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _places(df: DataFrame, words: str, at: str, masks: list[str]) -> DataFrame:
+    """A row for each place and mask that fits there: `at`, the mask's `span`, whether it is one of MASKS (`spaced`), and the hash `seed`.
+
+    No exchange, union or write may follow before the words are cut or dropped:
+    a stage holds all rows that one text makes, each with all its words.
+    """
+    size = F.size(words)
+    placed = df.filter(size >= min(map(len, masks))).withColumn(at, F.explode(F.sequence(F.lit(0), size - min(map(len, masks)))))
+
+    def seed(mask: str) -> Column:
+        hashed = F.xxhash64(F.lit(mask), *[F.get(words, F.col(at) + i) for i, bit in enumerate(mask) if bit == "1"])
+        return F.when(F.col(at) + len(mask) <= size, F.struct(hashed.alias("seed"), F.lit(len(mask)).alias("span"), F.lit(mask in MASKS).alias("spaced")))
+
+    return placed.withColumn("_s", F.explode(F.array(*map(seed, masks)))).filter("_s is not null").withColumns({c: F.col(f"_s.{c}") for c in ("seed", "span", "spaced")}).drop("_s")
+
+
+def _around(words: str, at: str) -> Column:
+    """The words of every window that holds the mask at `at`: from `back` places before it to WINDOW after its start."""
+    return F.slice(words, F.col(at) - F.col("back") + 1, F.col("back") + F.lit(WINDOW))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Verified hits: _id, _key (of row and text), item, equal words, places in the document and in the item."""
-    tests = items.select(F.col(item_col).alias("item"), word_list(F.col(item_text_col)).alias("item_words"))
-    seeds = _seeds(tests, "item_words", "j").select("seed", "item", "j", "item_words").dropDuplicates(["seed", "item", "j"])
-    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), word_list(F.col(text_col)).alias("words"))
-    own = _seeds(texts, "words", "i")
-    if seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        return _verified(own.join(F.broadcast(seeds), "seed"))
-    met = own.select("_key", "i", "seed").join(seeds.select("seed", "item", "j"), "seed").select("_key", "i", "item", "j").distinct()
-    return _verified(met.join(texts.dropDuplicates(["_key"]), "_key").join(tests.dropDuplicates(["item"]), "item"))
+    """Verified windows: _id, _key (digest of the text), item, equal words, first and end in the document, lo and hi in the item."""
+    tests = items.select(F.col(item_col).alias("item"), word_list(F.col(item_text_col)).alias("item_words")).filter(F.size("item_words") >= LEAST_ITEM).distinct()
+    tests = written(tests.withColumn("no", F.monotonically_increasing_id()))  # once written, a number is fixed
+    n_item = F.size("item_words")
+    # An item shorter than a window is hashed whole; there are fewer such lengths than words in a window.
+    short = sorted(r.n for r in tests.filter(n_item < WINDOW).select(n_item.alias("n")).distinct().collect())
+    seeds = [_places(tests.filter(n_item >= WINDOW), "item_words", "j", list(MASKS))]
+    seeds += [_places(tests.filter(n_item == n), "item_words", "j", ["1" * n]) for n in short]
+    table = seeds[0].select("seed", "no", "j")
+    for more in seeds[1:]:
+        table = table.union(more.select("seed", "no", "j"))
+    table = written(table)
+    # A window starts at most WINDOW - span places before a mask of a long item, and with the hash of a short one.
+    back = F.when(F.col("spaced"), F.least(F.lit(WINDOW) - F.col("span"), "i", "j")).otherwise(0)
+    texts = docs.select(F.col(id_col).alias("_id"), digest_of(F.col(text_col)).alias("_key"), word_list(F.col(text_col)).alias("words"))
+    own = _places(texts, "words", "i", [*MASKS, *("1" * n for n in short)])
+    if table.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
+        met = own.join(F.broadcast(table), "seed").withColumn("back", back)
+    else:
+        hits = own.select("_id", "_key", "i", "span", "spaced", "seed").join(table, "seed").drop("seed").distinct()
+        once = texts.select(F.col("_key").alias("_k"), "words").dropDuplicates(["_k"])
+        met = hits.join(once, F.col("_key") == F.col("_k")).withColumn("back", back)
+    # Only the words around a hit leave the join.
+    near = met.select("_id", "_key", "no", "i", "j", "back", "span", "spaced", _around("words", "i").alias("mine")).distinct()
+    lengths = F.when(F.col("spaced"), F.lit(WINDOW)).otherwise(F.col("span"))
+    both = near.join(tests, "no").withColumns({"theirs": _around("item_words", "j"), "long": lengths})
+    equal = F.zip_with("mine", "theirs", lambda a, b: F.when(a == b, 1).otherwise(0))
+    start = F.sequence(F.lit(0), F.least(F.size("mine"), F.size("theirs")) - F.col("long"))
+    judged = both.filter(F.least(F.size("mine"), F.size("theirs")) >= F.col("long")).withColumn("same", equal)
+    found = judged.withColumn("at", F.explode(start)).withColumn("equal", F.aggregate(F.slice("same", F.col("at") + 1, F.col("long")), F.lit(0), lambda a, x: a + x))
+    enough = F.when(F.col("spaced"), F.lit(LEAST_EQUAL)).otherwise(F.col("span"))
+    first, lo = F.col("i") - F.col("back") + F.col("at"), F.col("j") - F.col("back") + F.col("at")
+    return found.filter(F.col("equal") >= enough).select("_id", "_key", "item", "equal", first.alias("first"), (first + F.col("long")).alias("end"), lo.alias("lo"), (lo + F.col("long")).alias("hi"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row for each document and test item that share an overlap."""
+    """A row for each document and test item that share an overlap: its windows (of both), most equal words, and where they lie."""
     found = overlaps(docs, items, id_col, text_col, item_col, item_text_col)
     return found.groupBy("_id", "item").agg(
-        F.count_distinct("first").cast("long").alias("n_places"),
+        F.count_distinct("first", "lo").cast("long").alias("n_places"),
         F.max("equal").cast("long").alias("most_equal"),
         F.min("first").cast("long").alias("first_word"),
         F.max("end").cast("long").alias("end_word"),
@@ -88,6 +120,6 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
-    """The rows of docs, all columns as they are, that share no overlap with a test item."""
-    bad = overlaps(docs, items, id_col, text_col, **names).select("_key").distinct()
-    return docs.join(bad, F.xxhash64(docs[id_col], docs[text_col]) == bad["_key"], "left_anti")
+    """The rows of docs, all columns as they are, whose text shares no overlap with a test item."""
+    bad = written(overlaps(docs, items, id_col, text_col, **names).select("_key").distinct())
+    return docs.select(whole_row(docs).alias("_row"), digest_of(F.col(text_col)).alias("_digest")).join(bad, F.col("_digest") == F.col("_key"), "left_anti").select("_row.*")

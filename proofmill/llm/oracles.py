@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from proofmill.llm.decontaminate import LEAST_SHARE, LEAST_WORDS, MASKS, REACH, SPAN
+from proofmill.llm.decontaminate import LEAST_EQUAL, LEAST_ITEM, WINDOW
 from proofmill.llm.license_scan import LEAST_COVER, NEAR_DIAGONALS, templates
 from proofmill.llm.mixing import SWEEPS, TEMPER, TOLERANCE
 from proofmill.llm.near_duplicates import SHINGLE, THRESHOLD
 from proofmill.llm.repetition import GRAM_LIMITS, LINE_LIMIT
-from proofmill.llm.substring_dedup import WINDOW
+from proofmill.llm.substring_dedup import WINDOW as REPEAT
 
 WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -29,9 +29,9 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hp
 
 SUBSTRING_DEDUP = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
-win AS (SELECT doc_id, a, array_to_string(list_slice(ws, a, a + {WINDOW - 1}), ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - {WINDOW - 2})) AS a FROM w)),
+win AS (SELECT doc_id, a, array_to_string(list_slice(ws, a, a + {REPEAT - 1}), ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - {REPEAT - 2})) AS a FROM w)),
 first AS (SELECT g, min(doc_id) AS f FROM win GROUP BY g),
-gone AS (SELECT DISTINCT doc_id, unnest(range(a, a + {WINDOW})) AS p FROM win JOIN first USING (g) WHERE f < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, a + {REPEAT})) AS p FROM win JOIN first USING (g) WHERE f < doc_id),
 word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
 kept AS (SELECT doc_id, count(gone.p) AS n_removed, string_agg(x, ' ' ORDER BY word.p) FILTER (WHERE gone.p IS NULL) AS t FROM word LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
@@ -53,24 +53,17 @@ FROM t JOIN copy USING (text) JOIN class USING (copy_id) LEFT JOIN links USING (
 """
 
 
-def _masked(words: str, at: str, mask: str) -> str:
-    return " || ' ' || ".join(f"{words}[{at} + {i + 1}]" for i, bit in enumerate(mask) if bit == "1")
-
-
-def decontamination() -> str:
-    split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-    own = " UNION ALL ".join(f"SELECT doc_id, i, {m} AS m, {_masked('ws', 'i', mask)} AS seed FROM dp" for m, mask in enumerate(MASKS))
-    tests = " UNION ALL ".join(f"SELECT item_id, j, {m} AS m, {_masked('ts', 'j', mask)} AS seed FROM tp" for m, mask in enumerate(MASKS))
-    return f"""
-WITH d AS (SELECT doc_id, {split} AS ws FROM documents), b AS (SELECT item_id, {split} AS ts FROM benchmark),
-dp AS (SELECT *, unnest(range(0, len(ws) - {SPAN - 1})) AS i FROM d WHERE len(ws) >= {SPAN}),
-tp AS (SELECT *, unnest(range(0, len(ts) - {SPAN - 1})) AS j FROM b WHERE len(ts) >= {SPAN}),
-ds AS ({own}), bs AS ({tests}),
-hit AS (SELECT DISTINCT doc_id, item_id, i, j FROM ds JOIN bs USING (m, seed)),
-part AS (SELECT doc_id, item_id, ws, ts, i - j AS shift, greatest(j - {REACH}, 0, j - i) AS lo, least(j + {SPAN + REACH}, len(ts), j - i + len(ws)) AS hi FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
-same AS (SELECT *, len(list_filter(range(lo, hi), lambda k: ws[k + shift + 1] = ts[k + 1])) AS equal FROM part WHERE hi - lo >= least({LEAST_WORDS}, len(ts)))
-SELECT doc_id, item_id, count(DISTINCT lo + shift) AS n_places, max(equal) AS most_equal, min(lo + shift) AS first_word, max(hi + shift) AS end_word, min(lo) AS item_first, max(hi) AS item_end
-FROM same WHERE equal >= {LEAST_SHARE} * (hi - lo) GROUP BY 1, 2
+#: Any window with at most two words replaced has four equal words in a row at its start, its fourth or its eighth place.
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ts FROM benchmark),
+dg AS (SELECT doc_id, i, array_to_string(list_slice(ws, i + 1, i + 4), ' ') AS g FROM (SELECT *, unnest(range(0, len(ws) - 3)) AS i FROM d)),
+bg AS (SELECT item_id, ts, j, array_to_string(list_slice(ts, j + 1, j + 4), ' ') AS g FROM (SELECT *, unnest(range(0, len(ts) - 3)) AS j FROM b)),
+met AS (SELECT DISTINCT doc_id, item_id, ts, i - j AS shift FROM dg JOIN bg USING (g)),
+part AS (SELECT doc_id, item_id, ws, ts, shift, least({WINDOW}, len(ts)) AS n, unnest(range(greatest(0, -shift), least(len(ts), len(ws) - shift) - least({WINDOW}, len(ts)) + 1)) AS lo FROM met JOIN d USING (doc_id) WHERE len(ts) >= {LEAST_ITEM}),
+same AS (SELECT *, len(list_filter(range(lo, lo + n), lambda k: ws[k + shift + 1] = ts[k + 1])) AS equal FROM part)
+SELECT doc_id, item_id, count(DISTINCT (lo, shift)) AS n_places, max(equal) AS most_equal, min(lo + shift) AS first_word, max(lo + shift + n) AS end_word, min(lo) AS item_first, max(lo + n) AS item_end
+FROM same WHERE equal >= CASE WHEN n < {WINDOW} THEN n ELSE {LEAST_EQUAL} END GROUP BY 1, 2
 """
 
 
@@ -154,5 +147,5 @@ ORACLES = {
     "op5_substring_dedup": SUBSTRING_DEDUP,
     "op7_repetition_rules": repetition(),
     "op8_license_scan": license_scan(),
-    "op10_decontamination": decontamination(),
+    "op10_decontamination": DECONTAMINATION,
 }

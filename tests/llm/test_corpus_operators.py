@@ -1,6 +1,7 @@
 """Operators that compare texts with each other or with the corpus, against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import proofmill.llm.near_duplicates as nd
 from proofmill.llm.components import connected_components
-from proofmill.llm.decontaminate import MASKS, SPAN, contaminated, drop_contaminated
+from proofmill.llm.decontaminate import LEAST_EQUAL, LEAST_ITEM, MASKS, WINDOW, contaminated, drop_contaminated
 from proofmill.llm.mixing import mixing_weights, sample_mix
 from proofmill.llm.near_duplicates import drop_near_duplicates, matched_depth, near_duplicates
 from proofmill.llm.substring_dedup import remove_repeats
@@ -162,45 +163,81 @@ def test_url_filter_empty_sides(spark):
 
 
 def brute_overlaps(docs, items):
+    """Every alignment of every text with every item: {(id, item): (windows, most equal words)}."""
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    tests = [(i, split(t)) for i, t in items]
-    pairs = set()
+    found = {}
     for d, text in docs:
         w = split(text)
-        for item, x in tests:
-            for a in range(len(w) - SPAN + 1):
-                for j in range(len(x) - SPAN + 1):
-                    if not any(all(w[a + k] == x[j + k] for k, bit in enumerate(m) if bit == "1") for m in MASKS):
-                        continue
-                    lo, hi = max(j - 3, 0, j - a), min(j + SPAN + 3, len(x), j - a + len(w))
-                    same = sum(w[k + a - j] == x[k] for k in range(lo, hi))
-                    if hi - lo >= min(13, len(x)) and same >= 0.8 * (hi - lo):
-                        pairs.add((d, item))
-    return pairs
-
-
-def test_decontamination(spark, corpus, monkeypatch):
-    import proofmill.llm.decontaminate as dc
-
+        for item, text_ in items:
+            x = split(text_)
+            n = min(WINDOW, len(x))
+            if n < LEAST_ITEM:
+                continue
+            for shift in range(-len(x), len(w)):
+                same = [0 <= k + shift < len(w) and w[k + shift] == x[k] for k in range(len(x))]
+                for lo in range(max(0, -shift), min(len(x), len(w) - shift) - n + 1):
+                    equal = sum(same[lo : lo + n])
+                    if equal >= (n if n < WINDOW else LEAST_EQUAL):
+                        windows, most = found.setdefault((d, item), (set(), 0))
+                        windows.add((lo, shift))
+                        found[d, item] = windows, max(most, equal)
+    return {k: (len(windows), most) for k, (windows, most) in found.items()}
+
+
+def test_masks_are_complete():
+    """Wherever words of a window are replaced, as many as may be, one mask lies on equal words."""
+    for gone in itertools.combinations(range(WINDOW), WINDOW - LEAST_EQUAL):
+        assert any(not any(bit == "1" and i + a in gone for i, bit in enumerate(m)) for m in MASKS for a in range(WINDOW - len(m) + 1)), gone
+
+
+@pytest.fixture
+def test_set(corpus):
     rnd = random.Random(9)
-    items = [(i, " ".join(f"T{rnd.randrange(300)}" for _ in range(n))) for i, n in enumerate((40, 30, 12, 5, 20))] + [(9, None), (10, "")]
-    rows = list(corpus[:30])
-    for d, (item, edits) in enumerate([(0, 0), (1, 2), (2, 0), (3, 0), (4, 1), (0, 9)], 100):
+    items = [(i, " ".join(f"T{rnd.randrange(300)}" for _ in range(n))) for i, n in enumerate((40, 30, 12, 5, 20, 4, 13))] + [(9, None), (10, ""), (None, " ".join(f"N{i}" for i in range(20)))]
+    rows = list(corpus[:25])
+    for d, (item, edits) in enumerate([(0, 0), (1, 2), (2, 0), (3, 0), (4, 1), (0, 9), (5, 0), (6, 2), (6, 3), (9, 1), (2, 1)], 100):
         w = items[item][1].split()
         for e in range(edits):
-            w[(3 + e * 7) % len(w)] = "other"
+            w[(3 + e * 5) % len(w)] = f"other{e}"
         rows.append((d, "start of it " + " ".join(w).lower() + ", end."))
+    # Every fifth word replaced, at every phase; an item twice under its id with the same and with another text.
+    w = items[1][1].split()
+    rows += [(200 + p, " ".join("gone" if i % 5 == p else x for i, x in enumerate(w))) for p in range(5)]
+    items += [items[4], (4, " ".join(f"again{i}" for i in range(15)))]
+    rows += [(300, " ".join(f"again{i}" for i in range(15))), (300, " ".join(f"again{i}" for i in range(15)))]
+    return rows, items
+
+
+@pytest.mark.parametrize("broadcast_seeds", [500_000, 3])
+def test_decontamination(spark, test_set, monkeypatch, broadcast_seeds):
+    import proofmill.llm.decontaminate as dc
+
+    rows, items = test_set
+    monkeypatch.setattr(dc, "BROADCAST_SEEDS", broadcast_seeds)
     docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    expected = brute_overlaps(rows, items)
-    assert {d for d, _ in expected} >= {100, 101, 102, 104} and 103 not in {d for d, _ in expected}
-    assert {(r.doc_id, r.item_id) for r in contaminated(docs, tests).collect()} == expected
-    clean = drop_contaminated(docs.withColumn("seed", F.lit(1)), tests)
-    assert clean.columns == ["doc_id", "text", "seed"] and {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in expected}
-    monkeypatch.setattr(dc, "BROADCAST_SEEDS", 3)
-    assert {(r.doc_id, r.item_id) for r in contaminated(docs, tests).collect()} == expected
+    expected = brute_overlaps(dict(rows).items(), items)
+    hit = {d for d, _ in expected}
+    assert hit >= {100, 101, 102, 103, 104, 107, 109, 200, 201, 202, 203, 204, 300} and not hit & {106, 108, 110} and (9, 4) not in expected
+    got = {(r.doc_id, r.item_id): (r.n_places, r.most_equal) for r in contaminated(docs, tests).collect()}
+    assert got == expected
+    clashing = docs.withColumns({c: F.lit("mine") for c in ("seed", "no", "i", "j", "words", "_key", "_id", "item", "span", "_row", "_digest", "a.b")})
+    clean = drop_contaminated(clashing, tests)
+    assert clean.columns == clashing.columns and sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in rows if d not in hit)
     assert contaminated(docs.limit(0), tests).count() == 0 and contaminated(docs, tests.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_seeds", [500_000, 3])
+def test_decontamination_of_very_long_items(spark, monkeypatch, broadcast_seeds):
+    import proofmill.llm.decontaminate as dc
+
+    monkeypatch.setattr(dc, "BROADCAST_SEEDS", broadcast_seeds)
+    rnd = random.Random(1)
+    long = [f"v{rnd.randrange(10**6)}" for _ in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(long[7000:7050])), (None, " ".join(long[:13])), (3, " ".join(long[:12])), (4, " ".join(long))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_places, r.most_equal) for r in contaminated(docs, spark.createDataFrame([(None, " ".join(long)), (2, "x y z a b")], "item_id long, text string")).collect()}
+    assert got == {(1, None): (38, 13), (None, None): (1, 13), (4, None): (19_988, 13)}
+
+
 def test_mixing_meets_margins(spark, docs, corpus, no_docs):
     full = mixing_weights(docs).toPandas()
     assert len(full) == len(corpus) and (full.probability <= 1).all()
