@@ -16,8 +16,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+_FIRST = np.uint64(0xD6E8FEB86659FD93)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,19 +24,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, kept for the next call."""
-    have = _powers.get(int(base))
-    if have is None or len(have) <= n:
-        size = 1 << max(12, int(n + 1).bit_length())
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size <= 1 << 22:
-            _powers[int(base)] = have
-    return have[: n + 1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)
@@ -49,9 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 @dataclass
 class Slice:
     """Rows lo..hi of a batch: their bytes and the offset of each row's text (null: empty)."""
@@ -89,16 +72,28 @@ def text_slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = SLICE_BYTES
 
 
 def segment_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], equal for equal bytes."""
-    n = len(data)
+    """A 64-bit hash of each data[start:end], equal for equal bytes.
+
+    Each block of eight bytes is mixed with its number before blocks are added
+    up, so no sum of two blocks can stand for that of two others by design.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    coded = np.empty(n + 1, np.uint64)
-    coded[0] = 0
-    np.multiply(_BYTE_CODE[data], _power(_BASE, n)[:n], out=coded[1:])
-    np.cumsum(coded, out=coded)
-    span = (coded[ends] - coded[starts]) * _power(_INV, n)[starts]
-    return mix(span + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    size = (ends - starts).astype(np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    at = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    keep = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+    total = mix((at[starts] & keep[np.minimum(size, 8)]) ^ _FIRST)
+    long_ = np.flatnonzero(size > 8)
+    if len(long_):
+        blocks = (size[long_] - 1) // 8
+        first = np.cumsum(blocks) - blocks
+        number = np.arange(int(blocks.sum())) - np.repeat(first, blocks) + 1
+        rest = np.repeat(size[long_], blocks) - 8 * number
+        block = at[np.repeat(starts[long_], blocks) + 8 * number] & keep[np.minimum(rest, 8)]
+        total[long_] += np.add.reduceat(mix(block ^ mix(number.astype(np.uint64) * _BASE + _FIRST)), first)
+    return mix(total + size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 @dataclass
@@ -128,14 +123,14 @@ def words(s: Slice, gap: np.ndarray = SPACE) -> Words:
     return Words(starts, ends, row, bounds)
 
 
-def window_hash(units: np.ndarray, k: int) -> np.ndarray:
+def window_hash(units: np.ndarray, k: int, base: np.uint64 = _BASE) -> np.ndarray:
     """Hash of each k consecutive units (len - k + 1 of them; none if shorter)."""
     n = len(units) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for j in range(k):
-        total *= _BASE
+        total *= base
         total += units[j : j + n]
     return mix(total + np.uint64(k))
 

@@ -15,7 +15,7 @@ from proofmill.llm.components import connected_components
 from proofmill.llm.decontaminate import LEAST_EQUAL, LEAST_ITEM, MASKS, WINDOW, contaminated, drop_contaminated
 from proofmill.llm.mixing import mixing_weights, sample_mix
 from proofmill.llm.near_duplicates import drop_near_duplicates, matched_depth, near_duplicates
-from proofmill.llm.substring_dedup import remove_repeats
+from proofmill.llm.substring_dedup import deep_nodes, drop_repeats, remove_repeats
 from proofmill.llm.url_filter import RULES, judge_urls, rule_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,6 +63,59 @@ def test_substring_dedup_odd_rows(spark, no_docs):
     assert remove_repeats(no_docs).count() == 0
 
 
+def test_substring_dedup_splits_groups(spark):
+    """A run that a third of all documents hold fills batches of the census: its prefix group is split and settled across tasks."""
+    rnd = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    corpus = []
+    for i in range(240):
+        body = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(5, 30))]
+        if i % 3 == 0:
+            body[3:3] = passage
+        if i % 7 == 0:
+            body[1:1] = passage[8:21]
+        if i % 5 == 0:
+            body += [*passage[5:10], "end"]  # the anchor without the window
+        corpus.append((i, " ".join(body)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(before, ("7", "false", "4")):
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(6)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in remove_repeats(docs, normalize=True).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_repeats(corpus)
+
+
+def test_deep_nodes_are_the_repeats_of_a_suffix_tree():
+    rnd = np.random.default_rng(5)
+    words = rnd.integers(0, 3, 400).astype(np.uint64)
+    first, group = np.arange(380), rnd.integers(0, 2, 380)
+    alive, node = deep_nodes(group, words, first, 6)
+    keys = {}
+    for i in range(380):
+        keys.setdefault((group[i], tuple(words[i : i + 6])), set()).add(i)
+    found = {}
+    for i, n in zip(alive, node):
+        found.setdefault(n, set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(sorted(v) for v in keys.values() if len(v) > 1)
+
+
+def test_substring_dedup_ids_and_columns(spark, corpus):
+    docs = spark.createDataFrame([(f"k{i:03d}", t, 1, 2, 3) for i, t in corpus], "doc_id string, text string, n_words int, n_removed int, n_chars int")
+    expected = brute_repeats(corpus)
+    got = remove_repeats(docs, normalize=True)
+    assert got.columns == ["doc_id", "text", "n_chars", "n_words", "n_removed"]
+    assert {int(r.doc_id[1:]): (r.n_words, r.n_removed, r.text) for r in got.collect()} == expected
+    left = drop_repeats(docs, chars_col="n_chars")
+    assert left.columns == docs.columns
+    rows = {int(r.doc_id[1:]): r for r in left.collect()}
+    assert set(rows) == {i for i, (n, gone, _) in expected.items() if not gone or gone < n}
+    assert all(r.n_words == 1 and r.n_chars == (len(r.text) if expected[i][1] else 3) for i, r in rows.items())
+
+
 def brute_links(corpus):
     reps = {}
     for i, t in corpus:
