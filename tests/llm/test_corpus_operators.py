@@ -11,10 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import proofmill.llm.near_duplicates as nd
+from proofmill.llm import textgrid as tg
 from proofmill.llm.components import connected_components
 from proofmill.llm.decontaminate import LEAST_EQUAL, LEAST_ITEM, MASKS, WINDOW, contaminated, drop_contaminated
 from proofmill.llm.mixing import mixing_weights, sample_mix
-from proofmill.llm.near_duplicates import drop_near_duplicates, matched_depth, near_duplicates
+from proofmill.llm.near_duplicates import chance, drop_near_duplicates, near_duplicates, shortest_depth
 from proofmill.llm.substring_dedup import deep_nodes, drop_repeats, remove_repeats
 from proofmill.llm.url_filter import RULES, judge_urls, rule_table
 
@@ -172,9 +173,40 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
 
 
-def test_matched_depth_reaches_recall():
-    d = matched_depth(0.8, 20, 6, 0.9999)
-    assert 1 - (1 - 0.8**d) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
+def test_shortest_depth_reaches_recall():
+    d = shortest_depth(0.8, 40, 10, 0.9999)
+    assert chance(0.8, d) >= 0.9999 > chance(0.8, d + 1) and d < 10
+
+
+def test_paths_are_prefix_tries():
+    """The order of paths is that of their values, and shared prefixes have the chance that similarity gives them."""
+    a = np.array([0, 0b000001_000000, 63 << 54], np.uint64)
+    assert nd.shared_prefix(a, np.array([0, 0b000001_000001, 62 << 54], np.uint64), 10).tolist() == [10, 9, 0]
+    rnd = np.random.default_rng(3)
+    sets = [(lambda own: (np.concatenate([own, rnd.integers(0, 1 << 62, 20)]), np.concatenate([own, rnd.integers(0, 1 << 62, 20)])))(rnd.integers(0, 1 << 62, 160)) for _ in range(150)]
+    grams = np.concatenate([x for pair in sets for x in pair]).astype(np.uint64)
+    found = nd.paths(tg.mix(grams), np.arange(0, len(grams) + 1, 180), 40, 10)
+    depth = np.array([nd.shared_prefix(found[2 * i], found[2 * i + 1], 10).max() for i in range(150)])
+    assert abs((depth >= 10).mean() - chance(0.8, 10)) < 0.05 and (depth >= shortest_depth()).all()
+
+
+def test_prefixes_are_shortened_to_the_recall(spark):
+    """Near copies that differ by a word keep long prefixes; copies close to the threshold need shorter ones."""
+    rnd = random.Random(6)
+
+    def links_of(edits):
+        rows = []
+        for i in range(60):
+            base = [f"w{rnd.randrange(10**5)}" for _ in range(220)]
+            other = list(base)
+            for e in range(edits):
+                other[10 + 22 * e] = "changed"
+            rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        _, classes = nd._classes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", nd.TREES, nd.DEEPEST)
+        return nd.matched_depth(nd.forest_links(classes), classes)
+
+    close, far = links_of(1), links_of(5)
+    assert close[0] == nd.DEEPEST and close[1] >= nd.RECALL and shortest_depth() <= far[0] < nd.DEEPEST and far[1] >= 0.999
 
 
 def test_components(spark):
