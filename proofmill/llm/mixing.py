@@ -2,29 +2,41 @@
 
 Documents are counted once into cells (source, language, topic) with their
 tokens.  Raking multiplies the cells' weights by target / actual share of each
-margin in turn until all margins agree; sums are partial before they are
-shuffled, and cells are few against documents.  A document is sampled with its
-cell's weight over the largest weight as probability, decided by a hash of its
-id, so a rerun or another partitioning picks the same rows.
+margin in turn until all margins agree within TOLERANCE; sums are partial before
+they are shuffled, and cells are few against documents.  Where SWEEPS sweeps do
+not suffice (targets that no weights meet), a warning says so and the column
+`residual` holds the largest relative distance of a factor from one.
+
+Probabilities are calibrated to a budget: a document is sampled with
+min(1, scale x weight of its cell), and the scale is the one at which the
+expected tokens are SHARE of all, so no single rare cell sets how much is kept.
+The draw is a hash of the id, so a rerun or another partitioning picks the same
+rows.
+
+The topic is the column `topic` where the documents have one; else a coarse kind
+of text made from the text itself (`topic_of`).
 
 Defined cases: nulls in a margin column are the value "(none)"; null and empty
 texts have no tokens and take their cell's weight; repeated rows are decided
 alike; a null id is decided by the text; cells whose target is zero get weight
-zero; other columns are ignored by `mixing_weights` and kept by `sample_mix`;
-an empty table gives an empty result.
+zero; other columns, whatever their names, are ignored by `mixing_weights` and
+kept by `sample_mix`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import warnings
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmill.llm.common import written
+from proofmill.llm.common import whole_row, written
 
-SWEEPS = 20
+SWEEPS = 100
 TOLERANCE = 1e-4
+#: Part of all tokens that the sample is expected to hold.
+SHARE = 0.75
 #: Target shares are the token shares to this power, made to add up to one.
 TEMPER = {"source": 0.9, "lang": 0.9, "topic": 0.9}
 BROADCAST_CELLS = 50_000
@@ -62,8 +74,9 @@ def tempered_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return margin.select(f"_{dim}", (powered * (sums["all"] / (sums["powers"] or 1.0))).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with the weights that bring every margin to its target (a table of value and target tokens)."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """Cells with the weights that bring every margin to its target (a table of value and target tokens), and what is left."""
+    worst = 0.0
     for _ in range(sweeps):
         off = []
         for dim, target in targets.items():
@@ -72,24 +85,48 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
             cells = cells.join(factor, f"_{dim}").withColumn("weight", F.col("weight") * F.col("factor")).withColumnRenamed("factor", f"off_{dim}")
             off.append(F.abs(F.col(f"off_{dim}") - 1) * (F.col("weight") > 0).cast("int"))
         done = written(cells.withColumn("off", F.greatest(*off) if len(off) > 1 else off[0]).drop(*[f"off_{d}" for d in targets]))
-        worst = done.agg(F.max("off")).first()[0]
+        worst = done.agg(F.max("off")).first()[0] or 0.0
         cells = done.drop("off")
-        if worst is None or worst <= tolerance:
-            break
-    return cells
-
-
-def _probabilities(docs: DataFrame, dims: dict[str, Column], text_col: str, targets: dict[str, DataFrame] | None, temper: dict[str, float]) -> DataFrame:
+        if worst <= tolerance:
+            return cells, worst
+    warnings.warn(f"raking has not met its targets after {sweeps} sweeps: a factor is still {worst:.3g} from one", stacklevel=2)
+    return cells, worst
+
+
+def sampling_scale(cells: DataFrame, share: float) -> float | None:
+    """The scale at which the mass of min(1, scale x weight) is `share` of all mass; None where every weight must count in full.
+
+    With the m largest weights capped, the expected mass is a line in the scale,
+    and the least of these lines is the true one: the scale is the largest of
+    those at which the lines reach the budget.
+    """
+    level = F.floor(F.log2("weight") * 64).cast("int")
+    kept = cells.filter("weight > 0 and mass > 0").select(level.alias("level"), "weight", "mass", (F.col("mass") * F.col("weight")).alias("moved"))
+    found = sorted(((r.level, r.m, r.w) for r in kept.groupBy("level").agg(F.sum("mass").alias("m"), F.sum("moved").alias("w")).collect()), reverse=True)  # some thousand levels at most
+    budget = share * (cells.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0])
+    if not found or sum(m for _, m, _ in found) <= budget:
+        return None
+    levels, m, w = (np.array(x) for x in zip(*found, strict=True))
+    above = cells.sparkSession.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(levels, np.cumsum(m) - m, np.cumsum(w) - w, strict=True)], "level int, m0 double, w0 double")
+    order = Window.partitionBy("level").orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    capped = kept.withColumns({"m1": F.sum("mass").over(order), "w1": F.sum("moved").over(order)}).join(F.broadcast(above), "level")
+    left = float(w.sum()) - F.col("w0") - F.col("w1")
+    scale = capped.filter(left > 1e-9 * float(w.sum())).agg(F.max((F.lit(budget) - F.col("m0") - F.col("m1")) / left)).first()[0]
+    return max(budget / float(w.sum()), scale if scale is not None else 0.0)
+
+
+def _probabilities(docs: DataFrame, dims: dict[str, Column], text_col: str, targets: dict[str, DataFrame] | None, temper: dict[str, float], share: float) -> DataFrame:
     cells = written(_cells(docs, dims, text_col))
     goals = targets or {d: tempered_targets(cells, d, temper.get(d, 1.0)) for d in dims}
-    raked = rake(cells, {d: written(g) for d, g in goals.items()})
-    most = raked.agg(F.max("weight")).first()[0] or 1.0
-    table = raked.select(*[f"_{d}" for d in dims], "weight", (F.col("weight") / most).alias("probability"))
+    raked, residual = rake(cells, {d: written(g) for d, g in goals.items()})
+    scale = sampling_scale(raked, share)
+    chance = F.least(F.lit(1.0), F.col("weight") * scale) if scale is not None else (F.col("weight") > 0).cast("double")
+    table = raked.select(*[F.col(f"_{d}").alias(f"_cell_{d}") for d in dims], "weight", chance.alias("probability"), F.lit(residual).alias("residual"))
     return F.broadcast(table) if table.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else table
 
 
-def _dims(columns: dict[str, Column] | None) -> dict[str, Column]:
-    return columns or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"))}
+def _dims(docs: DataFrame, columns: dict[str, Column] | None, text_col: str) -> dict[str, Column]:
+    return columns or {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("topic") if "topic" in docs.columns else topic_of(F.col(text_col))}
 
 
 def _draw(id_col: str, text_col: str, seed: int) -> Column:
@@ -98,17 +135,22 @@ def _draw(id_col: str, text_col: str, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
-def mixing_weights(docs: DataFrame, dims: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, seed: int = 1) -> DataFrame:
-    """One row for each input row: its margins, tokens, weight, probability and whether it is sampled."""
-    dims = _dims(dims)
-    table = _probabilities(docs, dims, text_col, targets, temper)
-    rows = docs.select(F.col(id_col), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"_{d}") for d, c in dims.items()], token_count(F.col(text_col)).cast("long").alias("n_tokens"), _draw(id_col, text_col, seed).alias("_draw"))
-    return rows.join(table, [f"_{d}" for d in dims]).select(id_col, *[F.col(f"_{d}").alias(d) for d in dims], "n_tokens", "weight", "probability", (F.col("_draw") < F.col("probability")).alias("sampled"))
+def _decided(docs: DataFrame, dims: dict[str, Column] | None, id_col: str, text_col: str, targets: dict[str, DataFrame] | None, temper: dict[str, float], share: float, seed: int, kept: dict[str, Column]) -> DataFrame:
+    """The kept columns of each row with its cell, weight, probability and draw."""
+    dims = _dims(docs, dims, text_col)
+    table = _probabilities(docs, dims, text_col, targets, temper, share)
+    rows = docs.select(*[c.alias(name) for name, c in kept.items()], *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"_cell_{d}") for d, c in dims.items()], _draw(id_col, text_col, seed).alias("_draw"))
+    return rows.join(table, [f"_cell_{d}" for d in dims])
+
+
+def mixing_weights(docs: DataFrame, dims: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, share: float = SHARE, seed: int = 1) -> DataFrame:
+    """One row for each input row: its margins, tokens, weight, probability, whether it is sampled, and the raking's residual."""
+    rows = _decided(docs, dims, id_col, text_col, targets, temper, share, seed, {"_id": F.col(id_col), "_tokens": token_count(F.col(text_col)).cast("long")})
+    margins = [c.removeprefix("_cell_") for c in rows.columns if c.startswith("_cell_")]
+    return rows.select(F.col("_id").alias(id_col), *[F.col(f"_cell_{d}").alias(d) for d in margins], F.col("_tokens").alias("n_tokens"), "weight", "probability", (F.col("_draw") < F.col("probability")).alias("sampled"), "residual")
 
 
-def sample_mix(docs: DataFrame, dims: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, seed: int = 1) -> DataFrame:
+def sample_mix(docs: DataFrame, dims: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, share: float = SHARE, seed: int = 1) -> DataFrame:
     """The sampled rows of docs, all columns as they are."""
-    dims = _dims(dims)
-    table = _probabilities(docs, dims, text_col, targets, temper)
-    same = reduce(lambda a, b: a & b, [F.coalesce(c.cast("string"), F.lit(NONE)) == F.col(f"_{d}") for d, c in dims.items()])
-    return docs.join(table, same).filter(_draw(id_col, text_col, seed) < F.col("probability")).select(*[docs[c] for c in docs.columns])
+    rows = _decided(docs, dims, id_col, text_col, targets, temper, share, seed, {"_row": whole_row(docs)})
+    return rows.filter(F.col("_draw") < F.col("probability")).select("_row.*")

@@ -14,7 +14,7 @@ import proofmill.llm.near_duplicates as nd
 from proofmill.llm import textgrid as tg
 from proofmill.llm.components import connected_components
 from proofmill.llm.decontaminate import LEAST_EQUAL, LEAST_ITEM, MASKS, WINDOW, contaminated, drop_contaminated
-from proofmill.llm.mixing import mixing_weights, sample_mix
+from proofmill.llm.mixing import mixing_weights, rake, sample_mix, sampling_scale
 from proofmill.llm.near_duplicates import chance, drop_near_duplicates, near_duplicates, shortest_depth
 from proofmill.llm.substring_dedup import deep_nodes, drop_repeats, remove_repeats
 from proofmill.llm.url_filter import RULES, judge_urls, rule_table
@@ -343,11 +343,44 @@ def test_mixing_given_targets(spark):
     rows = [(i, "one two three", "a" if i % 4 else "b", "en", 0) for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
     goal = spark.createDataFrame([("a", 6000.0), ("b", 6000.0)], "_source string, target double")
-    kept = sample_mix(docs, {"source": F.col("source")}, targets={"source": goal}).groupBy("source").count().collect()
+    kept = sample_mix(docs, {"source": F.col("source")}, targets={"source": goal}, share=0.5).groupBy("source").count().collect()
     counts = {r.source: r["count"] for r in kept}
     assert counts["b"] == 1000 and abs(counts["a"] - 1000) < 120
 
 
+def test_sampling_meets_its_budget_whatever_the_rarest_cell(spark):
+    """The expected tokens are the share asked for; a single rare cell with a huge weight is capped at one."""
+    cells = spark.createDataFrame([(5000.0, 1.0), (3000.0, 0.7), (10.0, 900.0), (500.0, 2.5), (20.0, 0.0), (0.0, 3.0)], "mass double, weight double")
+    rows = cells.collect()
+    for share in (0.05, 0.3, 0.75, 0.99):
+        scale = sampling_scale(cells, share)
+        assert sum(r.mass * min(1, scale * r.weight) for r in rows) == pytest.approx(share * sum(r.mass for r in rows))
+    assert sampling_scale(cells, 0.999) is None and sampling_scale(cells.limit(0), 0.5) is None
+
+
+def test_raking_that_needs_many_sweeps(spark):
+    """Cells that hang together by little converge slowly; what can't be met is said."""
+    cells = spark.createDataFrame([("a", "x", 1000.0, 1.0), ("a", "y", 1.0, 1.0), ("b", "x", 1.0, 1.0), ("b", "y", 1000.0, 1.0)], "_s string, _l string, mass double, weight double")
+    goals = {"s": spark.createDataFrame([("a", 1300.0), ("b", 702.0)], "_s string, target double"), "l": spark.createDataFrame([("x", 900.0), ("y", 1102.0)], "_l string, target double")}
+    with pytest.warns(UserWarning, match="sweeps"):
+        _, left = rake(cells, goals, sweeps=3)
+    assert left > 1e-4
+    done, left = rake(cells, goals)
+    have = {r._s: r.m for r in done.groupBy("_s").agg(F.sum(F.col("mass") * F.col("weight")).alias("m")).collect()}
+    assert left <= 1e-4 and have["a"] == pytest.approx(1300, rel=1e-3)
+    with pytest.warns(UserWarning):
+        _, left = rake(cells.filter("_s = _l or mass > 10"), goals, sweeps=5)
+    assert left > 0.1
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}", "en", f"t{i % 2}") for i in range(200)], "doc_id long, text string, source string, lang string, topic string")
+    odd = docs.withColumns({c: F.lit("mine") for c in ("probability", "_source", "_cell_source", "weight", "_row", "_draw", "residual", "mass", "_id", "n_tokens")})
+    kept = sample_mix(odd)
+    assert kept.columns == odd.columns and 0 < kept.count() < 200 and {r.probability for r in kept.collect()} == {"mine"}
+    assert {r.topic for r in mixing_weights(odd).collect()} == {"t0", "t1"}
+
+
 def test_kept_text_hash(docs, corpus):
     got = remove_repeats(docs, normalize=True).select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("h")).collect()
     expected = brute_repeats(corpus)
