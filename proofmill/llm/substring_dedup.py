@@ -48,7 +48,8 @@ from proofmill.llm.common import bounded_batches, longs, signed, whole_row, writ
 
 WINDOW = 13
 ANCHOR = 5
-#: Parts of a group that fills whole batches of the census.
+#: Documents that a batch of the census shows of a group that may go on elsewhere, from which on it goes over so many salts.
+HEAVY = 64
 SALTS = 256
 _LAST = (1 << 63) - 1
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -185,9 +186,10 @@ def _shared_prefixes(packed: DataFrame, window: int, anchor: int) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             end = np.concatenate([start[1:], [len(h)]])
             shared, parts = k[start] != k[end - 1], np.zeros(len(start), np.int64)
-            # The first and last anchor of a batch may go on in another one; one that fills the batch is heavy.
+            # The first and last anchor of a batch may go on in another one, so their groups are settled across tasks;
+            # of the documents of a heavy one each batch shows some.
             shared[[0, -1]] = True
-            parts[[0, -1]] = 1 if len(start) > 1 else SALTS
+            parts[[0, -1]] = np.where((end - start)[[0, -1]] < HEAVY, 1, SALTS)
             keep = np.repeat(shared, end - start)
             yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(h[keep]), longs(np.repeat(parts, end - start)[keep])], names=["_k", "h", "parts"])
 

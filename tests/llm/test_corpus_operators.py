@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import proofmill.llm.near_duplicates as nd
+import proofmill.llm.substring_dedup as sd
 from proofmill.llm import textgrid as tg
 from proofmill.llm.components import connected_components
 from proofmill.llm.decontaminate import LEAST_EQUAL, LEAST_ITEM, MASKS, WINDOW, contaminated, drop_contaminated
@@ -64,8 +65,10 @@ def test_substring_dedup_odd_rows(spark, no_docs):
     assert remove_repeats(no_docs).count() == 0
 
 
-def test_substring_dedup_splits_groups(spark):
+@pytest.mark.parametrize("heavy", [2, 64])
+def test_substring_dedup_splits_groups(spark, monkeypatch, heavy):
     """A run that a third of all documents hold fills batches of the census: its prefix group is split and settled across tasks."""
+    monkeypatch.setattr(sd, "HEAVY", heavy)
     rnd = random.Random(8)
     passage = [f"p{i}" for i in range(30)]
     corpus = []
