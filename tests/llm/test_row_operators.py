@@ -1,5 +1,6 @@
 """Operators that judge each text alone, against brute force."""
 
+import random
 import re
 from collections import Counter
 
@@ -54,6 +55,31 @@ def test_token_counts_equal_the_library(docs, corpus):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((text or "").encode()), n, n > 100)
 
 
+def test_token_counts_of_any_code_points():
+    """Random code points, which the Unicode tables of the library and of Python class differently, and pieces that the cuts depend on."""
+    public = pytest.importorskip("public_tokenizers")
+    counter = WholeTokenCounter(public.path("word_bpe_49k.json"))
+    rnd = random.Random(12)
+    bits = ["'s", "'", "''s", "$'t", "'LL", "'re", "'v", "'ve1", "x'mé", "1'd", " ", "\n", "\t\u00a0", "-", "a", "É", "e\u0301", "7", "½", "\u2015\u208f", "-$\U000190f8", "\u200d\U00018ecc", "\u0130", "\u0130\u0316", "ß", "日本", "<|endoftext|>", "<|", "\u3000"]
+    texts = ["".join(rnd.choice(bits) if rnd.random() < 0.6 else chr(rnd.choice([rnd.randrange(32, 0x250), rnd.randrange(0xE000, 0x110000), rnd.randrange(0x250, 0xD800)])) for _ in range(12)) for _ in range(20_000)]
+    got = counter.counts(texts)
+    expected = [len(e.ids) for e in counter.lib.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, expected) if a != b] == []
+
+
+def test_token_counts_in_parts(spark, monkeypatch):
+    import proofmill.llm.token_counts as tc
+
+    public = pytest.importorskip("public_tokenizers")
+    counter = WholeTokenCounter(public.path("word_bpe_49k.json"))
+    monkeypatch.setattr(tc, "SLICE_CHARS", 100)
+    text = " ".join(f"word{i} it's" for i in range(2000)) + "x" * 5000
+    assert counter.count(text) == counter.merged(text) and len(list(tc._cut(text))) > 50 and "".join(tc._cut(text)) == text
+    rows = [(None, "it's"), (None, "it's"), (1, None), (1, text)]
+    got = token_counts(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("x")), "word_bpe_49k.json").collect()
+    assert sorted((r.n_bytes, r.n_tokens) for r in got) == sorted([(4, 2), (4, 2), (0, 0), (len(text), counter.merged(text))])
+
+
 def test_license_base_places(docs, corpus):
     phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
     got = {r.doc_id: r for r in license_scan(docs).collect()}
