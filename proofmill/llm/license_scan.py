@@ -84,7 +84,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark: SparkSession = docs.sparkSession
     items = templates() if items is None else items
     table = _gram_table(items)
-    wanted = {k: np.unique(np.array([h for kk, h, *_ in table if kk == k], np.int64)) for k in {r[0] for r in table}}
+    # The filter travels with the tasks, so it is left out where the templates are many; the join alone then decides.
+    small = len(table) <= BROADCAST_GRAMS
+    wanted = {k: np.unique(np.array([h for kk, h, *_ in table if kk == k], np.int64)) if small else None for k in {r[0] for r in table}}
     kind = docs.schema[id_col].dataType.simpleString()
     hit_type = pa.list_(pa.struct([("k", pa.int32()), ("hash", pa.int64()), ("pos", pa.int64()), ("gram", pa.string())]))
 
@@ -95,7 +97,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found: list[list[dict]] = [[] for _ in range(s.rows)]
         for k, keys in wanted.items():
             grams = tg.window_hash(hashes, k).view(np.int64)
-            at = np.flatnonzero(tg.window_valid(w.row, k) & np.isin(grams, keys))
+            at = np.flatnonzero(tg.window_valid(w.row, k) if keys is None else tg.window_valid(w.row, k) & np.isin(grams, keys))
             for i in at.tolist():
                 gram = " ".join(data[w.starts[j] : w.ends[j]].tobytes().decode("utf-8", "replace") for j in range(i, i + k))
                 found[w.row[i]].append({"k": k, "hash": int(grams[i]), "pos": int(i - w.bounds[w.row[i]]), "gram": gram})
@@ -104,7 +106,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashed = map_slices(docs, text_col, [id_col], hash_grams, f"{id_col} {kind}, n_words bigint, hits array<struct<k:int,hash:bigint,pos:bigint,gram:string>>")
     grams = spark.createDataFrame(table, "k int, hash bigint, gram string, template int, t_pos int")
     about = spark.createDataFrame([(n, t.label, t.base, len(t.words), t.k) for n, t in enumerate(items)], "template int, label string, base boolean, t_words int, t_k int")
-    if len(table) <= BROADCAST_GRAMS:
+    if small:
         grams, about = F.broadcast(grams), F.broadcast(about)
     # A row id keeps repeated rows apart; it travels with the row from here on and is never recomputed for a lookup.
     rows = hashed.withColumn("_row", F.monotonically_increasing_id())

@@ -7,7 +7,8 @@ weights.  An isotonic fit on labelled rows that the ridge fit didn't see turns
 its output into a score from 0 to 1.
 
 The fit may use at most `max_rows` labelled rows (taken by hash of the id, so
-the same everywhere); scoring covers every row in one narrow map.
+the same everywhere), and only the documents of these rows are measured for it;
+scoring covers every row in one narrow map.
 
 Defined cases: null and empty texts have the statistics of no words and get a
 score; null ids and null labels are not learned from; repeated rows are scored
@@ -153,8 +154,11 @@ def fit_quality(
     n = chosen.count()
     if n > max_rows:
         chosen = chosen.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    stats = map_slices(docs, text_col, [id_col], lambda s, rows: [rows.column(0), pa.array([r.tobytes() for r in statistics(s).astype(np.float32)], pa.binary())], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, _stats binary")
-    sample = written(stats.join(chosen, F.col(id_col) == F.col("_id")).select("_id", "_y", "_stats", (F.pmod(F.xxhash64("_id", F.lit("calibrate")), F.lit(5)) == 0).alias("_held")).repartition(SUM_PARTITIONS))
+    # The labelled rows are at most about max_rows ids and numbers, so they are broadcast: only their documents are measured.
+    known = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_id", "_y", "_t")
+    kinds = dict(known.dtypes)
+    stats = map_slices(known, "_t", ["_id", "_y"], lambda s, rows: [*rows.columns, pa.array([r.tobytes() for r in statistics(s).astype(np.float32)], pa.binary())], f"_id {kinds['_id']}, _y double, _stats binary")
+    sample = written(stats.withColumn("_held", F.pmod(F.xxhash64("_id", F.lit("calibrate")), F.lit(5)) == 0).repartition(SUM_PARTITIONS))
 
     def table(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         raw = b"".join(x.as_py() for x in batch.column("_stats"))

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from proofmill.llm.common import written
+
 #: The rules of the query, as (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Urls that a share of a group gets at least, and how many for each boundary.
@@ -93,7 +95,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         .filter("turn = 1 and top is not null")
     )
     best = F.max(F.struct((F.length("host") + F.length("top.path")).alias("len"), F.length("host").alias("h"), "top.verdict", F.concat("host", "top.path").alias("rule")))
-    verdicts = found.groupBy("_host", "_path").agg(best.alias("b")).select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "b.rule", "b.verdict")
+    # Written, so that its join has plain shuffles on both sides and Spark can split the rows of one hot host and path.
+    verdicts = written(found.groupBy("_host", "_path").agg(best.alias("b")).select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "b.rule", "b.verdict"))
     return urls.join(verdicts, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")), "left").select(
         F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )

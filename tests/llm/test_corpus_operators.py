@@ -243,6 +243,12 @@ def test_url_filter(spark, seed):
     assert got == {i: brute_url(u, rules) for i, u in enumerate(urls)}
 
 
+def test_url_filter_equal_rules(spark):
+    rules = spark.createDataFrame([("a.org", "/x", "block"), ("a.org", "/x", "allow"), ("a.org", "/x", None), (None, "/", "block"), ("b.org", None, "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.org/x/y"), (2, "http://b.org/")], "page_id long, url string").withColumns({c: F.lit("mine") for c in ("host", "path", "verdict", "_host", "_path", "_id", "depth", "key")})
+    assert {r.page_id: (r.rule, r.verdict) for r in judge_urls(pages, rules).collect()} == {1: ("a.org/x", "block"), 2: (None, "allow")}
+
+
 def test_url_filter_empty_sides(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None)], "page_id long, url string")
     assert {r.verdict for r in judge_urls(pages, rule_table(spark).limit(0)).collect()} == {"allow"}

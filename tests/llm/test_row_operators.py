@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,9 +118,43 @@ def test_quality_learns_and_keeps_rows(spark):
     assert {r.score for r in unlabelled.score(docs).collect()} == {0.5}
 
 
-def test_isotonic_is_monotone():
-    import numpy as np
+def test_quality_fit_equals_numpy(spark):
+    """Moments, normal equations, ridge weights and calibration from the statistics of the same rows, without Spark."""
+    import proofmill.llm.quality as q
+    from proofmill.llm import textgrid as tg
+
+    rnd = random.Random(7)
+    rows = [(i, " ".join(rnd.choice(["Abc", "de", "f!", "12", "ghij."]) for _ in range(rnd.randint(1, 60)))) for i in range(300)]
+    marks = [(i, int(len(t) % 3 == 0 or i % 5 == 0)) for i, t in rows]
+    docs = spark.createDataFrame([*rows, (999, "not labelled"), (None, "x")], "doc_id long, text string")
+    model = fit_quality(docs, spark.createDataFrame([*marks, (7000, 1), (None, 0)], "doc_id long, quality int"), F.col("doc_id") % 3 != 1)
+    used = [i for i, _ in marks if i % 3 != 1]
+    held = {r.v for r in spark.createDataFrame([(i,) for i in used], "v long").filter("pmod(xxhash64(v, 'calibrate'), 5) = 0").collect()}
+    raw = [t.encode() for _, t in rows]
+    stats = q.statistics(tg.Slice(0, 300, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))).astype(np.float32).astype(float)
+    x, y = stats[used], np.array([marks[i][1] for i in used], float)
+    centre, scale = x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-8))
+    assert np.allclose(model.centre, centre) and np.allclose(model.scale, scale, rtol=1e-4)
+    fit = np.array([i not in held for i in used])
+    z = model.features(x)
+    a = z[fit].T @ z[fit] + q.RIDGE * fit.sum() / q.FEATURES * np.eye(q.FEATURES + 1)
+    # Rows of one design whose eigenvalues differ by much: the solutions are compared by what they predict.
+    assert np.allclose(z @ model.weights, z @ np.linalg.solve(a, z[fit].T @ y[fit]), atol=1e-4)
+    out, truth = (z @ model.weights)[~fit], y[~fit]
+    assert abs(model.probability(x[~fit]).mean() - truth.mean()) < 0.1 and len(out) == len(truth)
+    got = {r.doc_id: r.score for r in model.score(docs).collect()}
+    assert all(got[i] == pytest.approx(p, abs=1e-6) for i, p in zip(range(300), model.probability(q.statistics(tg.Slice(0, 300, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))))))
+
+
+def test_license_scan_without_the_filter(spark, docs, monkeypatch):
+    import proofmill.llm.license_scan as ls
+
+    whole = sorted(map(str, license_scan(docs).collect()))
+    monkeypatch.setattr(ls, "BROADCAST_GRAMS", 3)
+    assert sorted(map(str, license_scan(docs).collect())) == whole
+
 
+def test_isotonic_is_monotone():
     x, y = isotonic(np.arange(6.0), np.array([0.0, 1, 0, 1, 0.5, 1]), np.ones(6))
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()
 
