@@ -10,7 +10,8 @@ at most and no lineage grows.
 3. substring_dedup: words of repeated 13-word passages go, the first stays; a
    document of which no word is left goes.
 4. decontamination: documents that overlap a test item go.
-5. mixing: documents are sampled to the target shares of source, language, topic.
+5. mixing: documents are sampled to the target shares of source, language, topic,
+   three quarters of the tokens in expectation.
 
 Nulls: a null text counts as empty; null ids are allowed.  An empty table passes
 every stage.  SQL can't express the fit of the first stage, so ORACLE_SQL is
@@ -22,14 +23,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from proofmill.llm.common import fold_of, written
 from proofmill.llm.decontaminate import drop_contaminated
 from proofmill.llm.mixing import sample_mix
 from proofmill.llm.near_duplicates import drop_near_duplicates
 from proofmill.llm.quality import fit_quality
-from proofmill.llm.substring_dedup import remove_repeats
+from proofmill.llm.substring_dedup import drop_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -44,8 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = remove_repeats(docs).filter("n_removed = 0 or n_removed < n_words")
-    return done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return drop_repeats(docs, chars_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
