@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir (below a temporary one only where that is unset, as in tests)."""
+    """A new folder name below spark.checkpoint.dir; where that is unset, below a temporary one, in a local session only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="proofmill-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/proofmill/{uuid.uuid4().hex}"
@@ -24,3 +26,9 @@ def written(df: DataFrame) -> DataFrame:
     at = shared_folder(spark)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete what `written` has left below the shared folder: for the end of a run, when its results are stored elsewhere."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).getParent()
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -58,12 +58,12 @@ ZERO_PAIR_GROUPS = 2_000
 def overlaps(rows: DataFrame, entity: str, group: str, zeros: bool = True) -> DataFrame:
     """For each pair of groups how many entities have both; with `zeros`, pairs without one count zero.
 
-    Pairs are made inside the list of groups of one entity, each a row of its own.
+    The distinct rows meet themselves by entity, written, so that Spark can split an entity of many groups.
     Zero pairs are a report on a short domain: more than ZERO_PAIR_GROUPS groups are refused.
     """
-    lists = rows.select(entity, group).distinct().groupBy(entity).agg(F.array_sort(F.collect_set(group)).alias("_g"))
-    each = lists.select("_g", F.posexplode("_g").alias("i", "a")).select("a", F.explode(F.slice("_g", F.col("i") + 2, F.size("_g"))).alias("b"))
-    found = each.groupBy("a", "b").agg(F.count("*").alias("common"))
+    own = written(rows.select(F.col(entity).alias("_e"), F.col(group).alias("a")).filter("a is not null").distinct())
+    other = own.select(F.col("_e").alias("_f"), F.col("a").alias("b"))
+    found = own.join(other, F.col("_e").eqNullSafe(F.col("_f")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("common"))
     if not zeros:
         return found
     names = sorted(r[0] for r in rows.select(group).distinct().filter(F.col(group).isNotNull()).limit(ZERO_PAIR_GROUPS + 1).collect())

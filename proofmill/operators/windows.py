@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofmill.folders import written
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
@@ -17,26 +19,21 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """The place of each row in a total order, from 1.
+    """The place of each row in a total order, from 1.
 
-    Rows are range-partitioned; the counts of partitions (a row each) give every
-    partition its offset, so ranking needs no single task.
+    Rows are range-partitioned and written with the number of their partition,
+    so counts and rows are of the same partitions; the counts (a row each) give
+    every partition its offset, and ranking needs no single task.
     """
-    spread = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
-    inside = Window.partitionBy("_pid").orderBy(*order)
-    ranked = spread.withColumn("_in", F.row_number().over(inside))
-    sizes = ranked.groupBy("_pid").agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_first"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_before")
+    spread = written(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    sizes = spread.groupBy("_pid").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_before")
+    ranked = spread.withColumn("_in", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     return ranked.join(F.broadcast(before), "_pid").withColumn(name, F.col("_in") + F.col("_before")).drop("_pid", "_in", "_before")
 
 
 def split_at(df: DataFrame, order: list[str], target: int) -> DataFrame:
-    """Rank and pool: the first `target` rows are the target, the rest overflow.
-
-    Only the row at the target matters for the split, so a top-k finds it.
-    """
-    if target <= 0:
-        return global_rank(df, order).withColumn("pool", F.lit("overflow"))
+    """Rank and pool: the first `target` rows of the ranking are the target, the rest overflow."""
     return global_rank(df, order).withColumn("pool", F.when(F.col("rank") <= target, "target").otherwise("overflow"))
 
 
@@ -116,9 +113,12 @@ def sliding_count(df: DataFrame, keys: list[str], time: str, seconds: int) -> Da
     return df.withColumn("_at", at).withColumn("in_window", F.count("*").over(w.rangeBetween(-seconds * 1_000_000, 0))).withColumn("gap_micros", F.col("_at") - F.lag("_at").over(w)).drop("_at")
 
 
-def sequence_gaps(df: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """For each key the numbers missing between 1 and its largest one."""
-    return df.groupBy(*keys).agg(F.max(number).alias("last"), F.array_sort(F.collect_set(number)).alias("_have")).select(*keys, "last", F.array_except(F.sequence(F.lit(1), F.col("last")), F.col("_have")).alias("missing"))
+def sequence_gaps(df: DataFrame, keys: list[str], number: str, start: int = 0) -> DataFrame:
+    """For each key the ranges (missing_from to missing_to) of numbers from `start` on that are absent below its largest one."""
+    w = Window.partitionBy(*keys).orderBy(number)
+    rows = df.select(*keys, number).filter(F.col(number) >= start).distinct()
+    after = rows.withColumn("_after", F.coalesce(F.lag(number).over(w), F.lit(start - 1)))
+    return after.filter(F.col(number) > F.col("_after") + 1).select(*keys, (F.col("_after") + 1).alias("missing_from"), (F.col(number) - 1).alias("missing_to"))
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

@@ -113,9 +113,10 @@ def cursor_chain_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.chain_breaks(lines, ["l_orderkey"], "l_linenumber", F.col("l_linenumber"), F.col("l_linenumber") + 1).select("l_orderkey", "l_linenumber", "expected", "position")
 
 
-@query("SELECT l_orderkey, max(l_linenumber) AS last, len(list_filter(range(1, max(l_linenumber) + 1), lambda x: NOT list_contains(list(l_linenumber), x))) AS n_missing FROM lineitem GROUP BY l_orderkey")
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber AS n, lag(l_linenumber, 1, -1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R'))
+SELECT l_orderkey, b + 1 AS missing_from, n - 1 AS missing_to FROM n WHERE n > b + 1""")
 def page_sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.sequence_gaps(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber").select("l_orderkey", "last", F.size("missing").alias("n_missing"))
+    return W.sequence_gaps(table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R'"), ["l_orderkey"], "l_linenumber")
 
 
 @query("""WITH b AS (SELECT user_id, max(CASE WHEN value >= 20 THEN event_id END) AS broken FROM events GROUP BY user_id)

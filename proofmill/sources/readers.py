@@ -77,8 +77,11 @@ def ordered_journals(spark: SparkSession, history: DataFrame, schema: str | T.St
     if not there:
         return spark.createDataFrame([], T.StructType([T.StructField("pos", T.LongType()), T.StructField("line", T.IntegerType())])), issues
     lines = journal_lines(spark, there)
-    key = lambda c: F.regexp_extract(c, r"([^/]+/[^/]+)$", 1)
-    placed = lines.join(F.broadcast(history.select("pos", key(F.col("path")).alias("_k"))), key(F.col("file")) == F.col("_k"))
+    # Whole qualified paths: the reader's are percent-encoded, the history's are as they were declared.
+    full = spark.createDataFrame([(n, _qualified(spark, n)) for n in there], "_path string, _k string")
+    at = history.join(full, F.col("path") == F.col("_path")).select("pos", "_k")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    placed = lines.join(at, plain(F.col("file")) == plain(F.col("_k")))
     torn = placed.filter("not committed").select(F.col("file").alias("path"), F.lit("NO_FINAL_LINE_FEED").alias("code"))
     parsed = placed.filter("committed").withColumn("d", F.from_json("text", schema))
     broken = placed.filter(F.col("committed") & F.try_parse_json("text").isNull()).select(F.col("file").alias("path"), F.lit("BAD_LINE").alias("code"))
@@ -92,6 +95,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as a file reader reports it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
 def optional(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """JSON lines of a file, or an empty relation where it is missing; other errors stay errors."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path) if _exists(spark, path) else spark.createDataFrame([], schema)

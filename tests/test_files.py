@@ -42,6 +42,16 @@ def test_declared_order_of_journals(spark, tmp_path):
     assert sorted(r.code for r in issues.collect()) == ["BAD_LINE", "MISSING_FILE", "NOT_JSONL", "NO_FINAL_LINE_FEED"]
 
 
+def test_journals_of_one_name_in_several_folders(spark, tmp_path):
+    for folder in ("a/x", "b/x", "y z", "c%20d"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "1.jsonl").write_text(f'{{"n": "{folder}"}}\n')
+    names = [f"{tmp_path}/{x}/1.jsonl" for x in ("b/x", "y z", "a/x", "c%20d")]
+    history = spark.createDataFrame(list(enumerate(names)), "pos long, path string")
+    good, issues = R.ordered_journals(spark, history, "n string")
+    assert [(r.pos, r.n) for r in good.orderBy("pos").collect()] == [(0, "b/x"), (1, "y z"), (2, "a/x"), (3, "c%20d")] and issues.count() == 0
+
+
 def test_json_documents_and_optional(spark, tmp_path):
     (tmp_path / "d.json").write_bytes(b'\xef\xbb\xbf{"a":\n 1}')
     assert R.json_documents(spark, f"{tmp_path}/d.json", "a int").first().a == 1
