@@ -157,21 +157,53 @@ def redact(c: Column, most: int | None = 300) -> Column:
 
 #: Named patterns of text that must not leave a machine.
 LEAK_PATTERNS = {
-    "aws_key": r"AKIA[0-9A-Z]{16}",
-    "bearer": r"Bearer +[A-Za-z0-9._-]{20,}",
+    "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
+    "github_token": r"\b(?:ghp|github_pat)_[A-Za-z0-9_]{20,}\b",
+    "aws_access_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "slack_token": r"\bxox[baprs]-[A-Za-z0-9-]{12,}\b",
+    "bearer_token": r"(?i)\bAuthorization\s*[:=]\s*Bearer\s+[A-Za-z0-9._~+/=-]{12,}",
+    "assigned_secret": r"(?i)\b(?:api[_-]?key|access[_-]?token|client[_-]?secret|password|cookie)\b\s*[:=]\s*['\"]?[A-Za-z0-9._~+/=-]{12,}",
+    "windows_path": r"(?i)(?:^|[^A-Za-z0-9])[A-Z]:[\\/]{1,2}[^\\/\s'\"`<>|]{2,}",
+    "unc_path": r"(?:^|[^\\])(?:\\\\|\\\\\\\\)[A-Za-z0-9][A-Za-z0-9._-]+\\{1,2}[A-Za-z0-9][A-Za-z0-9$._ -]+",
+    "posix_device_path": r"(?:^|[^A-Za-z0-9_.-])/(?:Users|home|root|mnt|Volumes)/[^\s'\"`<>|]+",
+    "facebook_target": r"(?i)https?://(?:www\.)?facebook\.com/groups/[A-Za-z0-9._-]{4,}",
+    "instagram_target": r"(?i)https?://(?:www\.)?instagram\.com/[A-Za-z0-9._]{3,}",
+    "tiktok_target": r"(?i)https?://(?:www\.)?tiktok\.com/@[A-Za-z0-9._-]{3,}",
+    "reddit_target": r"(?i)https?://(?:www\.)?reddit\.com/r/[^/\s]+/comments/[A-Za-z0-9]{4,}",
+}
+#: Personal data that the tables hold and the rules above leave alone.
+PERSONAL_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "github_token": r"gh[pousr]_[A-Za-z0-9]{30,}",
-    "home_path": r"/(?:home|Users)/[A-Za-z0-9._-]+",
     "ipv4": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
 
 
 def leaks(c: Column, patterns: dict[str, str] | None = None) -> Column:
-    """Names of the patterns that a text matches, in order."""
+    """names of the patterns that a text matches, in order."""
     return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in sorted((patterns or LEAK_PATTERNS).items())]))
 
 
+def unescaped(c: Column) -> Column:
+    """A text with JSON escapes decoded, and percent-encoding after them; where that can't be done, the text as it is."""
+    quoted = F.regexp_replace(c, r'(^|[^\\])"', r'$1\\"')
+    decoded = F.from_json(F.concat(F.lit('["'), F.regexp_replace(F.replace(quoted, F.lit("\n"), F.lit("\\n")), r"[\x00-\x1f]", " "), F.lit('"]')), "array<string>")
+    plain = F.coalesce(F.get(decoded, F.lit(0)), c)
+    return F.coalesce(F.try_url_decode(plain), plain)
+
+
+def escaped_leaks(c: Column, tokens: Sequence[str] = (), patterns: dict[str, str] | None = None) -> Column:
+    """names of patterns, and the caller's own tokens, found in the text as it is or with its escapes decoded."""
+    plain = unescaped(c)
+    own = [F.when(F.contains(c, F.lit(t)) | F.contains(plain, F.lit(t)), F.lit(f"token:{t}")) for t in sorted(tokens)]
+    return F.array_sort(F.array_union(F.array_union(leaks(c, patterns), leaks(plain, patterns)), F.array_compact(F.array(*own)) if own else F.array().cast("array<string>")))
+
+
+def synthetic_line(path: Column, line: Column, marker: str = r"(?i)(synthetic|example|fixture|placeholder)") -> Column:
+    """a line of a test or fixture file that says that it is made up, or one that only has a placeholder."""
+    made_up = path.rlike(r"(?i)(^|/)(tests?|fixtures)/|[._-]test\.") & line.rlike(marker)
+    return F.coalesce(made_up, F.lit(False)) | F.coalesce(line.rlike(r"\b(?:REPLACE_WITH|PLACEHOLDER)(?:_[A-Z0-9]+)+\b"), F.lit(False))
+
+
 def portable_name(path: Column) -> Column:
     """NULL for a portable relative file name, else the first rule that it breaks."""
     part = rf"(?i)(^|/)(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.[^/]*)?(/|$)"

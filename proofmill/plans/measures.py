@@ -48,12 +48,15 @@ def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(A.matched_terms(F.col("text"), TERMS), ",").alias("terms"))
 
 
-@query(r"""WITH p(rule, pat) AS (VALUES ('aws_key', 'AKIA[0-9A-Z]{16}'), ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), ('ipv4', '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b'), ('home_path', '/(?:home|Users)/[A-Za-z0-9._-]+'), ('bearer', 'Bearer +[A-Za-z0-9._-]{20,}'), ('github_token', 'gh[pousr]_[A-Za-z0-9]{30,}'), ('private_key', '-----BEGIN [A-Z ]*PRIVATE KEY-----')),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+_LEAKS = T.LEAK_PATTERNS | T.PERSONAL_PATTERNS
+_RULES = ", ".join("('{}', '{}')".format(n, p.replace("'", "''")) for n, p in _LEAKS.items())
+
+
+@query(f"""WITH p(rule, pat) AS (VALUES {_RULES}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT rule, count(*) AS n_lines, count(DISTINCT doc_id) AS docs FROM l JOIN p ON regexp_matches(line, pat) GROUP BY 1""")
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return J.rule_matches(lines, "line", T.LEAK_PATTERNS).groupBy("rule").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("docs"))
+    return J.rule_matches(lines, "line", _LEAKS).groupBy("rule").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \n\t]+', '[url]', 'g'), 'Bearer +[A-Za-z0-9._-]+', 'Bearer [secret]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[mail]', 'g'), '(token|password|secret|api_key|cookie)=[^ \n\t&]+', '\1=[secret]', 'g')) AS clean FROM documents""")
