@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from proofmill.llm.common import whole_row, written
 
-SWEEPS = 100
+SWEEPS = 40
 TOLERANCE = 1e-4
 #: Part of all tokens that the sample is expected to hold.
 SHARE = 0.75
