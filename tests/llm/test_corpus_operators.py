@@ -193,6 +193,32 @@ def test_paths_are_prefix_tries():
     assert abs((depth >= 10).mean() - chance(0.8, 10)) < 0.05 and (depth >= shortest_depth()).all()
 
 
+@pytest.mark.parametrize("batch,partitions", [(1000, 1), (3, 1), (4, 5)])
+def test_links_join_every_node_at_every_depth(spark, batch, partitions):
+    """Groups of the links of a depth are those of equal prefixes, whatever the batches and tasks; no text is far from the first."""
+    rnd = random.Random(9)
+    rows = [(i, [int("".join(f"{rnd.randrange(2):06b}" for _ in range(10)), 2) for _ in range(2)]) for i in range(120)]
+    classes = spark.createDataFrame([(i, [p & ~((1 << 12) - 1) | rnd.randrange(1 << 12) for p in ps]) for i, ps in rows], "rep long, paths array<bigint>")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, (str(batch), str(partitions), "false")):
+            spark.conf.set(k, v)
+        links = [(r.a, r.b, r.depth) for r in nd.forest_links(classes).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    paths = {r.rep: r.paths for r in classes.collect()}
+    for depth in range(shortest_depth(), 11):
+        def groups(pairs):
+            of = {i: i for i in paths}
+            for a, b in pairs:
+                x, y = of[a], of[b]
+                of = {i: min(x, y) if c in (x, y) else c for i, c in of.items()}
+            return of
+        same = [(a, b) for a in paths for b in paths if a < b and any(x >> 6 * (10 - depth) == y >> 6 * (10 - depth) for x, y in zip(paths[a], paths[b]))]
+        assert groups(same) == groups([(a, b) for a, b, d in links if d >= depth]), depth
+
+
 def test_prefixes_are_shortened_to_the_recall(spark):
     """Near copies that differ by a word keep long prefixes; copies close to the threshold need shorter ones."""
     rnd = random.Random(6)
