@@ -28,6 +28,40 @@ def route_metrics(rows: DataFrame, route: str, entity: str, first: str, ms: Colu
     )
 
 
+def _tally_text(df: DataFrame, route: str, value: str, name: str) -> DataFrame:
+    """By route one text of value:count pairs in order; unknown values count as unknown."""
+    counts = df.groupBy(F.col(route).alias("_r"), F.coalesce(F.col(value).cast("string"), F.lit("unknown")).alias("_v")).agg(F.count("*").alias("_n"))
+    return counts.groupBy("_r").agg(F.array_join(F.array_sort(F.collect_list(F.concat("_v", F.lit(":"), F.col("_n").cast("string")))), ",").alias(name))
+
+
+def route_measures(observations: DataFrame, actions: DataFrame, targets: DataFrame) -> DataFrame:
+    """The measures of every route that has observations or actions.
+
+    observations: route, handle, kind, candidate, first (the candidate row that
+    credits its handle); actions: route, role (cost role), ms, status, stop;
+    targets: handle.  Counts of a route without rows are 0, known times NULL.
+    """
+    pool = targets.select(F.col("handle").alias("_t")).distinct()
+    seen = observations.join(pool, F.col("handle") == F.col("_t"), "left").withColumn("target", F.col("_t").isNotNull())
+    of = lambda cond: F.count_distinct(F.when(cond, F.col("handle")))
+    c = F.col
+    own = seen.groupBy(c("route").alias("route")).agg(
+        F.count("*").alias("observation_rows"), F.count_distinct("handle").alias("own_unique"), of(c("candidate")).alias("candidate_unique"), of(c("first")).alias("first_unique"),
+        of(c("first") & c("target")).alias("first_target_unique"), of(c("candidate") & c("target")).alias("target_pool_unique"),
+    ).withColumn("support_only_unique", c("own_unique") - c("candidate_unique"))
+    counted = c("role").isin("discovery", "enrichment")
+    ms = lambda cond: F.sum(F.when(cond, c("ms")))
+    done = actions.groupBy(c("route").alias("_route")).agg(
+        F.count_if(counted).alias("actions"), ms(counted).alias("known_ms"), F.count_if(counted & c("ms").isNull()).alias("untimed"), F.count("*").alias("all_attempts"), F.sum("ms").alias("all_known_ms"),
+        ms(c("role") == "diagnostic").alias("diagnostic_ms"), ms(c("role") == "unknown").alias("unknown_role_ms"),
+    )
+    both = own.join(done, c("route") == c("_route"), "full").withColumn("route", F.coalesce("route", "_route")).drop("_route")
+    for tally in (_tally_text(observations, "route", "kind", "kinds"), _tally_text(actions.filter(counted), "route", "status", "statuses"), _tally_text(actions.filter(counted), "route", "stop", "stop_reasons")):
+        both = both.join(tally, c("route") == c("_r"), "left").drop("_r")
+    zero = [n for n in both.columns if n.endswith(("_unique", "_rows")) or n in ("actions", "untimed", "all_attempts")]
+    return both.fillna(0, zero).fillna("", ["kinds", "statuses", "stop_reasons"])
+
+
 def identities(df: DataFrame, stable: str, handle: str) -> tuple[DataFrame, DataFrame]:
     """A10: stable ids with several handles (aliases), and handles with several stable ids (conflicts)."""
     by = lambda k, v: df.groupBy(k).agg(F.count_distinct(v).alias("n")).filter("n > 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from proofmill.catalog import query, table
 from proofmill.functions import text as T
 from proofmill.functions import values as N
+from proofmill.operators import aggregates as A
 from proofmill.operators import ordering as O  # noqa: E741
 from proofmill.operators import predicates as P
 from proofmill.operators import validation as V
@@ -243,6 +244,33 @@ def declared_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "c_name", "channel", F.when(c("latest").isNull(), "unstarted").otherwise("started").alias("state"), "latest")
 
 
+_ROUTES = """WITH o AS (SELECT event_type AS route, user_id AS handle, CASE WHEN event_id % 9 > 0 THEN 'k' || event_id % 3 END AS kind, value > 30 AS candidate, value > 30 AND event_id = min(CASE WHEN value > 30 THEN event_id END) OVER (PARTITION BY user_id) AS first, user_id % 4 = 0 AS target FROM events WHERE event_type <> 'error'),
+a AS (SELECT event_type AS route, ['discovery', 'enrichment', 'diagnostic', 'unknown'][event_id % 4 + 1] AS role, CASE WHEN event_id % 7 > 0 THEN event_id END AS ms, 's' || event_id % 2 AS status, CASE WHEN event_id % 5 > 0 THEN 'end' END AS stop FROM events WHERE event_type <> 'view'),
+r AS (SELECT route, count(*) AS observation_rows, count(DISTINCT handle) AS own_unique, count(DISTINCT handle) FILTER (WHERE candidate) AS candidate_unique, count(DISTINCT handle) FILTER (WHERE first) AS first_unique, count(DISTINCT handle) FILTER (WHERE first AND target) AS first_target_unique, count(DISTINCT handle) FILTER (WHERE candidate AND target) AS target_pool_unique FROM o GROUP BY 1),
+d AS (SELECT route, count(*) FILTER (WHERE role IN ('discovery', 'enrichment')) AS actions, CAST(sum(ms) FILTER (WHERE role IN ('discovery', 'enrichment')) AS BIGINT) AS known_ms, count(*) FILTER (WHERE role IN ('discovery', 'enrichment') AND ms IS NULL) AS untimed, count(*) AS all_attempts, CAST(sum(ms) AS BIGINT) AS all_known_ms, CAST(sum(ms) FILTER (WHERE role = 'diagnostic') AS BIGINT) AS diagnostic_ms, CAST(sum(ms) FILTER (WHERE role = 'unknown') AS BIGINT) AS unknown_role_ms FROM a GROUP BY 1),
+k AS (SELECT route, string_agg(v || ':' || n, ',' ORDER BY v) AS kinds FROM (SELECT route, coalesce(kind, 'unknown') AS v, count(*) AS n FROM o GROUP BY ALL) GROUP BY 1),
+s AS (SELECT route, string_agg(v || ':' || n, ',' ORDER BY v) AS statuses FROM (SELECT route, status AS v, count(*) AS n FROM a WHERE role IN ('discovery', 'enrichment') GROUP BY ALL) GROUP BY 1),
+t AS (SELECT route, string_agg(v || ':' || n, ',' ORDER BY v) AS stop_reasons FROM (SELECT route, coalesce(stop, 'unknown') AS v, count(*) AS n FROM a WHERE role IN ('discovery', 'enrichment') GROUP BY ALL) GROUP BY 1)
+SELECT route, coalesce(observation_rows, 0) AS observation_rows, coalesce(own_unique, 0) AS own_unique, coalesce(candidate_unique, 0) AS candidate_unique, coalesce(first_unique, 0) AS first_unique, coalesce(first_target_unique, 0) AS first_target_unique, coalesce(target_pool_unique, 0) AS target_pool_unique, coalesce(own_unique - candidate_unique, 0) AS support_only_unique,
+coalesce(actions, 0) AS actions, known_ms, coalesce(untimed, 0) AS untimed, coalesce(all_attempts, 0) AS all_attempts, all_known_ms, diagnostic_ms, unknown_role_ms, coalesce(kinds, '') AS kinds, coalesce(statuses, '') AS statuses, coalesce(stop_reasons, '') AS stop_reasons
+FROM r FULL JOIN d USING (route) LEFT JOIN k USING (route) LEFT JOIN s USING (route) LEFT JOIN t USING (route)"""
+
+
+@query(_ROUTES)
+def route_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    events = table(spark, sf_dir, "events")
+    candidate = c("value") > 30
+    first = events.filter(candidate & (c("event_type") != "error")).groupBy(c("user_id").alias("_u")).agg(F.min("event_id").alias("_first"))
+    joined = events.filter("event_type <> 'error'").join(first, c("user_id") == c("_u"), "left")
+    seen = joined.select(c("event_type").alias("route"), c("user_id").alias("handle"), F.when(c("event_id") % 9 > 0, F.concat(F.lit("k"), (c("event_id") % 3).cast("string"))).alias("kind"), candidate.alias("candidate"), (candidate & (c("event_id") == c("_first"))).alias("first"))
+    role = F.element_at(F.array(*[F.lit(x) for x in ("discovery", "enrichment", "diagnostic", "unknown")]), (c("event_id") % 4 + 1).cast("int"))
+    actions = events.filter("event_type <> 'view'").select(
+        c("event_type").alias("route"), role.alias("role"), F.when(c("event_id") % 7 > 0, c("event_id")).alias("ms"), F.concat(F.lit("s"), (c("event_id") % 2).cast("string")).alias("status"), F.when(c("event_id") % 5 > 0, "end").alias("stop")
+    )
+    return A.route_measures(seen, actions, events.filter("user_id % 4 = 0").select(c("user_id").alias("handle")))
+
+
 @query("SELECT o_orderkey, l_lines AS works, 'orders' AS source, 1 AS schema_version, o_orderstatus = 'F' AS closed FROM orders JOIN (SELECT l_orderkey, count(*) AS l_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived count and constants; helper columns go, flags stay."""
