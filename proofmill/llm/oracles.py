@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from proofmill.llm import centroids as centroids_
+from proofmill.llm import vector_codes as vector_codes_
 from proofmill.llm.decontaminate import LEAST_EQUAL, LEAST_ITEM, WINDOW
 from proofmill.llm.license_scan import LEAST_COVER, NEAR_DIAGONALS, templates
 from proofmill.llm.mixing import SHARE, SWEEPS, TEMPER, TOLERANCE
@@ -153,3 +155,61 @@ ORACLES = {
     "op8_license_scan": license_scan(),
     "op10_decontamination": DECONTAMINATION,
 }
+
+
+def _kept(dims: int) -> str:
+    fine = f"embedding IS NOT NULL AND len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}"
+    return f"kept AS MATERIALIZED (SELECT *, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {fine})"
+
+
+_FLOOR = "(({s}) - ((({s}) % {n}) + {n}) % {n}) // {n}"
+
+
+def vector_codes(dims: int, parts: int, entries: int, rounds: int) -> str:
+    """Lloyd rounds over the parts by full scans."""
+    width = dims // parts
+    at = ", ".join(f"v[p * {width} + {i + 1}] AS x{i}" for i in range(width))
+    square = " + ".join(f"(x{i} - c{i}) ** 2" for i in range(width))
+    steps = [
+        _kept(dims),
+        f"part AS MATERIALIZED (SELECT vec_id, label, p, {at} FROM kept, range({parts}) t(p))",
+        "c_0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, " + ", ".join(f"x{i} AS c{i}" for i in range(width)) + f" FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a_{r} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, p, min(d * {entries} + e) AS de, {', '.join(f'any_value(x{i}) AS x{i}' for i in range(width))} FROM (SELECT *, ({square})::BIGINT AS d FROM part JOIN c_{r} USING (p)) GROUP BY vec_id, p)")
+        if r < rounds:
+            moved = ", ".join(f"coalesce({_FLOOR.format(s=f's{i}', n='n')}, c{i})::BIGINT AS c{i}" for i in range(width))
+            sums = ", ".join(f"sum(x{i})::BIGINT AS s{i}" for i in range(width))
+            steps.append(f"c_{r + 1} AS MATERIALIZED (SELECT p, e, {moved} FROM c_{r} LEFT JOIN (SELECT p, de % {entries} AS e, count(*) AS n, {sums} FROM a_{r} GROUP BY ALL) USING (p, e))")
+    numbers = " || ',' || ".join(f"c{i}" for i in range(width))
+    return f"""
+WITH {', '.join(steps)},
+coded AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', (de % {entries})::INT), '' ORDER BY p) AS code, sum(de // {entries})::BIGINT AS error FROM a_{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg({numbers}, ',' ORDER BY p, e)) FROM c_{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
+def centroid_clusters(dims: int, k: int, rounds: int, salt: str) -> str:
+    """Lloyd rounds by full scans."""
+    steps = [_kept(dims), f"c_0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{salt}' || vec_id)) - 1 AS c, v AS w FROM kept ORDER BY sha256('{salt}' || vec_id) LIMIT {k})"]
+    square = "list_inner_product(v::DOUBLE[], v::DOUBLE[]) - 2 * list_inner_product(v::DOUBLE[], w::DOUBLE[]) + list_inner_product(w::DOUBLE[], w::DOUBLE[])"
+    for r in range(rounds + 1):
+        steps.append(f"a_{r} AS MATERIALIZED (SELECT vec_id, min(d * {k} + c) AS dc FROM (SELECT vec_id, c, ({square})::BIGINT AS d FROM kept, c_{r}) GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(f"m_{r} AS MATERIALIZED (SELECT c, list({_FLOOR.format(s='s', n='n')} ORDER BY i) AS w FROM (SELECT dc % {k} AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM kept JOIN a_{r} USING (vec_id), range(1, {dims + 1}) t(i) GROUP BY ALL) GROUP BY c)")
+            steps.append(f"c_{r + 1} AS MATERIALIZED (SELECT c, coalesce(m_{r}.w, c_{r}.w) AS w FROM c_{r} LEFT JOIN m_{r} USING (c))")
+    return f"""
+WITH {', '.join(steps)},
+last AS (SELECT vec_id, (dc % {k})::INT AS cluster, dc // {k} AS distance FROM a_{rounds})
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM last JOIN c_{rounds} ON c = cluster
+"""
+
+
+ORACLES |= {
+    "op11_vector_codes": vector_codes(vector_codes_.DIMS, vector_codes_.PARTS, vector_codes_.ENTRIES, vector_codes_.ROUNDS),
+    "op12_centroid_clusters": centroid_clusters(centroids_.DIMS, centroids_.CENTROIDS, centroids_.ROUNDS, centroids_.SALT),
+}
