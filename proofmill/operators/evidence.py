@@ -1,14 +1,13 @@
 """Operators on nested evidence, reviews and runs: trees of JSON, experiment gates, ledgers and guards.
 
-Nested JSON of unknown depth is walked in Arrow batches; everything else is
-made of column functions.
+Nested JSON is walked as variants (operators/trees.py); only `without_secrets`, which
+writes JSON again, works in Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,10 +16,12 @@ from pyspark.sql import functions as F
 from proofmill.functions import text as T
 from proofmill.functions import values as V
 from proofmill.operators.joins import reconcile
+from proofmill.operators.trees import marked_objects
 
 #: Names of fields that must not reach an output.
 SECRET_FIELD = r"^_|^(?:cookies?|authorization|password|access_?token|refresh_?token|session_?token|headers|storageState)$"
-DEEPEST, LONGEST = 7, 2_000
+#: Fixed value: how deep items of a response may lie.
+DEEPEST = 7
 
 
 def without_secrets(column: Column, pattern: str = SECRET_FIELD) -> Column:
@@ -45,33 +46,9 @@ def without_secrets(column: Column, pattern: str = SECRET_FIELD) -> Column:
     return clean(column)
 
 
-def nested_objects(df: DataFrame, key: str, column: str, marks: list[str], deepest: int = DEEPEST, longest: int = LONGEST) -> DataFrame:
-    """A row (key, path, object) for each outermost object that has all fields of `marks`, down to `deepest` levels; of an array the first `longest` elements are walked."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def walk(v, path: str, level: int):
-        if isinstance(v, dict):
-            if all(m in v for m in marks):
-                yield path, v
-            elif level < deepest:
-                for k, x in v.items():
-                    yield from walk(x, f"{path}.{k}", level + 1)
-        elif isinstance(v, list) and level < deepest:
-            for i, x in enumerate(v[:longest]):
-                yield from walk(x, f"{path}[{i}]", level + 1)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, text in zip(frame[key], frame[column], strict=True):
-                try:
-                    tree = json.loads(text) if text else None
-                except ValueError:
-                    continue
-                rows += [(k, path, json.dumps(o, ensure_ascii=False)) for path, o in walk(tree, "$", 0)]
-            yield pd.DataFrame(rows, columns=[key, "path", "object"])
-
-    return df.select(key, column).mapInPandas(run, f"{key} {kind}, path string, object string")
+def nested_objects(df: DataFrame, key: str, column: str, marks: list[str], deepest: int | None = DEEPEST) -> DataFrame:
+    """A row (key, path, object) for each outermost object that has all fields of `marks`, down to `deepest` levels (None: all)."""
+    return marked_objects(df, key, column, marks, deepest).select(key, "path", "object")
 
 
 def payload_outcome(payload: Column, kind: Column, item: Column) -> Column:
