@@ -7,15 +7,13 @@ and late rows change nothing.  Queries run to the end of their input with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from proofmill.folders import shared_folder
+from proofmill.streaming.control import run_controlled
+from proofmill.streaming.trees import tree_state  # noqa: F401  kept here for callers
 
 
 def available_now(stream: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
@@ -26,12 +24,7 @@ def available_now(stream: DataFrame, mode: str = "append", at: str | None = None
     """
     spark = stream.sparkSession
     at = at or shared_folder(spark)
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
+    run_controlled(stream, at, mode=mode)
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{at}/rows")
 
 
@@ -61,56 +54,6 @@ def paired(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, r
     return a.join(b, same).drop(*[b[k] for k in keys])
 
 
-TREE_SCHEMA = "tree string, last_applied bigint, n_nodes bigint, n_waiting bigint, n_missing bigint, depth int, gaps array<string>"
-_STATE = "last_applied bigint, ids array<string>, parents array<string>, asked array<string>, tries array<int>, gaps array<string>"
-
-
-def tree_state(stream: DataFrame, key: str, sequence: str, node: str, parent: str, most_tries: int = 2) -> DataFrame:
-    """A tree for each key built from rows (sequence, node, parent) in any grouping.
-
-    A sequence at or below the last applied one is a replay and changes nothing;
-    the first row of a node wins, a later one with another parent is a gap; a
-    parent that isn't there is waited for, and missing after `most_tries` more
-    sequences.  State is one key's tree; keys are independent.
-    """
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ids, parents, asked, tries, gaps = state.get if state.exists else (-1, [], [], [], [], [])
-        tree = dict(zip(ids, parents, strict=True))
-        waiting = dict(zip(asked, tries, strict=True))
-        gaps = list(gaps)
-        rows = pd.concat(list(frames)).sort_values([sequence, node])
-        for number, group in rows.groupby(sequence):
-            if number <= last:
-                continue
-            last = int(number)
-            for n, p in zip(group[node], group[parent], strict=True):
-                if n not in tree:
-                    tree[n] = p if isinstance(p, str) else ""
-                elif tree[n] != (p if isinstance(p, str) else "") and f"parent:{n}" not in gaps:
-                    gaps.append(f"parent:{n}")
-                waiting.pop(n, None)
-            for p in tree.values():
-                if p and p not in tree:
-                    waiting.setdefault(p, 0)
-            for p in waiting:
-                waiting[p] += 1
-        state.update((last, list(tree), list(tree.values()), list(waiting), list(waiting.values()), gaps))
-        depth = {n: 1 for n, p in tree.items() if not p}
-        todo = [n for n in tree if n not in depth]
-        while todo:
-            left = [n for n in todo if tree[n] not in depth]
-            depth |= {n: depth[tree[n]] + 1 for n in todo if tree[n] in depth}
-            if len(left) == len(todo):
-                break
-            todo = left
-        missing = sum(t > most_tries for t in waiting.values())
-        yield pd.DataFrame([(str(k[0]), last, len(tree), len(waiting) - missing, missing, max(depth.values(), default=0), gaps)], columns=[c.split()[0] for c in TREE_SCHEMA.split(", ")])
-
-    rows = stream.select(F.col(key).cast("string").alias("tree"), sequence, F.col(node).cast("string").alias(node), F.col(parent).cast("string").alias(parent))
-    return rows.groupBy("tree").applyInPandasWithState(update, TREE_SCHEMA, _STATE, "update", GroupStateTimeout.NoTimeout)
-
-
 def back_off_ms(failures, base_ms: int = 10_000, most: int = 3):
     """Wait before the next try after so many failures in a row; NULL after the last allowed one."""
     return F.when((failures >= 1) & (failures < most), base_ms * F.pow(F.lit(2), failures - 1)).cast("bigint")
