@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.catalog import query, table
 from proofmill.folders import shared_folder
+from proofmill.sources import publishing as PB
 from proofmill.sources import readers as R
 from proofmill.sources import sinks as S
 
@@ -108,3 +111,24 @@ def long_text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long texts in numbered parts."""
     parts = S.split_long(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", "text", 1000)
     return parts.select("doc_id", "part", F.md5("text").alias("piece"))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, CASE o_orderstatus WHEN 'P' THEN 'O' END AS target, 2 AS version FROM orders GROUP BY 1")
+def published_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review published twice, the second time after an attempt that fails between its outputs; what is read is the last whole set."""
+    at = shared_folder(spark)
+    orders = table(spark, sf_dir, "orders")
+    facts = orders.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    seen = facts.select("status", (F.col("status") == "P").alias("eligible"), F.lit("O").alias("target"))
+    bundle = PB.review_bundle(facts, seen, "Orders", True)
+    PB.publish(spark, at, bundle)
+    failing = bundle | {"late": orders.select(F.raise_error(F.lit("lost")).cast("string").alias("x"))}
+    with contextlib.suppress(Exception):
+        PB.publish(spark, at, failing)
+    PB.recover(spark, at)
+    version = PB.publish(spark, at, bundle)
+    folder = PB.published(spark, at)
+    proposal = spark.read.json(f"{folder}/proposal.json").select(F.explode("targets").alias("target"))
+    rows = spark.read.schema("status string, n bigint").json(f"{folder}/facts")
+    seen = spark.read.schema("status string, eligible boolean, target string").json(f"{folder}/observations").filter("eligible").join(proposal, "target").select(F.col("status").alias("_s"), "target")
+    return rows.join(seen, F.col("status") == F.col("_s"), "left").select("status", "n", "target", F.lit(version).alias("version"))
