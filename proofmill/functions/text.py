@@ -32,6 +32,17 @@ def collapse_space(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
 
 
+def whole_json(c: Column) -> Column:
+    """A text as a variant; NULL unless all of it is one JSON value.
+
+    Spark's parser stops after the first value and takes `{"a":1} x` for JSON.
+    Inside brackets and inside an object at once, nothing may follow: a text that
+    ends either early leaves the other one broken.
+    """
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return F.when(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull(), F.try_variant_get(inside, "$.v", "variant"))
+
+
 def handle_key(c: Column) -> Column:
     """the last path part of a url, or the handle itself, without @ and in lower case."""
     return nonempty(F.lower(F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?i)https?://[^/]+/", ""), r"^@|/.*$", "")))

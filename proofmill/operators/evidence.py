@@ -53,7 +53,7 @@ def nested_objects(df: DataFrame, key: str, column: str, marks: list[str], deepe
 
 def payload_outcome(payload: Column, kind: Column, item: Column) -> Column:
     """Ok, or what is wrong with a response of a thread or of more children."""
-    v = F.try_parse_json(payload)
+    v = T.whole_json(payload)
     text = lambda path: F.try_variant_get(v, path, "string")
     rows = lambda path: F.try_variant_get(v, path, "array<variant>")
     listing = (text("$[0].kind") == "Listing") & (text("$[1].kind") == "Listing") & rows("$[0].data.children").isNotNull() & rows("$[1].data.children").isNotNull()
@@ -182,7 +182,7 @@ def unique_edges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def size_of(value: Column) -> Column:
     """Elements of a JSON array or fields of a JSON object; NULL for anything else."""
-    v = F.try_parse_json(value)
+    v = T.whole_json(value)
     fields = F.try_variant_get(v, "$", "map<string,variant>")
     return F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")), F.when(fields.isNotNull(), F.size(F.map_keys(fields))))
 

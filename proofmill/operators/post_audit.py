@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmill.functions import values as V
+from proofmill.functions.text import whole_json
 from proofmill.operators.rules import Rule, judged
 
 BUCKETS = {"posts": "in_range_count", "outside_range_posts": "outside_range_count", "undated_posts": "unknown_date_count"}
@@ -102,7 +103,7 @@ def post_frames(df: DataFrame, run: str, document: str) -> tuple[DataFrame, Data
     group = F.regexp_extract(F.coalesce(_text(v, "$.metadata.group_url"), F.lit("")), r"^https://(?:[A-Za-z0-9-]+\.)*facebook\.com(?::\d+)?/groups/([^/?#]+)", 1)
     aliases = F.array_compact(F.array(F.try_variant_get(v, "$.metadata.group_id", "string"), F.nullif(F.try_url_decode(group), F.lit(""))))
     time = lambda path: V.zoned_time(_text(v, path))
-    parsed = df.select(F.col(run).alias("run"), F.try_parse_json(document).alias("v")).filter(_kind(v) == "OBJECT")
+    parsed = df.select(F.col(run).alias("run"), whole_json(F.col(document)).alias("v")).filter(_kind(v) == "OBJECT")
     runs = parsed.select("run", "v", time("$.metadata.start").alias("starts"), time("$.metadata.end").alias("ends"), aliases.alias("aliases"), *[F.try_variant_get(v, f"$.metadata.{m}", "bigint").alias(f"said_{b}") for b, m in BUCKETS.items()])
     lists = runs.select("run", "starts", "ends", "aliases", F.explode(F.array(*[F.struct(F.lit(i).alias("bucket_no"), F.lit(b).alias("bucket"), _at(v, f"$.{b}").alias("list")) for i, b in enumerate(BUCKETS)])).alias("_b")).select("run", "starts", "ends", "aliases", "_b.*")
     lists = lists.filter("list is not null").withColumn("kind", _kind(F.col("list")))

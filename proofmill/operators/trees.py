@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.folders import written
+from proofmill.functions.text import whole_json
 
 #: Fixed value: what a made-up entry of a shared file looks like.
 PLACEHOLDER = r"^(?:REPLACE_WITH|PLACEHOLDER)(?:_[A-Z0-9]+)+$"
@@ -44,7 +45,7 @@ def variant_levels(df: DataFrame, key: str, column: str, stop: Callable[[Column]
     level that is.
     """
     session = df.sparkSession
-    parsed = df.select(F.col(key).alias("_k"), F.try_parse_json(column).alias("v")).filter("v is not null")
+    parsed = df.select(F.col(key).alias("_k"), whole_json(F.col(column)).alias("v")).filter("v is not null")
     level = parsed.select("_k", F.lit("").alias("pointer"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), "v")
     levels: list[DataFrame] = []
     while deepest is None or len(levels) <= deepest:
@@ -76,7 +77,7 @@ def json_tree(df: DataFrame, key: str, column: str) -> DataFrame:
 
 def unread(df: DataFrame, key: str, column: str) -> DataFrame:
     """Keys of texts that can't be taken apart though they are there."""
-    return df.filter(F.col(column).isNotNull() & F.try_parse_json(column).isNull()).select(key)
+    return df.filter(F.col(column).isNotNull() & whole_json(F.col(column)).isNull()).select(key)
 
 
 def marked_objects(df: DataFrame, key: str, column: str, marks: Sequence[str], deepest: int | None = None) -> DataFrame:

@@ -32,13 +32,13 @@ def conflict(a: Column, b: Column) -> Column:
 def typed_text(value: Column, path: str) -> tuple[Column, Column]:
     """The text at a path of a JSON value, and an issue where there is something that is no text."""
     kind = json_kind(value, path)
-    text = F.try_variant_get(F.try_parse_json(value), path, "string")
+    text = F.try_variant_get(T.whole_json(value), path, "string")
     return F.when(kind == "text", text), F.when(~kind.isin("text", "null"), F.concat(F.lit("not_text:"), kind))
 
 
 def json_kind(value: Column, path: str) -> Column:
     """Text, integer, number, boolean, array, object or null of what lies at a path; a truth value is no integer."""
-    found = F.try_variant_get(F.try_parse_json(value), path, "variant")
+    found = F.try_variant_get(T.whole_json(value), path, "variant")
     kind = F.schema_of_variant(found)
     return (
         F.when(found.isNull() | F.is_variant_null(found), "null").when(kind == "STRING", "text").when(kind == "BIGINT", "integer").when(kind == "BOOLEAN", "boolean")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofmill.functions.text import portable_name
+from proofmill.functions.text import portable_name, whole_json
 
 
 def json_documents(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -48,7 +48,7 @@ def journal_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def committed_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
     """File, line and fields of the committed records; a bad committed line is an error that names its line."""
     lines = journal_lines(spark, path).filter("committed")
-    object_ = F.col("valid_utf8") & F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(False))
+    object_ = F.col("valid_utf8") & F.coalesce(F.schema_of_variant(whole_json(F.col("text"))).startswith("OBJECT"), F.lit(False))
     bad = F.concat(F.lit("bad committed line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"))
     checked = F.when(object_, F.col("text")).otherwise(F.raise_error(bad).cast("string"))
     return lines.select("file", "line", F.from_json(checked, schema).alias("d")).select("file", "line", "d.*")
@@ -57,7 +57,7 @@ def committed_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.
 def tolerant_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """Records, and a gap (file, line) for each line that isn't a JSON object; empty lines are neither."""
     lines = journal_lines(spark, path).filter(F.trim("text") != "")
-    object_ = F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(False))
+    object_ = F.coalesce(F.schema_of_variant(whole_json(F.col("text"))).startswith("OBJECT"), F.lit(False))
     good = lines.filter(object_).select("file", "line", F.from_json("text", schema).alias("d")).select("file", "line", "d.*")
     return good, lines.filter(~object_).select("file", "line")
 
@@ -84,8 +84,8 @@ def ordered_journals(spark: SparkSession, history: DataFrame, schema: str | T.St
     placed = lines.join(at, plain(F.col("file")) == plain(F.col("_k")))
     torn = placed.filter("not committed").select(F.col("file").alias("path"), F.lit("NO_FINAL_LINE_FEED").alias("code"))
     parsed = placed.filter("committed").withColumn("d", F.from_json("text", schema))
-    broken = placed.filter(F.col("committed") & F.try_parse_json("text").isNull()).select(F.col("file").alias("path"), F.lit("BAD_LINE").alias("code"))
-    good = parsed.filter(F.try_parse_json("text").isNotNull()).select("pos", "line", "d.*")
+    broken = placed.filter(F.col("committed") & whole_json(F.col("text")).isNull()).select(F.col("file").alias("path"), F.lit("BAD_LINE").alias("code"))
+    good = parsed.filter(whole_json(F.col("text")).isNotNull()).select("pos", "line", "d.*")
     return good, issues.unionByName(torn).unionByName(broken)
 
 
@@ -131,8 +131,12 @@ def _empty_files(spark: SparkSession, path: str) -> list[str]:
 
 def checked_batches(spark: SparkSession, path: str) -> DataFrame:
     """Numbered batch files and why one is refused: name, envelope, sequence or hash."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.col("value"))
-    v = F.try_parse_json("value")
+    return batch_faults(spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), F.col("value")))
+
+
+def batch_faults(raw: DataFrame) -> DataFrame:
+    """The same for batches held as rows (file, value)."""
+    v = whole_json(F.col("value"))
     number = F.regexp_extract("file", r"^(\d{8})\.json$", 1)
     record = F.regexp_extract("value", r'(?s)"record"\s*:\s*(\{.*\})\s*,\s*"sha256"', 1)
     why = (
@@ -180,7 +184,7 @@ def framed_responses(responses: DataFrame, key: str, body: str, items: str, curs
     """
     line = F.trim(F.regexp_replace("_line", r"^for\s*\(;;\);", ""))
     frames = responses.select(key, F.posexplode(F.split(body, r"\r?\n")).alias("_n", "_line")).select(key, "_n", line.alias("_line")).filter("_line <> ''")
-    v = frames.withColumn("_v", F.try_parse_json("_line"))
+    v = frames.withColumn("_v", whole_json(F.col("_line")))
     got = F.try_variant_get("_v", cursor, "string")
     return v.groupBy(key).agg(
         F.count_if(F.col("_v").isNotNull()).alias("frames"),

@@ -4,7 +4,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from proofmill.functions.text import whole_json
 from proofmill.operators import trees as T
 
 
@@ -49,6 +51,13 @@ def test_every_value_by_its_pointer(spark, values):
     assert got == {(k, p): (t, x) for k, v in enumerate(values) for p, t, x in walk(v)}
 
 
+def test_all_of_a_text_is_json_or_none_of_it(spark):
+    good = ["1", ' {"a": [1, {"b": "]}"}]} ', '"x"', "null", "[]"]
+    bad = ['{"a":1} x', "1 2", "1,2", "1] [2", "1} {", '1,"w":2', "", " ", "]", "}", '{"a":1}]', "[1", "nope", None]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    assert [r.v is not None for r in df.select(F.to_json(whole_json(F.col("t"))).alias("v")).collect()] == [True] * len(good) + [False] * len(bad)
+
+
 def test_texts_that_are_no_trees(spark):
     df = spark.createDataFrame([(1, None), (2, "{"), (None, '{"a":1'), (None, "[]"), (None, "[]"), (3, '{"a":1,"a":2}'), (4, "null")], "k int, j string")
     got = sorted((str(r.k), r.pointer, r.type) for r in T.json_tree(df, "k", "j").collect())
