@@ -2,10 +2,12 @@
 
 Documents are counted once into cells (source, language, topic) with their
 tokens.  Raking multiplies the cells' weights by target / actual share of each
-margin in turn until all margins agree within TOLERANCE; sums are partial before
-they are shuffled, and cells are few against documents.  Where SWEEPS sweeps do
-not suffice (targets that no weights meet), a warning says so and the column
-`residual` holds the largest relative distance of a factor from one.
+margin in turn until all margins agree within TOLERANCE, however many sweeps
+that takes; sums are partial before they are shuffled, and cells are few against
+documents.  Targets that no weights meet (margins that contradict each other
+where cells are empty) end when a sweep moves at most STILL of all tokens: a
+warning says so, and the column `residual` holds the largest relative distance
+of a factor from one.
 
 Probabilities are calibrated to a budget: a document is sampled with
 min(1, scale x weight of its cell), and the scale is the one at which the
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 
 from proofmill.llm.common import whole_row, written
 
-SWEEPS = 40
 TOLERANCE = 1e-4
+#: Part of all tokens that a sweep moves at most once the weights have come to rest.
+STILL = 1e-6
+SWEEPS_A_WRITE = 4
 #: Part of all tokens that the sample is expected to hold.
 SHARE = 0.75
 #: Target shares are the token shares to this power, made to add up to one.
@@ -74,23 +78,52 @@ def tempered_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return margin.select(f"_{dim}", (powered * (sums["all"] / (sums["powers"] or 1.0))).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
-    """Cells with the weights that bring every margin to its target (a table of value and target tokens), and what is left."""
+def _swept(cells: DataFrame, dims: list[str], n: int, small: bool) -> DataFrame:
+    """cells after n sweeps; of each sweep i its weights w<i>, largest distance of a factor from one off<i>, and the mass moved<i>."""
+    for i in range(1, n + 1):
+        cells = cells.withColumn("before", F.col("weight"))
+        for dim in dims:
+            moved = F.sum(F.col("mass") * F.col("weight"))
+            if small:
+                cells = cells.withColumn("actual", moved.over(Window.partitionBy(f"_{dim}")))
+            else:
+                cells = cells.drop("actual").join(cells.groupBy(f"_{dim}").agg(moved.alias("actual")), f"_{dim}")
+            cells = cells.withColumn(f"f_{dim}", F.when(F.col("actual") > 0, F.col(f"goal_{dim}") / F.col("actual")).otherwise(1.0)).withColumn("weight", F.col("weight") * F.col(f"f_{dim}"))
+        off = [F.abs(F.col(f"f_{d}") - 1) * (F.col("weight") > 0).cast("int") for d in dims]
+        cells = cells.withColumns({f"w{i}": F.col("weight"), f"off{i}": F.greatest(*off) if len(off) > 1 else off[0], f"moved{i}": F.col("mass") * F.abs(F.col("weight") - F.col("before"))})
+    return cells.drop("before", "actual", *[f"f_{d}" for d in dims])
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int | None = None, tolerance: float = TOLERANCE, still: float = STILL) -> tuple[DataFrame, float]:
+    """Cells with the weights that bring every margin to its target (a table of value and target tokens), and what is left.
+
+    Sweeps go on until every factor is within tolerance of one, or until a sweep
+    moves no more than `still` of all tokens: then no weights meet the targets,
+    and a warning says how far off they stay.
+    """
+    dims, columns = list(targets), cells.columns
+    small = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    for dim, target in targets.items():
+        cells = cells.join(target.select(f"_{dim}", F.col("target").alias(f"goal_{dim}")), f"_{dim}", "left").fillna(0.0, [f"goal_{dim}"])
+    # A small table is one partition: its sweeps are windows without a shuffle.  A large one sums its margins before it shuffles them.
+    placed = lambda df: df.coalesce(1) if small else df
+    cells = written(placed(cells))
+    mass, done = cells.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0], 0
     worst = 0.0
-    for _ in range(sweeps):
-        off = []
-        for dim, target in targets.items():
-            actual = cells.groupBy(f"_{dim}").agg(F.sum(F.col("mass") * F.col("weight")).alias("actual"))
-            factor = actual.join(target, f"_{dim}", "left").select(f"_{dim}", F.when(F.col("actual") > 0, F.coalesce("target", F.lit(0.0)) / F.col("actual")).otherwise(1.0).alias("factor"))
-            cells = cells.join(factor, f"_{dim}").withColumn("weight", F.col("weight") * F.col("factor")).withColumnRenamed("factor", f"off_{dim}")
-            off.append(F.abs(F.col(f"off_{dim}") - 1) * (F.col("weight") > 0).cast("int"))
-        done = written(cells.withColumn("off", F.greatest(*off) if len(off) > 1 else off[0]).drop(*[f"off_{d}" for d in targets]))
-        worst = done.agg(F.max("off")).first()[0] or 0.0
-        cells = done.drop("off")
-        if worst <= tolerance:
-            return cells, worst
-    warnings.warn(f"raking has not met its targets after {sweeps} sweeps: a factor is still {worst:.3g} from one", stacklevel=2)
-    return cells, worst
+    while sweeps is None or done < sweeps:
+        n = SWEEPS_A_WRITE if sweeps is None else min(SWEEPS_A_WRITE, sweeps - done)
+        after = written(_swept(placed(cells), dims, n, small))
+        seen = after.agg(*[F.coalesce(F.max(f"off{i}"), F.lit(0.0)) for i in range(1, n + 1)], *[F.coalesce(F.sum(f"moved{i}"), F.lit(0.0)) for i in range(1, n + 1)]).first()
+        for i in range(1, n + 1):
+            worst, done, rests = seen[i - 1], done + 1, seen[n + i - 1] <= still * mass
+            if worst <= tolerance or rests:
+                break
+        cells = after.select(*[c for c in cells.columns if c != "weight"], F.col(f"w{i}").alias("weight"))
+        if worst <= tolerance or rests:
+            break
+    if worst > tolerance:
+        warnings.warn(f"raking has not met its targets after {done} sweeps: a factor is still {worst:.3g} from one", stacklevel=2)
+    return cells.select(*columns), worst
 
 
 def sampling_scale(cells: DataFrame, share: float) -> float | None:

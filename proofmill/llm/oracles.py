@@ -6,7 +6,7 @@ from proofmill.llm import centroids as centroids_
 from proofmill.llm import vector_codes as vector_codes_
 from proofmill.llm.decontaminate import LEAST_EQUAL, LEAST_ITEM, WINDOW
 from proofmill.llm.license_scan import LEAST_COVER, NEAR_DIAGONALS, templates
-from proofmill.llm.mixing import SHARE, SWEEPS, TEMPER, TOLERANCE
+from proofmill.llm.mixing import SHARE, STILL, TEMPER, TOLERANCE
 from proofmill.llm.near_duplicates import SHINGLE, THRESHOLD
 from proofmill.llm.repetition import GRAM_LIMITS, LINE_LIMIT
 from proofmill.llm.substring_dedup import WINDOW as REPEAT
@@ -132,17 +132,17 @@ WITH RECURSIVE d AS (
 c0 AS (SELECT {names}, CAST(sum(n_tokens) AS DOUBLE) AS mass FROM d GROUP BY ALL),
 c AS (SELECT *, {goals} FROM c0),
 walk AS (
-  SELECT 0 AS sweep, *, CAST(1.0 AS DOUBLE) AS w, CAST(1.0 AS DOUBLE) AS worst FROM c
+  SELECT 0 AS sweep, *, CAST(1.0 AS DOUBLE) AS w, CAST(1.0 AS DOUBLE) AS worst, CAST(1.0 AS DOUBLE) AS moved FROM c
   UNION ALL
-  (WITH r0 AS (SELECT * FROM walk WHERE sweep < {SWEEPS} AND worst > {TOLERANCE}),
+  (WITH r0 AS (SELECT *, w AS w_before FROM walk WHERE worst > {TOLERANCE} AND moved > {STILL}),
   {', '.join(stages)}
-  SELECT sweep + 1, {names}, mass, {', '.join(f'goal_{x}' for x in dims)}, w * f_{dims[last]}, max(greatest({off})) OVER () FROM s{last})),
-final AS (SELECT {names}, mass, w FROM walk WHERE sweep = (SELECT max(sweep) FROM walk)),
+  SELECT sweep + 1, {names}, mass, {', '.join(f'goal_{x}' for x in dims)}, w * f_{dims[last]}, max(greatest({off})) OVER (), sum(mass * abs(w * f_{dims[last]} - w_before)) OVER () / nullif(sum(mass) OVER (), 0) FROM s{last})),
+final AS (SELECT {names}, mass, w, worst FROM walk WHERE sweep = (SELECT max(sweep) FROM walk)),
 line AS (SELECT sum(mass) OVER heavy AS m, (SELECT sum(mass * w) FROM final) - sum(mass * w) OVER heavy AS rest FROM final WHERE mass * w > 0 WINDOW heavy AS (ORDER BY w DESC ROWS UNBOUNDED PRECEDING)),
 budget AS (SELECT {SHARE} * sum(mass) AS b, sum(mass * w) AS moved, sum(CASE WHEN w > 0 THEN mass ELSE 0 END) AS most FROM final),
 scale AS (SELECT CASE WHEN most <= b THEN NULL ELSE greatest(b / moved, (SELECT max((b - m) / rest) FROM line WHERE rest > 1e-9 * moved)) END AS k FROM budget),
-chance AS (SELECT {names}, w, CASE WHEN k IS NULL THEN CAST(w > 0 AS INT) ELSE least(1.0, w * k) END AS p FROM final, scale)
-SELECT doc_id, {names}, n_tokens, round(w, 6) AS weight, round(p, 6) AS probability, draw < p AS sampled FROM d JOIN chance USING ({names})
+chance AS (SELECT {names}, w, worst, CASE WHEN k IS NULL THEN CAST(w > 0 AS INT) ELSE least(1.0, w * k) END AS p FROM final, scale)
+SELECT doc_id, {names}, n_tokens, round(w, 6) AS weight, round(p, 6) AS probability, round(worst, 6) AS residual, draw < p AS sampled FROM d JOIN chance USING ({names})
 """
 
 

@@ -38,7 +38,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing_weights(_table(spark, sf_dir, "documents"))
-    return found.withColumns({"weight": F.round("weight", 6), "probability": F.round("probability", 6)}).drop("residual")
+    return found.withColumns({c: F.round(c, 6) for c in ("weight", "probability", "residual")})
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,3 +420,15 @@ def test_kept_text_hash(docs, corpus):
     got = remove_repeats(docs, normalize=True).select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("h")).collect()
     expected = brute_repeats(corpus)
     assert all(r.h == hashlib.sha256(expected[r.doc_id][2].encode()).hexdigest() for r in got if expected[r.doc_id][0])
+
+
+def test_raking_goes_on_until_it_meets_the_targets_or_rests(spark):
+    cells = spark.createDataFrame([("a", "x", 100.0, 1.0), ("a", "y", 10.0, 1.0), ("b", "x", 10.0, 1.0), ("b", "y", 100.0, 1.0), ("c", "z", 50.0, 1.0)], "_s string, _l string, mass double, weight double")
+    goal = lambda name, **values: spark.createDataFrame(list(values.items()), f"_{name} string, target double")
+    done, left = rake(cells, {"s": goal("s", a=130.0, b=90.0, c=50.0), "l": goal("l", x=120.0, y=100.0, z=50.0)})
+    have = {r._l: r.m for r in done.groupBy("_l").agg(F.sum(F.col("mass") * F.col("weight")).alias("m")).collect()}
+    assert left <= 1e-4 and have == pytest.approx({"x": 120, "y": 100, "z": 50}, rel=1e-3)
+    with pytest.warns(UserWarning, match="met its targets"):  # c and z are each other's only cell, and their targets differ
+        _, left = rake(cells, {"s": goal("s", a=130.0, b=90.0, c=60.0), "l": goal("l", x=120.0, y=100.0, z=50.0)})
+    assert left == pytest.approx(0.2, abs=0.01)
+    assert rake(cells.limit(0), {"s": goal("s", a=1.0), "l": goal("l", x=1.0)})[1] == 0.0
