@@ -2,13 +2,16 @@
 
 A document and a test item overlap where WINDOW consecutive words of both,
 aligned without gaps, have at least LEAST_EQUAL equal words: two of thirteen may
-be replaced.  An item of fewer words overlaps where a document has all its words
-in a row; items below LEAST_ITEM words say nothing and match nothing.
+be replaced.  An item of fewer words overlaps as a whole, with as many words
+replaced as are two thirteenths of it, rounded down: one of 7 to 12 words, none
+of 6 or less.  Items of any length count; a caller to whom very short ones say
+nothing leaves them out of `items`.
 
 Fixed masks pick the words of a place that are hashed; the others may differ.
 MASKS are complete: wherever two words of a window are replaced, one of the
-masks lies in the window on equal words (a test tries all placements).  So every
-overlap is met by an equal hash, and each hash hit is verified on the words of
+masks lies in the window on equal words (a test tries all placements).  For each
+shorter length there is one mask of all words, or, where one may be replaced, two
+that take turns.  So every overlap is met by an equal hash, and each hash hit is verified on the words of
 the windows around it.
 
 Hashes of all places of the items meet those of all documents in one join.
@@ -34,12 +37,21 @@ from proofmill.llm.common import whole_row, written
 
 WINDOW = 13
 LEAST_EQUAL = 11
-LEAST_ITEM = 5
 #: Fixed masks: 1 hashes the word, 0 ignores it.
 MASKS = ("11101011", "1011000111")
 BROADCAST_SEEDS = 500_000
 
 
+def allowed(words: int) -> int:
+    """How many words of a window, or of a shorter item, may be replaced."""
+    return words * (WINDOW - LEAST_EQUAL) // WINDOW
+
+
+def masks_of(words: int) -> list[str]:
+    """The masks of a whole item that is shorter than a window."""
+    return ["1" * words] if not allowed(words) else [("10" * words)[:words], ("01" * words)[:words]]
+
+
 def word_list(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
@@ -72,13 +84,13 @@ def _around(words: str, at: str) -> Column:
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Verified windows: _id, _key (digest of the text), item, equal words, first and end in the document, lo and hi in the item."""
-    tests = items.select(F.col(item_col).alias("item"), word_list(F.col(item_text_col)).alias("item_words")).filter(F.size("item_words") >= LEAST_ITEM).distinct()
+    tests = items.select(F.col(item_col).alias("item"), word_list(F.col(item_text_col)).alias("item_words")).filter(F.size("item_words") > 0).distinct()
     tests = written(tests.withColumn("no", F.monotonically_increasing_id()))  # once written, a number is fixed
     n_item = F.size("item_words")
-    # An item shorter than a window is hashed whole; there are fewer such lengths than words in a window.
+    # An item shorter than a window has masks of its own length; there are fewer such lengths than words in a window.
     short = sorted(r.n for r in tests.filter(n_item < WINDOW).select(n_item.alias("n")).distinct().collect())
     seeds = [_places(tests.filter(n_item >= WINDOW), "item_words", "j", list(MASKS))]
-    seeds += [_places(tests.filter(n_item == n), "item_words", "j", ["1" * n]) for n in short]
+    seeds += [_places(tests.filter(n_item == n), "item_words", "j", masks_of(n)) for n in short]
     table = seeds[0].select("seed", "no", "j")
     for more in seeds[1:]:
         table = table.union(more.select("seed", "no", "j"))
@@ -86,7 +98,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     # A window starts at most WINDOW - span places before a mask of a long item, and with the hash of a short one.
     back = F.when(F.col("spaced"), F.least(F.lit(WINDOW) - F.col("span"), "i", "j")).otherwise(0)
     texts = docs.select(F.col(id_col).alias("_id"), digest_of(F.col(text_col)).alias("_key"), word_list(F.col(text_col)).alias("words"))
-    own = _places(texts, "words", "i", [*MASKS, *("1" * n for n in short)])
+    own = _places(texts, "words", "i", [*MASKS, *(m for n in short for m in masks_of(n))])
     if table.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         met = own.join(F.broadcast(table), "seed").withColumn("back", back)
     else:
@@ -101,7 +113,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     start = F.sequence(F.lit(0), F.least(F.size("mine"), F.size("theirs")) - F.col("long"))
     judged = both.filter(F.least(F.size("mine"), F.size("theirs")) >= F.col("long")).withColumn("same", equal)
     found = judged.withColumn("at", F.explode(start)).withColumn("equal", F.aggregate(F.slice("same", F.col("at") + 1, F.col("long")), F.lit(0), lambda a, x: a + x))
-    enough = F.when(F.col("spaced"), F.lit(LEAST_EQUAL)).otherwise(F.col("span"))
+    enough = F.when(F.col("spaced"), F.lit(LEAST_EQUAL)).otherwise(F.col("span") - F.floor(F.col("span") * (WINDOW - LEAST_EQUAL) / WINDOW))
     first, lo = F.col("i") - F.col("back") + F.col("at"), F.col("j") - F.col("back") + F.col("at")
     return found.filter(F.col("equal") >= enough).select("_id", "_key", "item", "equal", first.alias("first"), (first + F.col("long")).alias("end"), lo.alias("lo"), (lo + F.col("long")).alias("hi"))
 

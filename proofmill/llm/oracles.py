@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from proofmill.llm import centroids as centroids_
 from proofmill.llm import vector_codes as vector_codes_
-from proofmill.llm.decontaminate import LEAST_EQUAL, LEAST_ITEM, WINDOW
+from proofmill.llm.decontaminate import LEAST_EQUAL, WINDOW
 from proofmill.llm.license_scan import LEAST_COVER, NEAR_DIAGONALS, templates
 from proofmill.llm.mixing import SHARE, STILL, TEMPER, TOLERANCE
 from proofmill.llm.near_duplicates import SHINGLE, THRESHOLD
@@ -55,17 +55,19 @@ FROM t JOIN copy USING (text) JOIN class USING (copy_id) LEFT JOIN links USING (
 """
 
 
-#: Any window with at most two words replaced has four equal words in a row at its start, its fourth or its eighth place.
+#: Any window with at most two words replaced has four equal words in a row at its start, its fourth or its eighth place; a shorter item that overlaps has an equal word.
 DECONTAMINATION = rf"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents),
 b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ts FROM benchmark),
 dg AS (SELECT doc_id, i, array_to_string(list_slice(ws, i + 1, i + 4), ' ') AS g FROM (SELECT *, unnest(range(0, len(ws) - 3)) AS i FROM d)),
 bg AS (SELECT item_id, ts, j, array_to_string(list_slice(ts, j + 1, j + 4), ' ') AS g FROM (SELECT *, unnest(range(0, len(ts) - 3)) AS j FROM b)),
-met AS (SELECT DISTINCT doc_id, item_id, ts, i - j AS shift FROM dg JOIN bg USING (g)),
-part AS (SELECT doc_id, item_id, ws, ts, shift, least({WINDOW}, len(ts)) AS n, unnest(range(greatest(0, -shift), least(len(ts), len(ws) - shift) - least({WINDOW}, len(ts)) + 1)) AS lo FROM met JOIN d USING (doc_id) WHERE len(ts) >= {LEAST_ITEM}),
+dw AS (SELECT doc_id, ws[i + 1] AS g, i FROM (SELECT *, unnest(range(0, len(ws))) AS i FROM d) WHERE EXISTS (SELECT 1 FROM b WHERE len(ts) < {WINDOW})),
+bw AS (SELECT item_id, ts, ts[j + 1] AS g, j FROM (SELECT *, unnest(range(0, len(ts))) AS j FROM b WHERE len(ts) < {WINDOW})),
+met AS (SELECT DISTINCT doc_id, item_id, ts, i - j AS shift FROM dg JOIN bg USING (g) WHERE len(ts) >= {WINDOW} UNION SELECT DISTINCT doc_id, item_id, ts, i - j FROM dw JOIN bw USING (g)),
+part AS (SELECT doc_id, item_id, ws, ts, shift, least({WINDOW}, len(ts)) AS n, unnest(range(greatest(0, -shift), least(len(ts), len(ws) - shift) - least({WINDOW}, len(ts)) + 1)) AS lo FROM met JOIN d USING (doc_id)),
 same AS (SELECT *, len(list_filter(range(lo, lo + n), lambda k: ws[k + shift + 1] = ts[k + 1])) AS equal FROM part)
 SELECT doc_id, item_id, count(DISTINCT (lo, shift)) AS n_places, max(equal) AS most_equal, min(lo + shift) AS first_word, max(lo + shift + n) AS end_word, min(lo) AS item_first, max(lo + n) AS item_end
-FROM same WHERE equal >= CASE WHEN n < {WINDOW} THEN n ELSE {LEAST_EQUAL} END GROUP BY 1, 2
+FROM same WHERE equal >= n - n * {WINDOW - LEAST_EQUAL} // {WINDOW} GROUP BY 1, 2
 """
 
 
