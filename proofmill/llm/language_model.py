@@ -10,9 +10,9 @@ on the unit; the exchange rounds then only read that table:
    bigrams, a matrix of fixed size (`exchange`);
 2. every other unit enters the class where the likelihood rises most;
 3. in ROUNDS rounds half of the units in turn move to their best class by the
-   class bigrams of the round.  A task sees its own moves only, so the
-   likelihood is summed anew after each round, and a round that lowers it is
-   taken back and the next moves fewer units.
+   class bigrams of the round, the same for all, so that the outcome doesn't
+   depend on how units are dealt to tasks.  The likelihood is summed anew after
+   each round; a round that lowers it is taken back and the next moves fewer.
 
 Words beyond the table have contexts of their own in the same pass.  Each that
 was seen FLOOR times or more takes its best class by them, however many there
@@ -192,18 +192,55 @@ def _codes(t: FrequentWords, s: tg.Slice) -> tuple[tg.Words, np.ndarray, np.ndar
     return w, hashes, spelling, units, at, known
 
 
-CONTEXTS = "rare boolean, u bigint, spelling int, ctx array<int>, n array<int>"
+#: What a task sends (its counts end at BUFFER), and the same with the counts of all tasks added up.
+PARTIAL = "rare boolean, u bigint, spelling int, ctx array<int>, n array<int>"
+CONTEXTS = PARTIAL.replace("n array<int>", "n array<bigint>")
 
 
-def _context_rows(rare: bool, u: np.ndarray, spelling: np.ndarray | None, ctx: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of CONTEXTS from entries sorted by u."""
+def _context_rows(rare: bool, u: np.ndarray, spelling: np.ndarray | None, ctx: np.ndarray, n: np.ndarray, kind: type = np.int32) -> Iterator[pa.RecordBatch]:
+    """Rows of PARTIAL, or with 64-bit counts of CONTEXTS, from entries sorted by u."""
     start = _runs(u)
     ends = np.append(start[1:], len(u))
     for lo in range(0, len(start), ROWS):
         a, z = start[lo : lo + ROWS], ends[lo : lo + ROWS]
         part = slice(a[0], z[-1])
         own = np.zeros(len(a), np.int32) if spelling is None else spelling[a].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rare)), longs(u[a]), pa.array(own), _as_lists(ctx[part].astype(np.int32), z - a), _as_lists(n[part].astype(np.int32), z - a)], names=["rare", "u", "spelling", "ctx", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), rare)), longs(u[a]), pa.array(own), _as_lists(ctx[part].astype(np.int32), z - a), _as_lists(n[part].astype(kind), z - a)], names=["rare", "u", "spelling", "ctx", "n"])
+
+
+def merge(batches: Iterator[pa.RecordBatch], units: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by word: entries of one word are added up; the last word waits for the next batch."""
+    waiting: tuple[np.ndarray, ...] | None = None
+
+    def added(rare: np.ndarray, u: np.ndarray, spelling: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        group = np.cumsum(np.concatenate([[0], (u[1:] != u[:-1]) | (rare[1:] != rare[:-1])])[: len(u)])
+        key = group * (2 * units) + ctx
+        order = np.argsort(key, kind="stable")
+        start = _runs(key[order])
+        first = order[start]
+        return rare[first], u[first], spelling[first], ctx[first], np.add.reduceat(n[order], start)
+
+    def out(rare: np.ndarray, u: np.ndarray, spelling: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for kind in (False, True):
+            of = rare == kind
+            if of.any():
+                yield from _context_rows(kind, u[of], spelling[of], ctx[of], n[of], np.int64)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        (ctx, length), (n, _) = _lists(b.column(3)), _lists(b.column(4))
+        row = np.repeat(np.arange(len(length)), length)
+        now = (b.column(0).to_numpy(zero_copy_only=False)[row], b.column(1).to_numpy()[row], b.column(2).to_numpy()[row], ctx.astype(np.int64), n.astype(np.int64))
+        if waiting is not None:
+            now = tuple(np.concatenate([x, y]) for x, y in zip(waiting, now, strict=True))
+        done = added(*now)
+        last = (done[1] == done[1][-1]) & (done[0] == done[0][-1])
+        waiting = tuple(x[last] for x in done)
+        if not last.all():
+            yield from out(*(x[~last] for x in done))
+    if waiting is not None:
+        yield from out(*waiting)
 
 
 def contexts(train: DataFrame, text_col: str, shared, units: int) -> DataFrame:
@@ -238,43 +275,9 @@ def contexts(train: DataFrame, text_col: str, shared, units: int) -> DataFrame:
         if pairs:
             yield from sent()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by word: entries of one word are added up; the last word waits for the next batch."""
-        waiting: tuple[np.ndarray, ...] | None = None
-
-        def added(rare: np.ndarray, u: np.ndarray, spelling: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-            group = np.cumsum(np.concatenate([[0], (u[1:] != u[:-1]) | (rare[1:] != rare[:-1])])[: len(u)])
-            key = group * (2 * units) + ctx
-            order = np.argsort(key, kind="stable")
-            start = _runs(key[order])
-            first = order[start]
-            return rare[first], u[first], spelling[first], ctx[first], np.add.reduceat(n[order], start)
-
-        def out(rare: np.ndarray, u: np.ndarray, spelling: np.ndarray, ctx: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for kind in (False, True):
-                of = rare == kind
-                if of.any():
-                    yield from _context_rows(kind, u[of], spelling[of], ctx[of], n[of])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            (ctx, length), (n, _) = _lists(b.column(3)), _lists(b.column(4))
-            row = np.repeat(np.arange(len(length)), length)
-            now = (b.column(0).to_numpy(zero_copy_only=False)[row], b.column(1).to_numpy()[row], b.column(2).to_numpy()[row], ctx.astype(np.int64), n.astype(np.int64))
-            if waiting is not None:
-                now = tuple(np.concatenate([x, y]) for x, y in zip(waiting, now, strict=True))
-            done = added(*now)
-            last = (done[1] == done[1][-1]) & (done[0] == done[0][-1])
-            waiting = tuple(x[last] for x in done)
-            if not last.all():
-                yield from out(*(x[~last] for x in done))
-        if waiting is not None:
-            yield from out(*waiting)
-
     spark = train.sparkSession
     bounded_batches(spark)
-    met = train.select(text_col).mapInArrow(gather, CONTEXTS).repartition("rare", "u").sortWithinPartitions("rare", "u").mapInArrow(merge, CONTEXTS)
+    met = train.select(text_col).mapInArrow(gather, PARTIAL).repartition("rare", "u").sortWithinPartitions("rare", "u").mapInArrow(lambda batches: merge(batches, units), CONTEXTS)
     at = shared_folder(spark)
     met.write.partitionBy("rare").parquet(at)
     return spark.read.schema(CONTEXTS).parquet(at)
@@ -297,7 +300,8 @@ def best_classes(cls: np.ndarray, row: np.ndarray, ctx: np.ndarray, c: np.ndarra
     `sides` holds, for each class before and then each class after, its counts
     with every class.  Best is the highest rise of the likelihood when the word
     is taken from its old class (-1: it has none) and put there, all others
-    held; where no class is better, the old one stays.  `sides` follows the moves.
+    held; where no class is better, the old one stays.  `sides` is the round's and
+    isn't changed, so a word's move doesn't depend on which others its task holds.
     """
     k, old = sides.shape[1], cls[row]
     now = sides[ctx]
@@ -320,10 +324,6 @@ def best_classes(cls: np.ndarray, row: np.ndarray, ctx: np.ndarray, c: np.ndarra
     new = score.argmax(1)
     stay = unit[score[unit, new[unit]] <= score[unit, cls[unit]] + 1e-9]
     new[stay] = cls[stay]
-    went = (new != cls)[row]
-    left = went & (old >= 0)
-    np.subtract.at(sides, (ctx[left], old[left]), c[left])
-    np.add.at(sides, (ctx[went], new[row[went]]), c[went])
     return new
 
 
@@ -381,7 +381,7 @@ def exchange_rounds(near: DataFrame, units: int, classes: int) -> tuple[np.ndarr
             of, table = shared.value
             sides = _sides(table)
             for whole in batches:
-                # Few units at a time: each move in a task sees those before it.
+                # Few units at a time: a unit of every context would else fill the memory with others like it.
                 for lo in range(0, len(whole), 64):
                     b = whole.slice(lo, 64)
                     u = b.column(0).to_numpy()

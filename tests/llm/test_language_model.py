@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,25 @@ def test_rounds_class_words_beyond_the_head(spark, monkeypatch):
 
 def test_class_count_rises_with_the_vocabulary():
     assert class_count(0) == CLASSES and CLASSES < class_count(10**6) < class_count(10**7)
+
+
+def test_counts_beyond_32_bits_add_up():
+    units, half = 4, 2**31 - 1
+    rows = lambda u, ctx, n: list(lm._context_rows(False, np.array(u), None, np.array(ctx), np.array(n)))
+    got = pa.Table.from_batches(lm.merge(iter([*rows([1, 1], [2, 5], [half, 3]), *rows([1], [2], [half]), *rows([1, 2], [2, 0], [half, 1])]), units)).to_pylist()
+    assert [(r["u"], r["ctx"], r["n"]) for r in got] == [(1, [2, 5], [3 * half, 3]), (2, [0], [1])]
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    found = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in ("1", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = lm.score_texts(docs.repartition(int(parts)), fold_of("doc_id", 7) != 2).collect()
+            found.append(sorted((r.doc_id, r.score) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert [i for i, _ in found[0]] == [i for i, _ in found[1]] and [s for _, s in found[0]] == pytest.approx([s for _, s in found[1]], rel=1e-9)
