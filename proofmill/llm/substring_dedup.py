@@ -12,7 +12,8 @@ distributed steps.
    range partitions; prefixes whose run is in one document only are dropped, for
    no branch can be below them.
 2. Subtrees.  The suffixes left go with their words to groups by prefix.  A
-   group that does not fit a batch of the census is split further, over salts.
+   group that does not fit a batch of the census, or of which one shows
+   HEAVY_PLACES places, is split further, over salts of document and place.
    A task lengthens the prefixes of its suffixes word by word: each level splits
    the groups by the next word, and a group with one suffix is a leaf and ends.
    The groups left at depth WINDOW are the deep internal nodes; each knows its
@@ -50,6 +51,8 @@ WINDOW = 13
 ANCHOR = 5
 #: Documents that a batch of the census shows of a group that may go on elsewhere, from which on it goes over so many salts.
 HEAVY = 64
+#: Places that a batch shows of any group, from which on it goes over as many salts: a few documents can repeat one prefix very often.
+HEAVY_PLACES = 4096
 SALTS = 256
 _LAST = (1 << 63) - 1
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -175,12 +178,12 @@ def _shared_prefixes(packed: DataFrame, window: int, anchor: int) -> DataFrame:
                 w, _, place, grams = _anchors(s, window, anchor)
                 spot = np.unique(place)
                 row = w.row[spot]
-                _, first = np.unique(grams[spot] ^ _row_code(s.rows)[row], return_index=True)
-                yield pa.RecordBatch.from_arrays([signed(grams[spot[first]]), longs(keys[s.lo : s.hi][row[first]])], names=["h", "_k"])
+                _, first, n = np.unique(grams[spot] ^ _row_code(s.rows)[row], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([signed(grams[spot[first]]), longs(keys[s.lo : s.hi][row[first]]), pa.array(n.astype(np.int32))], names=["h", "_k", "n"])
 
     def census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+            h, k, n = (b.column(i).to_numpy() for i in range(3))
             if not len(h):
                 continue
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -190,10 +193,11 @@ def _shared_prefixes(packed: DataFrame, window: int, anchor: int) -> DataFrame:
             # of the documents of a heavy one each batch shows some.
             shared[[0, -1]] = True
             parts[[0, -1]] = np.where((end - start)[[0, -1]] < HEAVY, 1, SALTS)
+            parts[np.add.reduceat(n.astype(np.int64), start) >= HEAVY_PLACES] = SALTS
             keep = np.repeat(shared, end - start)
             yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(h[keep]), longs(np.repeat(parts, end - start)[keep])], names=["_k", "h", "parts"])
 
-    rows = packed.select("_k", "_blob").mapInArrow(emit, "h bigint, _k bigint")
+    rows = packed.select("_k", "_blob").mapInArrow(emit, "h bigint, _k bigint, n int")
     # The range of a hot anchor is cut by document, which a partitioning by the anchor could not do.
     return rows.repartitionByRange("h", "_k").sortWithinPartitions("h", "_k").mapInArrow(census, "_k bigint, h bigint, parts bigint")
 
@@ -246,7 +250,9 @@ def _suffixes(packed: DataFrame, shared: DataFrame, window: int, anchor: int) ->
                 bytes_ = s.data[np.arange(bounds[-1]) + np.repeat(a - bounds[:-1], size)]
                 runs = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(bytes_.tobytes())])
                 key = keys[s.lo : s.hi][row]
-                salt = np.where(parts > 0, key % np.maximum(parts, 1), -1)
+                # By place too: one document's own repeats are dealt out as well.
+                spread = (key + (first - w.bounds[row]) * 40_503) % np.maximum(parts, 1)
+                salt = np.where(parts > 0, spread, -1)
                 yield pa.RecordBatch.from_arrays([signed(grams[place[start]]), longs(salt), longs(ranks[s.lo : s.hi][row]), longs(key), longs(_print(s)[row]), longs(first - w.bounds[row]), longs(n), runs], names=names)
 
     return _with_facts(packed.select("_k", "_o", "_blob"), shared, ["h", "parts"]).mapInArrow(emit, "h bigint, salt bigint, _o bigint, _k bigint, print bigint, place bigint, n bigint, words binary")

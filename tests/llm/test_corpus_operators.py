@@ -457,3 +457,22 @@ def test_raking_goes_on_until_it_meets_the_targets_or_rests(spark):
         _, left = rake(cells, {"s": goal("s", a=130.0, b=90.0, c=60.0), "l": goal("l", x=120.0, y=100.0, z=50.0)})
     assert left == pytest.approx(0.2, abs=0.01)
     assert rake(cells.limit(0), {"s": goal("s", a=1.0), "l": goal("l", x=1.0)})[1] == 0.0
+
+
+def test_few_documents_that_repeat_one_prefix_are_dealt_out(spark):
+    """Twelve documents say six words thousands of times: no task gets more than twice the mean of their suffixes, and the result is whole."""
+    rows = [(i, f"start{i} " + "one two three four five six " * 4000 + f"end{i}") for i in range(12)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("8", "false")):
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        packed = sd._packed(docs, "doc_id", "text").select("_k", "_o", "_blob")
+        dealt = sd._suffixes(packed, sd._shared_prefixes(packed, sd.WINDOW, sd.ANCHOR), sd.WINDOW, sd.ANCHOR).repartition("h", "salt")
+        sizes = [r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()]
+        got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeats(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / 8
+    assert got == {i: (24_002, 24_000 if i else 0) for i in range(12)}
