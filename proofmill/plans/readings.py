@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.catalog import query, table
@@ -14,19 +14,22 @@ from proofmill.sources import readers as R
 from proofmill.sources import sinks as S
 from proofmill.streaming import state as ST
 
-_KEY = F.col("o_orderkey")
 #: How each order's batch differs from what its journal should hold, by key modulo 7.
 _BATCH_FAULTS = {1: "NAME", 2: "ENVELOPE", 3: "SEQUENCE", 4: "HASH"}
 
 
+def _key() -> Column:
+    return F.col("o_orderkey")
+
+
 def _batches(orders: DataFrame) -> DataFrame:
-    way, text = _KEY % 7, _KEY.cast("string")
+    way, text = _key() % 7, _key().cast("string")
     sequence = F.when(way == 3, F.concat(text, F.lit("9"))).otherwise(text)
     record = F.concat(F.lit('{"sequence":'), sequence, F.lit(',"status":"'), "o_orderstatus", F.lit('"}'))
     hashed = F.sha2(F.when(way == 4, F.concat(record, F.lit(" "))).otherwise(record), 256)
     value = F.when(way == 2, record.substr(2, 9999)).otherwise(F.concat(F.lit('{"record":'), record, F.lit(',"sha256":"'), hashed, F.lit('"}')))
     file = F.concat(F.when(way == 1, text).otherwise(F.lpad(text, 8, "0")), F.lit(".json"))
-    return orders.select(file.alias("file"), value.alias("value"), _KEY.alias("sequence"), record.alias("record"), way.alias("way"))
+    return orders.select(file.alias("file"), value.alias("value"), _key().alias("sequence"), record.alias("record"), way.alias("way"))
 
 
 @query("SELECT CASE WHEN o_orderkey % 7 = 1 THEN CAST(o_orderkey AS VARCHAR) ELSE lpad(CAST(o_orderkey AS VARCHAR), 8, '0') END || '.json' AS file, CASE o_orderkey % 7 WHEN 1 THEN 'NAME' WHEN 2 THEN 'ENVELOPE' WHEN 3 THEN 'SEQUENCE' WHEN 4 THEN 'HASH' END AS refused FROM orders")
@@ -66,10 +69,10 @@ SELECT o_custkey, count(*) FILTER (way < 3) AS items, CAST(sum(CASE WHEN way < 3
 """)
 def item_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing for each customer: items of the owner with captions, how many others were rejected, and whether more follow."""
-    way = _KEY % 5
+    way = _key() % 5
     author = F.when(way == 3, "someone").otherwise(F.concat(F.lit("Owner"), F.col("o_custkey").cast("string")))
     caption = F.when(way != 4, F.concat(F.lit("caption "), "o_orderstatus"))
-    item = F.struct(_KEY.cast("string").alias("id"), caption.alias("desc"), F.lit(1.5e9).alias("createTime"), F.struct(author.alias("uniqueId")).alias("author"), F.create_map(F.lit("plays"), F.round("o_totalprice").cast("bigint")).alias("stats"))
+    item = F.struct(_key().cast("string").alias("id"), caption.alias("desc"), F.lit(1.5e9).alias("createTime"), F.struct(author.alias("uniqueId")).alias("author"), F.create_map(F.lit("plays"), F.round("o_totalprice").cast("bigint")).alias("stats"))
     c = F.col("o_custkey")
     rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(item).alias("itemList"))
     more = F.when(c % 3 == 0, "true").when(c % 3 == 1, "0").otherwise("later")
@@ -127,7 +130,7 @@ def escaped_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, 'https://site.test/search?q=' || replace(o_orderpriority, ' ', '%20') || '%26' AS url, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS id FROM orders")
 def request_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """search addresses of requests; ids that are no whole numbers are unknown."""
-    number = _KEY.cast("double") + F.when(_KEY % 3 == 1, 0.5).when(_KEY % 3 == 2, 2.0**53).otherwise(0.0)
+    number = _key().cast("double") + F.when(_key() % 3 == 1, 0.5).when(_key() % 3 == 2, 2.0**53).otherwise(0.0)
     return table(spark, sf_dir, "orders").select("o_orderkey", T.search_url("https://site.test/search", F.concat("o_orderpriority", F.lit("&"))).alias("url"), T.id_text(number, "double").alias("id"))
 
 
@@ -154,7 +157,7 @@ def pending_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_orderkey % 4 = 0 AS incomplete, o_orderkey % 4 = 1 AS terminal, o_orderkey % 4 = 2 AS advancing FROM orders")
 def clean_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which journal rows are bounded retry evidence, and of which kind."""
-    way, id_ = _KEY % 4, _KEY.cast("string")
+    way, id_ = _key() % 4, _key().cast("string")
     posts = lambda n: F.array(*[F.struct(F.concat(id_, F.lit(str(i))).alias("post_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at")) for i in range(n)])
     held = F.when(way == 0, posts(1)).when(way == 2, posts(3)).otherwise(F.slice(posts(1), 1, 0))
     rows = table(spark, sf_dir, "orders").select(
@@ -183,8 +186,8 @@ def route_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'orders/' || o_orderkey || '.json' AS path, CASE o_orderkey % 5 WHEN 1 THEN 'changed' WHEN 2 THEN 'absent' WHEN 3 THEN 'not_indexed' END AS fault FROM orders WHERE o_orderkey % 5 BETWEEN 1 AND 3")
 def index_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index rows whose file is gone or changed, and facts without an index row."""
-    way = _KEY % 5
-    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders/"), _KEY.cast("string"), F.lit(".json")).alias("path"), F.sha2("o_orderstatus", 256).alias("sha256"), way.alias("way"))
+    way = _key() % 5
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders/"), _key().cast("string"), F.lit(".json")).alias("path"), F.sha2("o_orderstatus", 256).alias("sha256"), way.alias("way"))
     files = rows.filter("way <> 2").select("path", F.when(F.col("way") == 1, "0").otherwise(F.col("sha256")).alias("sha256"))
     return E.index_faults(rows.filter("way <> 3"), files, rows.select("path"))
 
