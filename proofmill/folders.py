@@ -26,9 +26,3 @@ def written(df: DataFrame) -> DataFrame:
     at = shared_folder(spark)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Delete what `written` has left below the shared folder: for the end of a run, when its results are stored elsewhere."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).getParent()
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

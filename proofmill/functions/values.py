@@ -20,7 +20,7 @@ def compact_metric(raw: Column) -> Column:
     pattern = r"(?i)([0-9.]+)\s*(亿|万|[KMB])?"
     text = F.replace(raw, F.lit(","), F.lit(""))
     unit = F.regexp_extract(text, pattern, 2)
-    number = F.expr("try_cast(null as double)") if raw is None else F.regexp_extract(text, pattern, 1).try_cast("double")
+    number = F.regexp_extract(text, pattern, 1).try_cast("double")
     return F.struct(F.round(number * _unit(unit)).cast("bigint").alias("value"), F.when(number.isNotNull(), unit != "").alias("approximate"))
 
 
