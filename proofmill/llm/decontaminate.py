@@ -21,7 +21,8 @@ along; more seeds are joined by a shuffle of hashes, and the words of the texts
 that were hit are fetched by the digest of the text.  Both ways find the same
 hits.  The items' words are joined by number afterwards.
 
-Defined cases: null and empty texts have no words and never match; rows that
+Defined cases: null and empty texts have no words and never match; very long
+texts and items are searched whole; rows that
 repeat an id and a text give one result; items that share an id, with whatever
 texts, are one item in the result, null ids included; columns other than the
 named ones are ignored, and `drop_contaminated` keeps them as they are, whatever

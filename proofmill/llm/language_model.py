@@ -29,7 +29,9 @@ Words beyond the table are joined to their count and class by a shuffle on
 their hash; none of them can be hot.  Words are compared by 64-bit hashes.
 
 Defined cases: null and empty texts hold only the end token; a null id counts
-as the empty text for the fold and stays null; repeated rows are learned from
+as the empty text for the fold and stays null; a very long text is counted and
+scored whole; of equally frequent words all or none are in the table, ranked
+by their hashes; repeated rows are learned from
 and scored each; other columns are ignored; an empty table gives an empty
 result; without training rows every word is unknown.
 """

@@ -8,8 +8,9 @@ merged, and a span is verified when the k-grams found there, compared as text,
 cover enough of the template.  A hash filter made of the template hashes runs
 with the hashing, so that only k-grams that can join leave the workers.
 
-Defined cases: null and empty texts have no words and no labels; a null id is
-kept; repeated rows give repeated results; other columns are ignored; an empty
+Defined cases: null and empty texts have no words and no labels; a very long
+text is scanned whole; a place that fits several phrases or templates counts for
+each, and labels are sorted, so no tie is left; a null id is kept; repeated rows give repeated results; other columns are ignored; an empty
 table gives an empty result.
 """
 

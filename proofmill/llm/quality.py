@@ -11,8 +11,10 @@ the same everywhere), and only the documents of these rows are measured for it;
 scoring covers every row in one narrow map.
 
 Defined cases: null and empty texts have the statistics of no words and get a
-score; null ids and null labels are not learned from; repeated rows are scored
-alike; without labelled rows every score is 0.5; other columns are ignored by
+score; a very long text is measured whole; null ids and null labels are not
+learned from; several labels of one id count as so many rows, also where they
+differ, and repeated rows of documents likewise; repeated rows are scored alike;
+an empty table gives no scores; without labelled rows every score is 0.5; other columns are ignored by
 `score` and passed through by `keep`.
 """
 

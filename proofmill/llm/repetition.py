@@ -7,7 +7,8 @@ narrow map over whole texts: no shuffle, memory bounded by a slice of rows.
 
 Defined cases: a null or empty text, or one of white space, has no words and
 fails the base rule (fewer than min_words); repeated rows are judged alike; a
-null id is returned as null; an empty table gives an empty result; other input
+null id is returned as null; a very long text is measured whole; equal lines and
+windows have their places for an order, so no tie is left; an empty table gives an empty result; other input
 columns are ignored.
 """
 

@@ -25,7 +25,8 @@ Words are compared by 64-bit hashes, all WINDOW words of a suffix one by one;
 nodes that meet in the join by two 64-bit hashes of their words.
 
 Defined cases: null and empty texts have no words; windows never span
-documents; rows that repeat an id are one document to each other (neither
+documents; a very long text is searched whole, and what it repeats often is dealt
+over many tasks; rows that repeat an id are one document to each other (neither
 loses words to the other) and each is returned; null ids count as larger than
 every other id and as equal to each other; ids that are no integers are
 ordered as Spark orders them; other columns are passed through, but for those

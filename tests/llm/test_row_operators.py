@@ -166,3 +166,15 @@ def test_empty_tables(no_docs, spark):
     assert fit_quality(no_docs, labels, F.lit(True)).score(no_docs).count() == 0
     pytest.importorskip("public_tokenizers")
     assert token_counts(no_docs, "word_bpe_49k.json").count() == 0
+
+
+def test_several_labels_of_one_id(spark):
+    """Each label row counts, also where two differ; scores stay one for each row of documents."""
+    docs = spark.createDataFrame([(i, ("clean words that go on and on " * 9) if i % 2 else "$$$ ### junk !!! " * 9) for i in range(40)] + [(1, None)], "doc_id long, text string")
+    rows = [(i, i % 2) for i in range(40)]
+    labels = spark.createDataFrame(rows * 2 + [(3, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    got = fit_quality(docs, labels, F.lit(True)).score(docs).collect()
+    assert len(got) == 41 and all(0 <= r.score <= 1 for r in got)
+    clean, junk = (sum(r.score for r in got if r.doc_id % 2 == k and r.doc_id > 1) for k in (1, 0))
+    assert clean > junk
+    assert fit_quality(docs, labels.limit(0), F.lit(True)).score(docs.limit(0)).count() == 0
