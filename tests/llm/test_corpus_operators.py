@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import proofmill.llm.near_duplicates as nd
 import proofmill.llm.substring_dedup as sd
 from proofmill.llm import textgrid as tg
+from proofmill.llm import url_filter
 from proofmill.llm.components import connected_components
 from proofmill.llm.decontaminate import LEAST_EQUAL, MASKS, WINDOW, allowed, contaminated, drop_contaminated, masks_of
 from proofmill.llm.mixing import mixing_weights, rake, sample_mix, sampling_scale
@@ -259,9 +260,11 @@ def brute_url(url, rules):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_url_filter(spark, seed):
+def test_url_filter(spark, seed, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARE_ROWS", 8)
+    monkeypatch.setattr(url_filter, "SHARE_PER_BOUNDARY", 1)
     rnd = random.Random(seed)
-    hosts, paths = ["a", "b.a", "c.b.a", "x.c.b.a", "b", ".a", "a.", "", "B.A", "bb.a"], ["", "/", "/x", "/x/", "/x/y", "/x/yy", "/xé", "/x/y/z", "/\U0010ffff"]
+    hosts, paths = ["a", "b.a", "c.b.a", "x.c.b.a", "b", ".a", "a.", "", "B.A", "bb.a", "a-b.a", "a.b.a"], ["", "/", "/x", "/x/", "/x/y", "/x/yy", "/xé", "/x/y/z", "/\U0010ffff"]
     rules = list({(h, p): (h, p, v) for h, p, v in ((rnd.choice(hosts).lower(), rnd.choice(paths), rnd.choice(["allow", "block"])) for _ in range(25))}.values())
     urls = [rnd.choice(["http://", "", "://"]) + rnd.choice(hosts) + rnd.choice(paths) + rnd.choice(["", "?q", "#f", "?a://b/c"]) for _ in range(300)] + [None, "http://a/\nx"]
     pages = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls)], "page_id long, url string, rule string")
