@@ -306,10 +306,13 @@ def best_classes(cls: np.ndarray, row: np.ndarray, ctx: np.ndarray, c: np.ndarra
     isn't changed, so a word's move doesn't depend on which others its task holds.
     """
     k, old = sides.shape[1], cls[row]
-    now = sides[ctx]
-    gain = _h(now + c[:, None]) - _h(now)
+    # Counts are positive, so the logarithm needs no guard here; that of `sides` is taken once a batch, not once an entry.
+    more = sides[ctx] + c[:, None]
+    gain = np.log(more)
+    gain *= more
+    gain -= _h(sides)[ctx]
     mine = np.flatnonzero(old >= 0)
-    have = now[mine, old[mine]]
+    have = sides[ctx[mine], old[mine]]
     gain[mine, old[mine]] = _h(have) - _h(have - c[mine])
     score = np.zeros((len(cls), k))
     start = _runs(row)
@@ -487,7 +490,7 @@ def fit_classes(rows: DataFrame, text_col: str = "text", table_words: int = TABL
                 row, cls, c = by_class(ctx.astype(np.int64), length, n, of, units, classes)
                 left = cls < classes
                 times = np.bincount(row[left], c[left], len(b)).astype(np.int64)
-                new = np.where(times >= FLOOR, best_classes(np.full(len(b), -1), row, cls, c, sides.copy()), of[n_top + b.column(1).to_numpy()])
+                new = np.where(times >= FLOOR, best_classes(np.full(len(b), -1), row, cls, c, sides), of[n_top + b.column(1).to_numpy()])
                 yield pa.RecordBatch.from_arrays([b.column(0), longs(times), pa.array(new.astype(np.int32)), _as_lists(cls[left].astype(np.int32), np.bincount(row[left], minlength=len(b))), _as_lists(c[left].astype(np.int64), np.bincount(row[left], minlength=len(b)))], names=["h", "c", "cls", "before", "n"])
 
     rare = written(met.filter("rare").select(F.col("u").alias("h"), "spelling", "ctx", "n").mapInArrow(classed, "h bigint, c bigint, cls int, before array<int>, n array<bigint>"))
