@@ -8,6 +8,8 @@ are parameters, so the functions fit any site.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -174,14 +176,26 @@ LEAK_PATTERNS = {
     "slack_token": r"\bxox[baprs]-[A-Za-z0-9-]{12,}\b",
     "bearer_token": r"(?i)\bAuthorization\s*[:=]\s*Bearer\s+[A-Za-z0-9._~+/=-]{12,}",
     "assigned_secret": r"(?i)\b(?:api[_-]?key|access[_-]?token|client[_-]?secret|password|cookie)\b\s*[:=]\s*['\"]?[A-Za-z0-9._~+/=-]{12,}",
-    "windows_path": r"(?i)(?:^|[^A-Za-z0-9])[A-Z]:[\\/]{1,2}[^\\/\s'\"`<>|]{2,}",
-    "unc_path": r"(?:^|[^\\])(?:\\\\|\\\\\\\\)[A-Za-z0-9][A-Za-z0-9._-]+\\{1,2}[A-Za-z0-9][A-Za-z0-9$._ -]+",
-    "posix_device_path": r"(?:^|[^A-Za-z0-9_.-])/(?:Users|home|root|mnt|Volumes)/[^\s'\"`<>|]+",
+    "windows_path": r"(?i)(?<![A-Za-z0-9])(?:[A-Z]:[\\/]{1,2})(?:[^\\/\s'\"`<>|]{2,})(?:(?:[\\/]{1,2})[^\\/\s'\"`<>|]+)*",
+    "unc_path": r"(?<![\\])\\\\[A-Za-z0-9][A-Za-z0-9._-]{1,}\\[A-Za-z0-9][A-Za-z0-9$._ -]{1,}|(?<![\\])\\\\\\\\[A-Za-z0-9][A-Za-z0-9._-]{1,}\\\\[A-Za-z0-9][A-Za-z0-9$._ -]{1,}",
+    "posix_device_path": r"(?<![A-Za-z0-9_.-])/(?:Users|home|root|mnt|Volumes)/(?:[^\s'\"`<>|]+)",
     "facebook_target": r"(?i)https?://(?:www\.)?facebook\.com/groups/[A-Za-z0-9._-]{4,}",
     "instagram_target": r"(?i)https?://(?:www\.)?instagram\.com/[A-Za-z0-9._]{3,}",
     "tiktok_target": r"(?i)https?://(?:www\.)?tiktok\.com/@[A-Za-z0-9._-]{3,}",
     "reddit_target": r"(?i)https?://(?:www\.)?reddit\.com/r/[^/\s]+/comments/[A-Za-z0-9]{4,}",
 }
+#: The engine that checks the SQL has no look-behind: there the character before is part of the match, or the text starts.
+#: Whether a text matches is the same; what the match covers isn't.
+WITHOUT_LOOKBEHIND = {
+    "windows_path": r"(?i)(?:^|[^A-Za-z0-9])[A-Z]:[\\/]{1,2}[^\\/\s'\"`<>|]{2,}",
+    "unc_path": r"(?:^|[^\\])(?:\\\\[A-Za-z0-9][A-Za-z0-9._-]+\\[A-Za-z0-9][A-Za-z0-9$._ -]+|\\\\\\\\[A-Za-z0-9][A-Za-z0-9._-]+\\\\[A-Za-z0-9][A-Za-z0-9$._ -]+)",
+    "posix_device_path": r"(?:^|[^A-Za-z0-9_.-])/(?:Users|home|root|mnt|Volumes)/[^\s'\"`<>|]+",
+}
+#: Texts of which every match of a pattern holds one, whatever its case: a text without them isn't given to the pattern.
+NEEDLES = {
+    "private_key": ["PRIVATE KEY-----"], "github_token": ["ghp_", "github_pat_"], "aws_access_key": ["AKIA"], "slack_token": ["xox"], "windows_path": [":\\", ":/"], "unc_path": ["\\\\"],
+    "posix_device_path": ["/Users/", "/home/", "/root/", "/mnt/", "/Volumes/"], "facebook_target": ["://"], "instagram_target": ["://"], "tiktok_target": ["://"], "reddit_target": ["://"], "email": ["@"],
+}
 #: Personal data that the tables hold and the rules above leave alone.
 PERSONAL_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -189,9 +203,15 @@ PERSONAL_PATTERNS = {
 }
 
 
+def rule_matches(c: Column, name: str, pattern: str) -> Column:
+    """Whether a text matches a named pattern; of the patterns above, only texts with a needle are searched."""
+    needles = NEEDLES.get(name, []) if (LEAK_PATTERNS | PERSONAL_PATTERNS).get(name) == pattern else []
+    return reduce(or_, [F.contains(c, F.lit(t)) for t in needles]) & c.rlike(pattern) if needles else c.rlike(pattern)
+
+
 def leaks(c: Column, patterns: dict[str, str] | None = None) -> Column:
     """names of the patterns that a text matches, in order."""
-    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in sorted((patterns or LEAK_PATTERNS).items())]))
+    return F.array_compact(F.array(*[F.when(rule_matches(c, n, p), F.lit(n)) for n, p in sorted((patterns or LEAK_PATTERNS).items())]))
 
 
 def unescaped(c: Column) -> Column:

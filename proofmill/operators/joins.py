@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmill.folders import written
+from proofmill.functions import text as T
 
 
 def attach_last(rows: DataFrame, actions: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
@@ -158,7 +159,7 @@ def walk_chain(rows: DataFrame, key: str, cursor: str, following: str, head: str
 
 def rule_matches(lines: DataFrame, text: str, rules: dict[str, str], guard: str | None = None) -> DataFrame:
     """A row for each line and named pattern that it matches; `guard` names text that stops a match."""
-    hit = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(n)) for n, p in rules.items()]))
+    hit = F.array_compact(F.array(*[F.when(T.rule_matches(F.col(text), n, p), F.lit(n)) for n, p in rules.items()]))
     kept = lines if guard is None else lines.filter(~F.col(text).rlike(guard))
     return kept.withColumn("rule", F.explode(hit))
 

@@ -49,7 +49,7 @@ def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEAKS = T.LEAK_PATTERNS | T.PERSONAL_PATTERNS
-_RULES = ", ".join("('{}', '{}')".format(n, p.replace("'", "''")) for n, p in _LEAKS.items())
+_RULES = ", ".join("('{}', '{}')".format(n, p.replace("'", "''")) for n, p in (_LEAKS | T.WITHOUT_LOOKBEHIND).items())
 
 
 @query(f"""WITH p(rule, pat) AS (VALUES {_RULES}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)

@@ -17,6 +17,19 @@ def test_every_rule_finds_its_text(spark):
     assert all(n in got[n] for n in texts) and got["none"] == []
 
 
+def test_device_paths_with_and_without_lookbehind(spark):
+    lines = {
+        "windows_path": ([r"C:\Users", "(d:/data)", r"é:x E:\\tmp"], [r"xC:\Users", r"C:\a", "9c:/data", "C:"]),
+        "unc_path": ([r"\\host\share", r"'\\\\host\\share'"], [r"\\\host\share", r"\\host\\share", r"\\\\host\share", r"\\\\\host\\share", r"\host\share"]),
+        "posix_device_path": (["/home/me", "x:/root/y", "a\n/mnt/z"], ["a/home/me", "-/home/me", "./root/x", "/home/", "/Home/me"]),
+    }
+    for name, (found, clean) in lines.items():
+        rows = spark.createDataFrame([(t, True) for t in found] + [(t, False) for t in clean], "text string, want boolean")
+        text = F.col("text")
+        got = rows.select("text", "want", text.rlike(T.LEAK_PATTERNS[name]).alias("a"), T.rule_matches(text, name, T.LEAK_PATTERNS[name]).alias("b"), text.rlike(T.WITHOUT_LOOKBEHIND[name]).alias("c")).collect()
+        assert [(r.text, r.a, r.b, r.c) for r in got] == [(r.text, r.want, r.want, r.want) for r in got]
+
+
 def test_escaped_texts_and_tokens(spark):
     rows = spark.createDataFrame([(1, r"x \/home\/me\/y"), (2, r"C:\u005cUsers"), (3, "%2Fhome%2Fme"), (4, r"my secre\u0074-name"), (5, 'say "hi" \n 100% sure'), (6, None)], "id int, text string")
     got = {r.id: r.found for r in rows.select("id", T.escaped_leaks(F.col("text"), ["secret-name"]).alias("found")).collect()}
