@@ -216,8 +216,9 @@ def leaks(c: Column, patterns: dict[str, str] | None = None) -> Column:
 
 def unescaped(c: Column) -> Column:
     """A text with JSON escapes decoded, and percent-encoding after them; where that can't be done, the text as it is."""
-    quoted = F.regexp_replace(c, r'(^|[^\\])"', r'$1\\"')
-    decoded = F.from_json(F.concat(F.lit('["'), F.regexp_replace(F.replace(quoted, F.lit("\n"), F.lit("\\n")), r"[\x00-\x1f]", " "), F.lit('"]')), "array<string>")
+    # A quote counts as escaped after an odd number of backslashes; control characters stay as they are.
+    quoted = F.regexp_replace(c, r'(?<!\\)((?:\\\\)*)"', r'$1\\"')
+    decoded = F.from_json(F.concat(F.lit('["'), quoted, F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"})
     plain = F.coalesce(F.get(decoded, F.lit(0)), c)
     return F.coalesce(F.try_url_decode(plain), plain)
 

@@ -1,7 +1,9 @@
 """Leak rules, escapes, tokens of the caller and lines that are made up."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from proofmill.functions import text as T
 
 
@@ -36,6 +38,22 @@ def test_escaped_texts_and_tokens(spark):
     assert got[1] == got[3] == ["posix_device_path"] and got[2] == ["windows_path"] and got[4] == ["token:secret-name"] and got[5] == []
 
 
+def test_decoding_keeps_controls_and_reads_repeated_quotes(spark):
+    texts = {1: "der\tx", 2: r'a "" my secre\u0074-name', 3: r'b \\" my secre\u0074-name', 4: "my secret\x0b-name"}
+    rows = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = {r.id: r.found for r in rows.select("id", T.escaped_leaks(F.col("text"), ["der ", "secret-name"]).alias("found")).collect()}
+    assert got == {1: [], 2: ["token:secret-name"], 3: ["token:secret-name"], 4: []}
+
+
+def test_escaped_scan_equals_sql_on_odd_texts(spark, tmp_path):
+    texts = ["der\tx", "der\n", "der x", 'd"er x', "d%er ", '%@host.org', 'a"@host.org', "a@ho+st.org", 'a@"host.org', r"a\u0040b.org", "a%40b.org", r"der\ ", 'x "" a@b.org', "der+x", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.email, r.token) for r in entry.queries()["escaped_scan"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == {i: (email, token) for i, email, token in con.execute(entry.oracle_sql()["escaped_scan"]).fetchall()}
+
+
 def test_made_up_lines(spark):
     rows = spark.createDataFrame([("tests/a.py", "synthetic key", True), ("src/a.py", "synthetic key", False), ("src/a.py", "REPLACE_WITH_KEY", True), (None, None, False)], "path string, line string, want boolean")
     assert all(r.got == r.want for r in rows.select("want", T.synthetic_line(F.col("path"), F.col("line")).alias("got")).collect())
