@@ -84,8 +84,10 @@ SELECT o_orderkey, CAST(round(TRY_CAST(regexp_extract(replace(raw, ',', ''), '(?
 CASE WHEN regexp_matches(raw, '[0-9]') THEN regexp_extract(replace(raw, ',', ''), '(?i)([0-9.]+)\\s*(亿|万|[KMB])?', 2) <> '' END AS approximate FROM m""".replace("\\\\", "\\"))
 def metric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, m = F.col("o_orderkey"), F.col("o_orderkey") % 6
+    # format_number rounds the double itself, halves to even, as printf of C does; format_string rounds its shortest decimal up.
+    tenths = F.replace(F.format_number(F.col("o_totalprice") / 1000, 1), F.lit(","), F.lit(""))
     raw = (
-        F.when(m == 0, F.format_string("%.1fK", F.col("o_totalprice") / 1000)).when(m == 1, F.concat(k.cast("string"), F.lit(" followers"))).when(m == 2, F.lit(None))
+        F.when(m == 0, F.concat(tenths, F.lit("K"))).when(m == 1, F.concat(k.cast("string"), F.lit(" followers"))).when(m == 2, F.lit(None))
         .when(m == 3, F.concat(F.lit("1,2"), k.cast("string"))).when(m == 4, "none").otherwise(F.concat((k % 9).cast("string"), F.lit(" M")))
     )
     found = table(spark, sf_dir, "orders").select("o_orderkey", V.compact_metric(raw).alias("m"))
