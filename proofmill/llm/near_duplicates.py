@@ -49,11 +49,9 @@ TREES = 40
 DEEPEST = 10
 BITS = 6
 RECALL = 0.9999
-#: One in so many texts tells its links' similarities to the estimate of the recall.
-ASKED = 8
 #: Texts and shingles that one side of a block comparison holds.
 BLOCK_TEXTS = 512
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
 
 
 def chance(similarity: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.ndarray:
@@ -194,11 +192,10 @@ def forest_links(classes: DataFrame, trees: int = TREES, deepest: int = DEEPEST,
 
 
 def matched_depth(links: DataFrame, classes: DataFrame, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> tuple[int, float | None]:
-    """Depth to which prefixes are shortened, and the recall estimated there (None: without links, nothing is known)."""
+    """Depth to which prefixes are shortened, and the recall estimated there from all links (None: without links, nothing is known)."""
     floor = shortest_depth(THRESHOLD, trees, deepest, recall)
-    asked = links.filter(F.pmod(F.xxhash64("a"), F.lit(ASKED)) == 0)
     of = lambda name: classes.select(F.col("rep").alias(f"_{name}"), F.col("paths").alias(f"p_{name}"))
-    pairs = asked.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b")).select("depth", "p_a", "p_b")
+    pairs = links.join(of("a"), F.col("a") == F.col("_a")).join(of("b"), F.col("b") == F.col("_b")).select("depth", "p_a", "p_b")
     values = trees * deepest
 
     def similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +245,7 @@ def _compare(key: tuple, table: pa.Table, threshold: float = THRESHOLD) -> pa.Ta
     place = np.full(len(v), -1)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    step = max(1, (1 << 23) // max(1, len(left) + len(right)))  # 32 MB of a dense strip of columns
+    step = max(1, (1 << 21) // max(1, len(left) + len(right)))  # 8 MB of a dense strip of columns
     for lo in range(0, width, step):
         a, z = np.searchsorted(column, [lo, lo + step])
         own, col = owner[a:z], column[a:z] - lo

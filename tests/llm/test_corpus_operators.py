@@ -239,6 +239,14 @@ def test_prefixes_are_shortened_to_the_recall(spark):
     assert close[0] == nd.DEEPEST and close[1] >= nd.RECALL and shortest_depth() <= far[0] < nd.DEEPEST and far[1] >= 0.999
 
 
+def test_every_link_counts_for_the_matched_depth(spark):
+    path = [[7] * nd.TREES] * 2
+    for first in range(0, 12, 2):
+        classes = spark.createDataFrame([(first, path[0]), (first + 1, path[1])], "rep long, paths array<long>")
+        depth, reached = nd.matched_depth(spark.createDataFrame([(first + 1, first, nd.DEEPEST)], "a long, b long, depth tinyint"), classes)
+        assert depth == nd.DEEPEST and reached >= nd.RECALL
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + rnd.randrange(1, 50)) for _ in range(60)] + [(300, 301), (301, 300), (400, 400)]
