@@ -206,7 +206,8 @@ def nearest(
                     names=["q", "place", "query_id", "_id", "score"],
                 )
 
-    pairs = points.join(asked, ["b", "u"]).select("ids", "known", "x", "value", "order", "q", "query_ids", "queries")
+    # Spark's estimate doesn't know how often the query blocks are repeated: left to it, it may gather them all on the driver.
+    pairs = points.hint("merge").join(asked, ["b", "u"]).select("ids", "known", "x", "value", "order", "q", "query_ids", "queries")
     best = pairs.mapInArrow(search, "q int, place int, query_id long, _id long, score double")
     # The limit by rank is applied in each task before the shuffle too.
     by = Window.partitionBy("q", "place").orderBy(F.col("score").desc(), F.col("_id").asc_nulls_last())

@@ -199,3 +199,11 @@ def test_components_too_large_are_an_error(spark):
     df = frame(spark, [(1, [20_000.0] * DIMS, 0)])
     with pytest.raises(Exception, match="beyond"):
         centroids.cluster(df)
+
+
+def test_neighbours_broadcast_nothing(spark):
+    from proofmill.llm.collision_search import nearest
+
+    rows = spark.createDataFrame([(i, [float(i % 7 + j) for j in range(64)]) for i in range(60)], "vec_id long, embedding array<float>")
+    plan = nearest(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
