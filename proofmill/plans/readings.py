@@ -195,12 +195,17 @@ def index_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.index_faults(rows.filter("way <> 3"), files, rows.select("path"))
 
 
+#: Rows that one file of a frozen sample holds at most.
+FROZEN_FILE_ROWS = 500_000
+
+
 @query("SELECT count(*) AS rows, 0 AS changed_before, 1 AS changed_after, 3 AS refused, true AS report FROM orders")
 def frozen_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A frozen sample is compared with itself and with a changed one; its files are checked against their manifest before and after one more appears."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     at, manifest = shared_folder(spark), shared_folder(spark)
-    orders.coalesce(1).write.json(at)
+    # Files of bounded size, written by all tasks: the check of a manifest reads each file whole.
+    orders.write.option("maxRecordsPerFile", FROZEN_FILE_ROWS).json(at)
     S.write_manifest(spark, at, manifest)
     listed = spark.read.schema("path string, bytes bigint, sha256 string").json(manifest)
     before = S.verify_manifest(spark, at, listed).count()
