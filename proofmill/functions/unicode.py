@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.functions.text import collapse_space
@@ -27,10 +27,18 @@ def _by_value(values: pa.Array, of: Callable[[str], str]) -> pa.Array:
     return pc.take(pa.array([of(v) for v in kinds.dictionary.to_pylist()], pa.string()), kinds.indices)
 
 
+def _small_batches() -> None:
+    """Batches of bounded bytes unless the session says how large they are: 10,000 whole texts are tens of megabytes, several times over."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def normal_form(c: Column, form: str) -> Column:
     """The canonical (NFC, NFD) or compatibility (NFKC, NFKD) form of a text: decomposed, marks in canonical order, and for the C forms composed again."""
     if form not in FORMS:
         raise ValueError(f"{form} is none of {FORMS}")
+    _small_batches()
 
     @F.arrow_udf("string")
     def normalized(values: pa.Array) -> pa.Array:
