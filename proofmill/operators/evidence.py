@@ -89,7 +89,11 @@ def index_faults(index: DataFrame, files: DataFrame, facts: DataFrame) -> DataFr
 def label_tags(entities: DataFrame, key: str, tags: str, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities by the label of their tags (labels: tag, label), and tags in use without a label."""
     used = entities.select(key, F.explode(tags).alias("tag"))
-    named = used.join(labels, "tag").groupBy("label").agg(F.count_distinct(key).alias("entities"), F.array_sort(F.collect_set("tag")).alias("tags"))
+    met = used.join(labels, "tag")
+    # Counts and tags apart: together, each entity's tags would be an object of its own until its label is counted.
+    counts = met.select("label", key).distinct().groupBy("label").agg(F.count(key).alias("entities"))
+    names = met.groupBy(F.col("label").alias("_label")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    named = counts.join(names, F.col("label").eqNullSafe(F.col("_label"))).drop("_label")
     return named, used.join(labels, "tag", "left_anti").groupBy("tag").agg(F.count_distinct(key).alias("entities"))
 
 
