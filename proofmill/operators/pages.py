@@ -59,8 +59,8 @@ def is_ad(name: Column, tag: Column) -> Column:
     return F.coalesce(attribute(tag, "class"), F.lit("")).rlike(AD_CLASSES) | name.rlike(AD_NAMES)
 
 
-def page_tokens(pages: DataFrame, key: str, html: str, keep: list[str] | None = None) -> DataFrame:
-    """_page (a page's own number), the key, kept columns, pos, token, kind (start, end, void, text, other), name."""
+def page_tokens(pages: DataFrame, key: str, html: str, keep: list[str] | None = None, of: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """_page (a page's own number), the key, kept columns, pos, token, kind (start, end, void, text, other), name; `of` reduces them before they are shuffled."""
     # The page's number is given below the explode, once a page.
     numbered = pages.select(F.monotonically_increasing_id().alias("_page"), key, *(keep or []), F.col(html).alias("_html"))
     rows = numbered.select("_page", key, *(keep or []), F.posexplode(html_tokens(F.col("_html"))).alias("pos", "token"))
@@ -71,7 +71,7 @@ def page_tokens(pages: DataFrame, key: str, html: str, keep: list[str] | None =
         .when(name.isin(VOID) | t.endswith("/>"), "void").otherwise("start")
     )
     # One shuffle: every window below is within a page.
-    return rows.select("*", name.alias("name"), kind.alias("kind")).repartition("_page")
+    return of(rows.select("*", name.alias("name"), kind.alias("kind"))).repartition("_page")
 
 
 def paired(tokens: DataFrame) -> DataFrame:
@@ -102,6 +102,18 @@ def elements(pages: DataFrame, key: str, html: str, keep: list[str] | None = Non
     return tree.filter("close is not null").select(key, *(keep or []), "_page", "pos", "close", "name", F.col("token").alias("tag"), "depth")
 
 
+def _card_tags(pages: DataFrame, key: str, html: str, is_card: Rule, is_away: Rule) -> DataFrame:
+    """The tags of pages with what cards need of them: neither tags nor texts themselves are shuffled and sorted."""
+    name, tag, starts = F.col("name"), F.col("token"), F.col("kind") == "start"
+    link = F.col("kind").isin("start", "void") & (name == "a")
+    cards = starts & F.coalesce(is_card(name, tag), F.lit(False))
+    return page_tokens(pages, key, html, of=lambda rows: rows.filter(F.col("kind").isin("start", "end") | link).select(
+        "_page", key, "pos", "name", "kind", (starts & F.coalesce(is_away(name, tag), F.lit(False))).alias("_away"), cards.alias("_card_tag"),
+        F.when(cards, F.coalesce(attribute(tag, "data-id"), attribute(tag, "id"))).alias("_own"), F.when(link, F.trim(attribute(tag, "href"))).alias("link"),
+        (link & F.array_contains(F.split(F.coalesce(F.when(link, attribute(tag, "rel")), F.lit("")), r"\s+"), "author")).alias("_by"),
+    ))
+
+
 def page_cards(
     pages: DataFrame, key: str, html: str, is_card: Rule, kinds: Mapping[str, str],
     is_away: Rule = lambda name, tag: is_hidden(name, tag) | is_ad(name, tag), owner_kind: str = "owner",
@@ -117,16 +129,15 @@ def page_cards(
     with rel=author outside cards, else NULL.
     """
     by_page = Window.partitionBy("_page").orderBy("pos")
-    seen = _depth(paired(page_tokens(pages, key, html)), "away", is_away(F.col("name"), F.col("token"))).drop("_step")
-    seen = _depth(seen, "inside", is_card(F.col("name"), F.col("token")) & (F.col("away") == 0))
-    here = F.when(F.col("_step") == 1, F.struct("pos", "close", F.coalesce(attribute(F.col("token"), "data-id"), attribute(F.col("token"), "id")).alias("id")))
+    seen = _depth(paired(_card_tags(pages, key, html, is_card, is_away)), "away", F.col("_away")).drop("_step", "_away")
+    seen = _depth(seen, "inside", F.col("_card_tag") & (F.col("away") == 0))
+    here = F.when(F.col("_step") == 1, F.struct("pos", "close", F.col("_own").alias("id")))
     stack = Window.partitionBy("_page", "inside").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = seen.withColumn("_card", F.when(F.col("inside") > 0, F.last(here, ignorenulls=True).over(stack)))
     placed = placed.withColumn("_card", F.when(F.col("_card.close") > F.col("pos"), F.col("_card")))
-    href = F.trim(attribute(F.col("token"), "href"))
-    links = placed.filter((F.col("away") == 0) & F.col("kind").isin("start", "void") & (F.col("name") == "a")).withColumn("link", href).filter("link is not null")
+    links = placed.filter((F.col("away") == 0) & F.col("link").isNotNull())
     kind = F.coalesce(*[F.when(F.col("link").rlike(pattern), name) for name, pattern in kinds.items()], F.lit("other"))
-    links = links.select("_page", key, "pos", "link", kind.alias("kind"), F.col("_card.pos").alias("_at"), F.col("_card.id").alias("_id"), (F.array_contains(F.split(F.coalesce(attribute(F.col("token"), "rel"), F.lit("")), r"\s+"), "author") & F.col("_card").isNull()).alias("_author"))
+    links = links.select("_page", key, "pos", "link", kind.alias("kind"), F.col("_card.pos").alias("_at"), F.col("_card.id").alias("_id"), (F.col("_by") & F.col("_card").isNull()).alias("_author"))
     authors = F.collect_set(F.when(F.col("_author"), F.col("link"))).over(by_page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     whole = Window.partitionBy("_page", "_at").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     own = F.first(F.when(F.col("kind") == owner_kind, F.col("link")), ignorenulls=True).over(whole)
