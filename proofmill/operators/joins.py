@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from proofmill.folders import written
 from proofmill.functions import text as T
+from proofmill.operators.pairs import pair_counts
 
 
 def attach_last(rows: DataFrame, actions: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
@@ -59,12 +60,11 @@ ZERO_PAIR_GROUPS = 2_000
 def overlaps(rows: DataFrame, entity: str, group: str, zeros: bool = True) -> DataFrame:
     """For each pair of groups how many entities have both; with `zeros`, pairs without one count zero.
 
-    The distinct rows meet themselves by entity, written, so that Spark can split an entity of many groups.
+    The distinct rows are written; tasks count the pairs of their entities before a shuffle (`pair_counts`).
     Zero pairs are a report on a short domain: more than ZERO_PAIR_GROUPS groups are refused.
     """
     own = written(rows.select(F.col(entity).alias("_e"), F.col(group).alias("a")).filter("a is not null").distinct())
-    other = own.select(F.col("_e").alias("_f"), F.col("a").alias("b"))
-    found = own.join(other, F.col("_e").eqNullSafe(F.col("_f")) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("common"))
+    found = pair_counts(own)
     if not zeros:
         return found
     names = sorted(r[0] for r in rows.select(group).distinct().filter(F.col(group).isNotNull()).limit(ZERO_PAIR_GROUPS + 1).collect())

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmill.catalog import query, table
+from proofmill.folders import written
 from proofmill.functions import text as T
 from proofmill.functions import values as V
 from proofmill.operators import aggregates as A
 from proofmill.operators import joins as J
+from proofmill.operators.pairs import pair_counts
 
 
 @query("SELECT doc_id, CASE WHEN ok IS NULL THEN 'unknown' WHEN ok THEN 'pass' ELSE 'fail' END AS fit FROM (SELECT doc_id, (n_chars BETWEEN 500 AND 4000) AND (quality = 1) AND (toxic = 0) AS ok FROM documents LEFT JOIN labels USING (doc_id))")
@@ -118,9 +120,9 @@ def hashtag_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_frequencies_and_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A09 of all tags of whole texts (those of hashtags_mentions): texts with tag a, and where b is given with both."""
     t = F.regexp_replace(F.regexp_replace("text", " th", " #Th"), " re", " @Re")
-    tags = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.hashtags(t)).alias("tag"))
-    alone = tags.distinct().groupBy(F.col("tag").alias("a")).agg(F.count("*").alias("texts"))
-    return alone.select("a", F.lit(None).cast("string").alias("b"), "texts").unionByName(J.overlaps(tags, "doc_id", "tag", zeros=False).withColumnRenamed("common", "texts"))
+    tags = written(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_e"), F.explode(T.hashtags(t)).alias("a")).distinct())
+    alone = tags.groupBy("a").agg(F.count("*").alias("texts"))
+    return alone.select("a", F.lit(None).cast("string").alias("b"), "texts").unionByName(pair_counts(tags).withColumnRenamed("common", "texts"))
 
 
 @query("SELECT l_suppkey, count(*) FILTER (WHERE l_discount > 0) AS used, count(*) FILTER (WHERE l_discount <= 0) AS excluded, round(median(l_quantity) FILTER (WHERE l_discount > 0), 6) AS middle FROM lineitem GROUP BY 1")
