@@ -38,7 +38,11 @@ def rules_of(table: DataFrame) -> list[Rule]:
 
 def rule_faults(df: DataFrame, rules: Iterable[Rule]) -> list[str]:
     """What is wrong with the rules themselves: repeated codes, unknown areas and levels, and predicates that this frame can't decide."""
-    faults, seen = [], set()
+    rules, faults, seen = list(rules), [], set()
+    try:  # all at once, which is one analysis; one by one only to name what fails
+        known = iter(df.select(*[F.expr(holds).alias(f"_{i}") for i, holds in enumerate(h for r in rules for _, h in r.cases())]).schema.fields)
+    except AnalysisException:
+        known = None
     for r in rules:
         if r.code in seen:
             faults.append(f"{r.code}: repeated")
@@ -47,7 +51,7 @@ def rule_faults(df: DataFrame, rules: Iterable[Rule]) -> list[str]:
             faults.append(f"{r.code}: {r.area}, {r.level}")
         for field, holds in r.cases():
             try:
-                kind = df.select(F.expr(holds)).schema[0].dataType.simpleString()
+                kind = (next(known) if known else df.select(F.expr(holds)).schema[0]).dataType.simpleString()
             except AnalysisException as e:
                 faults.append(f"{r.code}{f' ({field})' if field else ''}: {e.getCondition()}")
             else:

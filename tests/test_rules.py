@@ -69,3 +69,17 @@ def test_rules_are_checked_against_the_schema(spark):
         R.compiled(df, bad)
     assert [f in str(e.value) for f in ("X: UNRESOLVED", "X: repeated", "X: odd", "a int is no condition", "Y (gone): UNRESOLVED")] == [True] * 5
     assert R.judged(df, []).select(F.size("issues").alias("s")).distinct().collect()[0].s == 0
+
+
+def test_documents_are_read_once(spark):
+    rows = [
+        (1, " \n" + document([sound(number=1), None, [sound()]], in_range_count=3)), (1, document([sound(number=1)], bucket="outside_range_posts")),
+        (2, '{"posts": {"a": 1}, "outside_range_posts": [], "undated_posts": true}'), (3, '{"metadata": {}} x'), (4, '["{"]'), (None, document([], in_range_count=1)),
+    ]
+    log = A.audit_log(spark.createDataFrame(rows, "run int, document string"), "run", "document")
+    assert "parseJson" not in log._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.run or 0, r.bucket or "", -1 if r["index"] is None else r["index"], r.code, r.field or "") for r in log.collect() if r.code in ("DUPLICATE_POST_ID", "POST_NOT_OBJECT", "METADATA_COUNT_MISMATCH", "BUCKET_NOT_ARRAY", "OUTSIDE_BUCKET_CONTAINS_TARGET_POST"))
+    assert got == [
+        (0, "", -1, "METADATA_COUNT_MISMATCH", "posts"), (1, "outside_range_posts", 0, "DUPLICATE_POST_ID", ""), (1, "outside_range_posts", 0, "OUTSIDE_BUCKET_CONTAINS_TARGET_POST", ""),
+        (1, "posts", 1, "POST_NOT_OBJECT", ""), (1, "posts", 2, "POST_NOT_OBJECT", ""), (2, "posts", -1, "BUCKET_NOT_ARRAY", ""), (2, "undated_posts", -1, "BUCKET_NOT_ARRAY", ""),
+    ]
