@@ -7,7 +7,9 @@ scaled to norm M; then a larger product is a smaller distance.
 Each of `hashes` Gaussian projections of the points is an array sorted by
 value.  A query opens in each array a window around its own value; at radius R
 the window reaches `REACH` * R to both sides, and virtual rehashing widens R
-level by level, so that only the two new ends of a window are read.  A point in
+level by level.  A window is found by binary search and is a range of places in
+its array; which points lie in the windows is told by comparing places of two
+bytes, for a run of queries at once.  A point in
 a window is a collision; a point with enough collisions is verified by its
 exact inner product.  A query stops in a block once as many verified points lie
 within R as the block can hold of its k nearest (points are dealt at random, so
@@ -52,6 +54,8 @@ FIRST, GROWTH = 0.5, 1.2
 #: Chance that one block holds more of a query's nearest than it looks for.
 MISS = 0.001
 POINT_BLOCK, QUERY_BLOCK, UNIT_BLOCKS = 4096, 512, 64
+#: Queries whose collisions are counted at once: their counts stay in a core's cache.
+QUERY_RUN = 32
 SEED = 20
 
 
@@ -88,6 +92,22 @@ def sorted_arrays(x: np.ndarray, largest: float, turn: np.ndarray) -> tuple[np.n
     return np.take_along_axis(value, order, 1), order
 
 
+def ranks_of(order: np.ndarray) -> np.ndarray:
+    """The place of each point in each sorted array, in as few bytes as hold it."""
+    rank = np.empty(order.shape, np.uint16 if order.shape[1] < 1 << 16 else np.uint32)
+    np.put_along_axis(rank, order, np.arange(order.shape[1], dtype=rank.dtype)[None], 1)
+    return rank
+
+
+def collisions(rank: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many of its windows left <= place < right hold each point: queries x points."""
+    counts = np.zeros((len(left), rank.shape[1]), np.uint8 if len(rank) < 256 else np.uint16)
+    left, width = left.astype(rank.dtype), (right - left).astype(rank.dtype)
+    for i, places in enumerate(rank):
+        counts += places[None] - left[:, i, None] < width[:, i, None]  # unsigned: a place before the window is far beyond it
+    return counts
+
+
 def search_block(
     value: np.ndarray, order: np.ndarray, x: np.ndarray, ids: np.ndarray, known: np.ndarray, queries: np.ndarray, query_ids: np.ndarray,
     largest: float, turn: np.ndarray, k: int, enough: int, needed: int, reach: float = REACH,
@@ -97,25 +117,24 @@ def search_block(
     A query stops once enough verified points lie within its radius.  known tells
     which ids are not null; a null id has the largest long in ids.
     """
-    (hashes, n), order = order.shape, order.astype(np.intp)
+    (hashes, n), rank = order.shape, ranks_of(order.astype(np.intp))
     norm = np.sqrt((queries * queries).sum(1))
     own = (queries * (largest / norm)[:, None]) @ turn[:-1]
-    middle = np.stack([np.searchsorted(value[i], own[:, i]) for i in range(hashes)], 1)
-    lo, hi = middle.copy(), middle.copy()
-    counts = np.zeros((len(queries), n), np.int16)
     seen = (ids[None, :] == query_ids[:, None]) & known[None, :]
     found = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
     active, radius = list(range(len(queries))), FIRST * largest
     while active:
         last = n <= k or radius >= 2 * largest
         if not last:
-            left, right = np.empty_like(lo), np.empty_like(hi)
+            left, right = np.empty((len(queries), hashes), np.intp), np.empty((len(queries), hashes), np.intp)
             for i in range(hashes):
                 left[:, i] = np.searchsorted(value[i], own[:, i] - reach * radius, "left")
                 right[:, i] = np.searchsorted(value[i], own[:, i] + reach * radius, "right")
         going = []
         # Windows that can't yet hold enough points with the collisions needed are left for a wider level.
         wide = None if last else (right - left).sum(1) >= needed * enough
+        met = () if last else [q for q in active if wide[q]]
+        runs = {q: (met[at : at + QUERY_RUN], i) for at in range(0, len(met), QUERY_RUN) for i, q in enumerate(met[at : at + QUERY_RUN])}
         for q in active:
             if not last and not wide[q]:
                 going.append(q)
@@ -123,10 +142,10 @@ def search_block(
             if last:
                 fresh = np.flatnonzero(~seen[q])
             else:
-                ends = [order[i, a:b] for i in range(hashes) for a, b in ((left[q, i], lo[q, i]), (hi[q, i], right[q, i])) if a < b]
-                if ends:
-                    counts[q] += np.bincount(np.concatenate(ends), minlength=n).astype(np.int16)
-                fresh = np.flatnonzero((counts[q] >= needed) & ~seen[q])
+                run, i = runs[q]
+                if i == 0:
+                    enough_met = (collisions(rank, left[run], right[run]) >= needed) & ~seen[run]
+                fresh = np.flatnonzero(enough_met[i])
             at, score = found[q]
             if len(fresh):
                 seen[q, fresh] = True
@@ -141,8 +160,6 @@ def search_block(
                 yield q, at[best], score[best]
             else:
                 going.append(q)
-        if not last:
-            lo[wide], hi[wide] = left[wide], right[wide]
         active, radius = going, radius * GROWTH
 
 

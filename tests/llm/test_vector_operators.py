@@ -189,6 +189,17 @@ def test_collisions_needed_is_the_binomial_quantile():
     assert collision_search.expected_here(20, 1) == 20 and collision_search.expected_here(20, 10**6) == 1
 
 
+@pytest.mark.parametrize("n", [300, 70_000])
+def test_collisions_are_the_points_in_the_windows(n):
+    rng = np.random.default_rng(6)
+    order = np.argsort(rng.normal(size=(5, n)), 1)
+    left = rng.integers(0, n + 1, (7, 5))
+    right = np.minimum(left + rng.integers(0, n, (7, 5)), n)
+    left[0], right[0], left[1], right[1] = 0, n, n, n
+    want = np.array([np.bincount(np.concatenate([order[i, left[q, i] : right[q, i]] for i in range(5)]), minlength=n) for q in range(7)])
+    assert (collision_search.collisions(collision_search.ranks_of(order), left, right) == want).all()
+
+
 @pytest.mark.parametrize("name", ["op11_vector_codes", "op12_centroid_clusters", "op13_nearest_vectors"])
 def test_empty_tables(spark, tmp_path, name, odd_rows):
     assert QUERIES[name](spark, written(spark, tmp_path, frame(spark, odd_rows).limit(0))).count() == 0
